@@ -47,3 +47,45 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - (shard::BIGINT * t
 """
 
 SQL = {"op5_quality_weighted_mix": _OP5}
+
+_SPACES = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+_OP8 = rf"""
+WITH x AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (
+  SELECT *, translate(trim(line, {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+f AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.keep AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+SQL["op8_bloom_line_dedup"] = _OP8
+
+_OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '~') AS h, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(range(len(w) - 4)) AS i, w FROM d WHERE len(w) >= 5),
+g AS (SELECT r, i, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM p),
+q AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+c AS (SELECT r, sum(least(5, coalesce(j - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM q) GROUP BY r),
+l AS (SELECT r, h, unnest(string_split(t, chr(10))) AS line FROM d),
+x AS (SELECT r, h, line, lower(trim(line, {_SPACES})) AS k FROM l WHERE trim(line, {_SPACES}) <> ''),
+u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM x GROUP BY r),
+o AS (SELECT h, k FROM x JOIN (SELECT h, count(*) AS n FROM d GROUP BY h) USING (h)
+      GROUP BY h, k, n HAVING count(DISTINCT r) > 10 AND count(DISTINCT r) > 0.1 * n),
+z AS (SELECT r, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM x SEMI JOIN o USING (h, k) GROUP BY r),
+s AS (
+  SELECT doc_id, len(w) AS n_words, length(translate(t, {_SPACES}, '')) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(z.n, 0) AS lost
+  FROM d LEFT JOIN u USING (r) LEFT JOIN c USING (r) LEFT JOIN z USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - lost >= 0.3 * n_words AS kept
+FROM s
+"""
+
+SQL["op7_line_frequency_rules"] = _OP7
