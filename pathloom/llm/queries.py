@@ -9,6 +9,7 @@ from .oracles import SQL
 #: Query name, module of its operator.
 NAMES = {
     "op5_quality_weighted_mix": "mixing",
+    "op6_bloom_cascade_urls": "urls",
     "op7_line_frequency_rules": "quality",
     "op8_bloom_line_dedup": "linededup",
     "op9_stratified_interleave": "sharding",
