@@ -10,6 +10,7 @@ from .oracles import SQL
 NAMES = {
     "op2_png_media_columns": "media",
     "op4_orc_token_ids": "tokens",
+    "op10_island_packing": "packing",
     "op5_quality_weighted_mix": "mixing",
     "op6_bloom_cascade_urls": "urls",
     "op7_line_frequency_rules": "quality",
