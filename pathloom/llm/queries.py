@@ -9,6 +9,7 @@ from .oracles import SQL
 #: Query name, module of its operator.
 NAMES = {
     "op2_png_media_columns": "media",
+    "op3_kneser_ney_scores": "lm",
     "op4_orc_token_ids": "tokens",
     "op10_island_packing": "packing",
     "op5_quality_weighted_mix": "mixing",
