@@ -1,4 +1,75 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: five operators, each on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.  ``run`` stores each stage's result in the
+shared folder and reads it back for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.llm import jaccard, linededup, mixing, packing, quality, shared
+
+
+def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
+    """``docs`` with another text, and n_chars as it is then."""
+    out = docs.withColumn("text", text)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without lines above their host's limit."""
+    return _with_text(quality.quality_rules(docs).where("kept"), F.col("clean_text"), docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; a line that five documents share stays in one of them."""
+    return _with_text(linededup.dedup_lines(docs), F.col("text"), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones (five words, similarity 0.8): the smallest id.
+
+    Of rows that repeat an id and a text one stays.
+    """
+    rows = shared.cut(jaccard.similar_documents(docs, 5, 80, 100), shared.folder(spark, "groups"))
+    gone = rows.where("component_id <> doc_id").select("doc_id").distinct()
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's documents, once for each time it takes them."""
+    mixed = mixing.mix(docs)
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mixed.where("copies > 0").select(*docs.columns, times.alias("__copy")).drop("__copy")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece: where it lies in which sequence."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", near_duplicates),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = shared.cut(stage(spark, docs, sf_dir), shared.folder(spark, f"pipeline-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Shingle components and the packing can't be stated in SQL; tests/llm hold each stage against a brute-force version.
+ORACLE_SQL = None

@@ -11,6 +11,7 @@ NAMES = {
     "op2_png_media_columns": "media",
     "op3_kneser_ney_scores": "lm",
     "op4_orc_token_ids": "tokens",
+    "op1_skipping_jaccard_join": "jaccard",
     "op10_island_packing": "packing",
     "op5_quality_weighted_mix": "mixing",
     "op6_bloom_cascade_urls": "urls",
