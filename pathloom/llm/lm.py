@@ -275,7 +275,6 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         blocks = [_unpack(r.block, r.n, "u4", "u4", "u4") for r in pdf.itertuples()]
         keys = np.concatenate([b[0].astype(np.uint64) << np.uint64(32) | b[1] for b in blocks])
         counts = np.concatenate([b[2] for b in blocks])
@@ -313,7 +312,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     done = {r["range"] for r in ranged}
     for k in set(range(ranges)) - done:  # a range of words that no pair has: only where there is no document
         shared.put(f"{at}/ids-{k:06d}", [np.zeros((min(step, size + 1 - k * step), 5), np.int64).tobytes()])
-    report = found.where("range < 0").select("n", "once").collect()  # a row per shard
+    report = found.where("range < 0").select("range", "n", "once").collect()  # a row per shard
+    for k in set(range(pair_shards)) - {-1 - r["range"] for r in report}:
+        shared.put(f"{at}/pairs-{k:06d}", [])
     distinct = sum(r.n for r in report)
     once = [sum(r.once[i] for r in report) for i in range(4)]
     own = [sum(r.once[i] for r in ranged) for i in range(4)]

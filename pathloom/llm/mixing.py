@@ -94,15 +94,16 @@ def plan_mix(docs: DataFrame, share: float, cap: float, weights: list[float], se
     gap = F.col("rest") - F.col("got")
     miss = F.abs(F.col("size") * F.col("n") - gap)
     close = left.where(miss < gap).groupBy("s").agg(F.min(F.struct(miss.alias("miss"), F.col("es"), F.col("id"), F.col("size"))).alias("close"))
-    decided = shared.cut(goal.join(first, "s", "left").join(close, "s", "left").select("s", "source_size", "target", "epochs", "last", "close"), f"{at}/sources")
+    decided = shared.cut(goal.join(first, "s", "left").join(close, "s", "left").select(F.col("s").alias("__s"), "source_size", "target", F.col("epochs").alias("__epochs"), F.col("last").alias("__last"), F.col("close").alias("__close")), f"{at}/sources")
     return rows, decided
 
 
 def _taken(es: Column, key: Column, size: Column) -> Column:
     """How many times a document is taken, beside its source's decision."""
     entry = F.struct(es.alias("es"), key.alias("id"), size.alias("size"))
-    same = (F.col("close.es") == es) & F.col("close.id").eqNullSafe(key) & (F.col("close.size") == size)
-    return F.when(size == 0, F.lit(0)).otherwise(F.col("epochs") + F.coalesce((entry <= F.col("last")) | same, entry <= F.col("last"), same, F.lit(False)).cast("long"))
+    same = (F.col("__close.es") == es) & F.col("__close.id").eqNullSafe(key) & (F.col("__close.size") == size)
+    early = entry <= F.col("__last")
+    return F.when(size == 0, F.lit(0)).otherwise(F.col("__epochs") + F.coalesce(early | same, early, same, F.lit(False)).cast("long"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: list[float] = (3, 1, 2), seed: int = 29, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,13 +114,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: list[flo
     _, decided = plan_mix(docs, share, cap, list(weights), seed, source, key, text, at)
     size = word_count(F.col(text))
     u = (F.conv(F.substring(stable_hash(seed, F.col(key)), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
-    keyed = docs.withColumn("size", size).withColumns({"__es": -F.log(u) / quality_weight(F.col(text), F.col("size")), "s": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))})
-    return keyed.join(decided, "s").withColumn("copies", _taken(F.col("__es"), F.col(key), F.col("size"))).select(*docs.columns, "size", "source_size", "target", "copies")
+    keyed = docs.withColumn("size", size).withColumns({"__es": -F.log(u) / quality_weight(F.col(text), F.col("size")), "__s": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))})
+    return keyed.join(decided, "__s").withColumn("copies", _taken(F.col("__es"), F.col(key), F.col("size"))).select(*docs.columns, "size", "source_size", "target", "copies")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = shared.folder(spark, "mix")
     rows, decided = plan_mix(docs, 1.5, 2.0, [3, 1, 2], 29, "source", "doc_id", "text", at)
-    out = rows.join(decided, "s").withColumn("taken", F.col("size") * _taken(F.col("es"), F.col("id"), F.col("size")))
+    out = rows.withColumnRenamed("s", "__s").join(decided, "__s").withColumn("taken", F.col("size") * _taken(F.col("es"), F.col("id"), F.col("size")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
