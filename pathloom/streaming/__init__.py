@@ -1,0 +1,7 @@
+"""Streams: none.
+
+The data model is monthly snapshots; new snapshots are taken up by running a
+query for their months (see ``pathloom.sources.io.Checkpoint`` for resuming).
+No operator keeps state between runs, so there is nothing here to declare on a
+stream.
+"""
