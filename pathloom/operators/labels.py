@@ -47,7 +47,7 @@ def read_labels(spark: SparkSession, spec: LabelSpec, ranges: Mapping[str, tuple
 
 def downsample_negatives(df: DataFrame, budgets: Mapping[str, int | None], by: list[str], seed: int = 0) -> DataFrame:
     """All positives of each split, and its negatives thinned to the budget left by hash threshold."""
-    counts = df.groupBy("split").agg(F.count_if("Label > 0").alias("__p"), F.count_if("Label <= 0").alias("__n"))
+    counts = df.groupBy("split").agg(F.count_if(F.col("Label") > 0).alias("__p"), F.count_if(F.col("Label") <= 0).alias("__n"))
     budget = reduce(lambda c, kv: c.when(F.col("split") == kv[0], F.lit(kv[1])), budgets.items(), F).cast("long")
     share = F.when(budget.isNull(), 1.0).otherwise(F.least(F.greatest(F.coalesce(F.try_divide(budget - F.col("__p"), "__n"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
     part = F.conv(F.substring(random_key(seed, [*by, TIME, "split"]), 1, 8), 16, 10).cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def train_scorer(samples: DataFrame, features: Sequence[str], label: str = "Label", max_iter: int = 50, reg: float = 0.01):
+def train_scorer(samples: DataFrame, features: Sequence[str], label: str = "Label", max_iter: int = 20, reg: float = 0.01):
     """A fitted pipeline: zero fill, assembling, standard scaling, logistic regression."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -19,7 +19,12 @@ def train_scorer(samples: DataFrame, features: Sequence[str], label: str = "Labe
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True),
         LogisticRegression(featuresCol="__scaled", labelCol="__label", maxIter=max_iter, regParam=reg),
     ]
-    return Pipeline(stages=stages).fit(samples.fillna(0, list(features)).withColumn("__label", (F.col(label) > 0).cast("double")))
+    # Each stage passes over the samples: they are computed once.
+    data = samples.fillna(0, list(features)).select(*features, (F.col(label) > 0).cast("double").alias("__label")).persist()
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()
 
 
 def score_pairs(model, samples: DataFrame, features: Sequence[str]) -> DataFrame:
