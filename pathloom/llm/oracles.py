@@ -35,10 +35,15 @@ SELECT c.doc_id, c.size, r.source_size, r.target,
 FROM c JOIN r USING (s) LEFT JOIN b USING (s), range(n)
 """
 
+# crc32 by its table of 256 entries, built by the rule, over the bytes of the text.
 _OP9 = r"""
-WITH d AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS s, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size,
-         crc32_of(coalesce(text, '')) AS text_crc32, md5('17|' || coalesce(doc_id::VARCHAR, '~')) AS h FROM documents),
+WITH tb AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tb FROM range(256) r(i)),
+d AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS s, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, md5('17|' || coalesce(doc_id::VARCHAR, '~')) AS h,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM documents, tb),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, size, text_crc32) AS k, count(*) OVER (PARTITION BY s) AS n FROM d),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n), s, h, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM r),
@@ -46,7 +51,7 @@ q AS (SELECT *, (pos * 40 // total)::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - (shard::BIGINT * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM q
 """
 
-SQL = {"op5_quality_weighted_mix": _OP5}
+SQL = {"op5_quality_weighted_mix": _OP5, "op9_stratified_interleave": _OP9}
 
 _SPACES = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
