@@ -70,6 +70,12 @@ def pair_dataset(samples: DataFrame, paths: Mapping[str, tuple[PathSchema, DataF
     return out
 
 
+def slice_pairs(data: Mapping[str, DataFrame], start: int, end: int) -> dict[str, DataFrame]:
+    """A batch of a pair dataset: pairs with ids in [start, end) and their paths, ids from 0."""
+    inside = (F.col("pair_id") >= start) & (F.col("pair_id") < end)
+    return {name: df.where(inside).withColumn("pair_id", F.col("pair_id") - start) for name, df in data.items()}
+
+
 def subgraph_index(edges: DataFrame, index: DataFrame) -> DataFrame:
     """Subgraph edges with the indices of both ends; ``index``: (node, month, index)."""
     head, tail = (index.select(F.col("node").alias(c), TIME, F.col("index").alias(f"{c}_index")) for c in ("Head", "Tail"))

@@ -87,6 +87,13 @@ def sample_pairs(paths: Mapping[str, tuple[PathSchema, DataFrame]], main: Iterab
     return marked.join(starts, ["start", TIME], "left_semi").select(*PAIR, F.coalesce("__k", F.lit(0)).alias("Label"))
 
 
+def label_connected(paths: Iterable[tuple[PathSchema, DataFrame]], pairs: DataFrame) -> DataFrame:
+    """Distinct (start, end, month) that any path connects, with ``Label``: whether the pair is known."""
+    every = reduce(lambda a, b: a.unionByName(b), [ends(s, df) for s, df in paths]).where(F.col("end").isNotNull()).distinct()
+    known = pairs.select(*PAIR).distinct().withColumn("__k", F.lit(1))
+    return every.join(known, list(PAIR), "left").select(*PAIR, F.col("__k").isNotNull().alias("Label"))
+
+
 def restrict(schema: PathSchema, path: DataFrame, samples: DataFrame) -> DataFrame:
     """Paths between sampled pairs only."""
     keys = samples.select(F.col("start").alias("Node_0"), F.col("end").alias(schema.end), TIME).distinct()

@@ -97,6 +97,14 @@ def enumerate_khop(
     return found
 
 
+def follow(spark: SparkSession, seeds: DataFrame, schema: PathSchema, times=None, simple: bool = True, dead_ends: bool = False) -> DataFrame:
+    """A known schema's paths from other seeds: the same rules and names as in the enumeration."""
+    path, grown = seeds.select("Node_0", TIME).distinct(), PathSchema(schema.start_type)
+    for edge in schema.edges:
+        path, grown = extend(spark, path, grown, edge, times, simple, dead_ends)
+    return path
+
+
 def recall(path: DataFrame, start: str) -> DataFrame:
     """Distinct start nodes that have a path."""
     return path.select(start).distinct()

@@ -337,6 +337,14 @@ def split_by_source_time(v: View) -> DataFrame:
     return pairing.split_by_time(pairing.sample_pairs(v.khop(), _MAIN, v.pairs), starts, {"train": ("1990", "1999"), "val": ("1999", "2000-07"), "test": ("2000-07", "2010")})
 
 
+@query("""SELECT c AS start, s AS "end", t AS Feature_Time, pr2.c IS NOT NULL AS "Label" FROM (SELECT DISTINCT c, s, t FROM cos SEMI JOIN (SELECT DISTINCT c, t FROM l WHERE f = 'A') USING (c, t)
+UNION SELECT DISTINCT c, s, t FROM cns SEMI JOIN (SELECT DISTINCT c, t FROM l WHERE f = 'A') USING (c, t)) e LEFT JOIN (SELECT DISTINCT c, s, t FROM l WHERE f = 'A') pr2 USING (c, s, t)""")
+def replay_on_other_seeds(v: View) -> DataFrame:
+    pairs = v.lines.where("l_returnflag = 'A'").select(F.col("o_custkey").alias("start"), F.col("l_suppkey").alias("end"), F.col("dt").alias(TIME)).distinct()
+    seeds = pairs.select(F.col("start").alias("Node_0"), TIME)
+    return pairing.label_connected([(s, paths.follow(v.spark, seeds, s)) for s, _ in v.khop().values()], pairs)
+
+
 # --- labels ------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pathloom.functions import attention, metrics, scaling, vectors
 from pathloom.functions.dates import month_list, months_back
 from pathloom.functions.names import numeric_columns, positional, sanitize, shortened, suffixed
 from pathloom.operators import export, labels, limits, nodes, pairing, paths
-from pathloom.operators.aggregate import aggregate, chunks
+from pathloom.operators.aggregate import aggregate, chunks, publish
 from pathloom.operators.edges import read_edges
 from pathloom.plans import schema as S
 from pathloom.session import ResilientRunner
@@ -196,6 +196,21 @@ def test_export(spark):
     assert rows(index) == [("a", "m", 0), ("b", "m", 1), ("c", "m", 2)]
 
 
+def test_batches_of_pairs(spark):
+    data = {"pairs": spark.createDataFrame([(i,) for i in range(5)], "pair_id long"), "p": spark.createDataFrame([(1, "x"), (3, "y")], "pair_id long, Node_1 string")}
+    got = export.slice_pairs(data, 2, 4)
+    assert rows(got["pairs"]) == [(0,), (1,)] and rows(got["p"]) == [(1, "y")]
+
+
+def test_published_features(spark):
+    df = spark.createDataFrame([("k", 1.0, 2.0, 3.0), ("k", 3.0, 2.0, 1.0)], "k string, a double, b double, c double")
+    names = publish(df, ["k"], ["a", "b", "c"], "loom_f", "m", ("AVG", "COUNT"), "loom_s", 2)
+    assert names == ["loom_f_0_1", "loom_s_0", "loom_f_2_2", "loom_s_1"]
+    assert rows(spark.table("loom_f_0_1")) == [("k", 2.0, 2.0, 2, "m")] and rows(spark.table("loom_f_2_2")) == [("k", 2.0, "m")]
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")
+
+
 def test_names_and_months(spark):
     df = spark.createDataFrame([(1, "x", 2.0)], ["a b", "c", "d-e"])
     assert sanitize(df).columns == ["a_b", "c", "d_e"] and numeric_columns(df) == ["a b", "d-e"]
