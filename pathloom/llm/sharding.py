@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 20_000
+#: Rows of a source's hash range, and of a range of the whole order (whose counts pass through one task).
+ROWS_PER_RANGE, PLACES_PER_RANGE = 2_000, 20_000
 
 
 def stable_hash(seed: int, *cols: Column) -> Column:
@@ -40,7 +41,7 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "so
         raise ValueError("n_shards must be positive")
     docs = docs.drop("shard", "slot")
     total = docs.count()
-    ranges = max(1, -(-total // ROWS_PER_RANGE))
+    ranges, spans = max(1, -(-total // ROWS_PER_RANGE)), max(1, -(-total // PLACES_PER_RANGE))
     h = stable_hash(seed, F.col(key))
     rows = docs.withColumns({"__h": h, "__s": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))}).withColumn("__b", _range_of(F.col("__h"), ranges))
 
@@ -53,7 +54,7 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "so
     )
     order = [F.col("__h"), F.col(key), *[F.col(c) for c in ties]]
     ranked = rows.join(starts, ["__s", "__b"]).withColumn("__r", F.col("__start") + F.row_number().over(Window.partitionBy("__s", "__b").orderBy(*order)))
-    placed = ranked.withColumn("__f", (2 * F.col("__r") - 1) / (2 * F.col("__all"))).withColumn("__g", F.floor(F.col("__f") * ranges).cast("long"))
+    placed = ranked.withColumn("__f", (2 * F.col("__r") - 1) / (2 * F.col("__all"))).withColumn("__g", F.floor(F.col("__f") * spans).cast("long"))
 
     # The place in the whole order: the fractional rank's range starts after all lower ranges.
     per_range = placed.groupBy("__g").agg(F.count("*").alias("__m"))

@@ -165,6 +165,7 @@ def test_mix_targets_and_order(awkward):
 @pytest.mark.parametrize("shards", [1, 7, 40, 500])
 def test_interleave(awkward, shards, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 9)
+    monkeypatch.setattr(sharding, "PLACES_PER_RANGE", 11)
     got = sharding.interleave(awkward, shards).select("doc_id", "source", "shard", "slot").collect()
     places = defaultdict(list)
     for r in got:
