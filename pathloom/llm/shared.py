@@ -34,8 +34,9 @@ def folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder of its own in the shared folder."""
     at = f"{root(spark)}/pathloom/{name}-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    return at
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    return store.makeQualified(path).toString()  # with the scheme that workers go by
 
 
 def remove(spark: SparkSession, *uris: str) -> None:
