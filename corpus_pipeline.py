@@ -35,10 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat an id and a text one stays.
     """
     rows = shared.cut(jaccard.similar_documents(docs, 5, 80, 100), shared.folder(spark, "groups"))
-    gone = rows.where("component_id <> doc_id").select("doc_id").distinct()
+    # Texts stay where they are: each row looks its id up among those that go.
+    gone = shared.id_set(rows.where("component_id <> doc_id").select("doc_id"), shared.folder(spark, "gone"))
     if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.where(~gone(F.col("doc_id")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

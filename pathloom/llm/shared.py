@@ -16,7 +16,9 @@ import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -110,3 +112,44 @@ def view(uri: str) -> memoryview:
 def column(uri: str, kind: str) -> np.ndarray:
     """A shared file as an array."""
     return np.frombuffer(view(uri), kind)
+
+
+IDS_PER_SHARD = 1 << 20
+
+
+def _id_shard(x, shards: int):
+    """Shard of a long id, of a column or of an array."""
+    if isinstance(x, Column):
+        return F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 31)), F.lit(shards)).cast("int")
+    return (x ^ (x >> 17) ^ (x >> 31)) % shards
+
+
+def id_set(ids: DataFrame, at: str):
+    """A function of a long column: whether its id is in the one-column ``ids`` (null: no).
+
+    The ids are stored as sorted arrays in shards of one size; workers map them,
+    so rows are tested where they are, at any number of ids.
+    """
+    ids = cut(ids.toDF("id").where("id is not null").distinct(), f"{at}/ids")
+    shards = max(4, -(-ids.count() // IDS_PER_SHARD))
+
+    def store(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        put(f"{at}/set-{shard:06d}", [np.sort(pdf["id"].to_numpy(np.int64)).tobytes()])
+        return pd.DataFrame({"shard": [shard]})
+
+    have = {r[0] for r in ids.withColumn("shard", _id_shard(F.col("id"), shards)).groupBy("shard").applyInPandas(store, "shard int").collect()}
+
+    @F.pandas_udf("boolean")
+    def member(x: pd.Series) -> pd.Series:
+        own = x.to_numpy(np.int64)
+        hit, shard = np.zeros(len(own), bool), _id_shard(own, shards)
+        for k in set(shard.tolist()) & have:
+            rows = np.flatnonzero(shard == k)
+            stored = column(f"{at}/set-{k:06d}", "i8")
+            i = np.minimum(np.searchsorted(stored, own[rows]), len(stored) - 1)
+            hit[rows] = stored[i] == own[rows]
+        return pd.Series(hit)
+
+    # Without nulls, since pandas would hold a batch with one as floating-point numbers.
+    return lambda x: x.isNotNull() & member(F.coalesce(x, F.lit(0)).cast("long"))
