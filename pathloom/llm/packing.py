@@ -65,7 +65,7 @@ def lower_bound(size: np.ndarray, room: int) -> int:
     s = np.sort(size)
     total = np.concatenate([[0], np.cumsum(s)])
     best = -(-int(total[-1]) // room)
-    for k in np.unique(s[s <= room // 2]).tolist():
+    for k in [0, *np.unique(s[s <= room // 2]).tolist()]:
         big = len(s) - int(np.searchsorted(s, room - k, "right"))  # no piece of size k or more fits beside them
         half = int(np.searchsorted(s, room // 2, "right"))
         small = int(np.searchsorted(s, k))
