@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .sharding import stable_hash
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE, MOST_WEIGHT = 2_000, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,8 +78,8 @@ def plan_mix(docs: DataFrame, share: float, cap: float, weights: list[float], se
         f"{at}/rows",
     )
     ranges = max(1, -(-rows.count() // ROWS_PER_RANGE))
-    # Identical rows are one entry of the order.
-    kinds = rows.groupBy("s", "es", "id", "size").agg(F.count("*").alias("n")).withColumn("b", F.floor(ranges * (1 - F.exp(-F.col("es")))))
+    # Identical rows are one entry of the order.  Ranges are even for documents of the largest weight.
+    kinds = rows.groupBy("s", "es", "id", "size").agg(F.count("*").alias("n")).withColumn("b", F.floor(ranges * (1 - F.exp(-MOST_WEIGHT * F.col("es")))))
     per = kinds.groupBy("s", "b").agg(F.sum(F.col("size") * F.col("n")).alias("z"))
     starts = per.select("s", "b", F.coalesce(F.sum("z").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     goal = targets(per.groupBy("s").agg(F.sum("z").alias("source_size")), share, cap, weights)
