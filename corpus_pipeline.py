@@ -20,8 +20,8 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without lines above their host's limit."""
-    return _with_text(quality.quality_rules(docs).where("kept"), F.col("clean_text"), docs.columns)
+    """Documents that pass the rules, without lines that more than ten documents of their host have."""
+    return _with_text(quality.quality_rules(docs, max_share=None).where("kept"), F.col("clean_text"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 Lines are normalised (stripped, lower-cased) and hashed; each host's lines are
 counted by distinct documents.  A line above the limit - more than ``min_docs``
-documents and more than ``max_share`` of its host's documents - is boilerplate
-and goes; a document that keeps less than ``min_left`` of its words is rejected.
+documents and, unless ``max_share`` is None, more than that share of its host's
+documents - is boilerplate and goes; a document that keeps less than
+``min_left`` of its words is rejected.
 
-A line that is in a share p of a host's documents leaves room for at most 1/p
-times the mean number of lines per document, so a host's list of such lines is
-bounded.  These lists are stored, joined by host (broadcast where their stored
-size allows, else by shuffle with skew splitting) and applied inside each row:
-no document's lines are ever gathered or joined one by one.
+The lists of such lines may be of any size: they stay rows, joined by (host,
+line hash) to the documents' line hashes, and what is found comes back to the
+documents by (host, hash of the text).  Spark broadcasts either where its stored
+size allows and else joins by shuffle with skew splitting.  Where ``clean_text``
+is not asked for, no text is shuffled.
 
 Defined cases: null or empty texts have no words and fail the base rule; a null
 host is a host of its own; repeated rows count as documents of their own; an
@@ -76,27 +77,38 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.btrim(line, F.lit(SPACE))))
 
 
-def boilerplate(docs: DataFrame, min_docs: int, max_share: float, host: str, text: str) -> DataFrame:
-    """(h, lines): hashes of the lines above the limits, for each host that has any."""
-    h = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))
+def line_array(text: str) -> Column:
+    """Hash and words of each line that is not blank."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    hosts = docs.groupBy(h.alias("h")).agg(F.count("*").alias("n"))
-    each = docs.select(h.alias("h"), F.explode(F.array_distinct(F.transform(lines, line_hash))).alias("line"))
-    counted = each.groupBy("h", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    return counted.join(hosts, "h").where(F.col("docs") > max_share * F.col("n")).groupBy("h").agg(F.collect_list("line").alias("__often"))
+    return F.transform(lines, lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float = 0.1, min_left: float = 0.3, host: str = "source", text: str = "text") -> DataFrame:
+def row_keys(host: str, text: str) -> dict[str, Column]:
+    """Host and hash of the text: rows with both the same have the same lines."""
+    return {"__h": F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n")), "__key": F.xxhash64(F.col(text))}
+
+
+def boilerplate(each: DataFrame, hosts: DataFrame, min_docs: int, max_share: float | None) -> DataFrame:
+    """(__h, line): hosts and hashes of the lines above the limits, of a row per document and line."""
+    counted = each.groupBy("__h", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    if max_share is not None:
+        counted = counted.join(hosts.groupBy("__h").agg(F.count("*").alias("n")), "__h").where(F.col("docs") > max_share * F.col("n"))
+    return counted.select("__h", "line")
+
+
+def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float | None = 0.1, min_left: float = 0.3, host: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, ``kept`` and ``clean_text`` (without boilerplate lines)."""
     docs = docs.drop(*STATS)
-    often = shared.cut(boilerplate(docs, min_docs, max_share, host, text), shared.folder(docs.sparkSession, "boilerplate"))
-    h = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))
-    out = with_stats(docs, text).withColumn("__h", h).join(often.withColumnRenamed("h", "__h"), "__h", "left")
-    gone = lambda x: F.array_contains(F.col("__often"), line_hash(x)) & (F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    lines = F.split(F.col(text), "\n", -1)
-    clean = F.when(F.col("__often").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"))
-    out = out.withColumn("clean_text", clean)
-    lost = F.when(F.col("__often").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_words") - F.regexp_count("clean_text", F.lit(WORD)))
+    at = shared.folder(docs.sparkSession, "boilerplate")
+    keys = docs.select(*[v.alias(k) for k, v in row_keys(host, text).items()], text)
+    each = keys.select("__h", "__key", F.explode(F.array_distinct(F.transform(line_array(text), lambda x: x["line"]))).alias("line"))
+    often = shared.cut(boilerplate(each, keys, min_docs, max_share), f"{at}/lines")
+    found = shared.cut(each.join(often, ["__h", "line"]).groupBy("__h", "__key").agg(F.collect_set("line").alias("__often")), f"{at}/texts")
+    out = with_stats(docs, text).withColumns(row_keys(host, text) | {"__at": line_array(text)}).join(found, ["__h", "__key"], "left")
+    gone = lambda h: F.array_contains(F.col("__often"), h)
+    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: (F.length(F.btrim(x, F.lit(SPACE))) == 0) | ~gone(line_hash(x)))
+    out = out.withColumn("clean_text", F.when(F.col("__often").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")))
+    lost = F.when(F.col("__often").isNull(), F.lit(0)).otherwise(F.aggregate(F.filter("__at", lambda x: gone(x["line"])), F.lit(0), lambda a, x: a + x["n"]))
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - lost) >= min_left * F.col("n_words"))).select(*docs.columns, *STATS)
 

@@ -82,6 +82,13 @@ def test_filtering_stages(stored, name, brute):
     assert rows(made) == want and want
 
 
+def test_rules_judge_large_hosts_by_count(spark):
+    word = lambda i, k: f"w{i}x{k}"
+    texts = [" ".join(word(i, k) for k in range(20)) + ("\nRead all about it here" if i < 12 else "") for i in range(200)]
+    made = P.quality_rules(spark, spark.createDataFrame([(i, t, "en", "big", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r.text for r in made.collect()) == sorted(t.split("\n")[0] for t in texts)
+
+
 def test_mix_stage(stored):
     docs, made = stored[1]["source_mix"]
     had, got = Counter(map(tuple, docs.collect())), Counter(map(tuple, made.collect()))
