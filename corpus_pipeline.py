@@ -30,16 +30,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones (five words, similarity 0.8): the smallest id.
+    """One document of each group of linked ones (five words, similarity 0.8): the smallest id, null last.
 
     Of rows that repeat an id and a text one stays.
     """
-    rows = shared.cut(jaccard.similar_documents(docs, 5, 80, 100), shared.folder(spark, "groups"))
-    # Texts stay where they are: each row looks its id up among those that go.
-    gone = shared.id_set(rows.where("component_id <> doc_id").select("doc_id"), shared.folder(spark, "gone"))
-    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+    columns = docs.columns
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.where(~gone(F.col("doc_id")))
+    # Ids may be null or repeated: rows go by a number that the stored copy fixes.
+    docs = shared.cut(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64("text")}), shared.folder(spark, "rows"))
+    found = jaccard.similar_documents(docs, 5, 80, 100, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    rows = shared.cut(found.join(docs.select("__row", "doc_id", "__hash"), "__row"), shared.folder(spark, "groups"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row"))
+    groups = rows.groupBy("component_id").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("component_id", F.col("first.__row").alias("kept"))
+    # Texts stay where they are: each row looks its number up among those that go.
+    gone = shared.id_set(rows.join(groups, "component_id").where("__row <> kept").select("__row"), shared.folder(spark, "gone"))
+    return docs.where(~gone(F.col("__row"))).select(*columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,16 @@ def test_rules_judge_large_hosts_by_count(spark):
     assert sorted(r.text for r in made.collect()) == sorted(t.split("\n")[0] for t in texts)
 
 
+def test_copies_with_null_or_repeated_ids(spark):
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(120))
+    a, b, c, d = say("a"), say("b"), say("c"), say("d")
+    data = [(7, a), (7, b), (3, b + " tail"), (4, c), (None, c + " tail"), (None, d), (None, d + " tail"), (None, None), (5, "")]
+    made = P.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    got = [tuple(r) for r in made.collect()]
+    null_d = [r for r in got if r[0] is None and (r[1] or "").startswith(d)]
+    assert len(null_d) == 1 and sorted(set(got) - set(null_d), key=key) == sorted([(7, a), (3, b + " tail"), (4, c), (None, None), (5, "")], key=key)
+
+
 def test_mix_stage(stored):
     docs, made = stored[1]["source_mix"]
     had, got = Counter(map(tuple, docs.collect())), Counter(map(tuple, made.collect()))
