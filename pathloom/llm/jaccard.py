@@ -9,7 +9,8 @@
 3. Index lists.  A list is the nodes of one prefix shingle; of lists over the
    same nodes only the first shingle's is kept.  Lists longer than a block are
    dealt as pairs of blocks.  In a list, nodes are sorted by size and position:
-   a node skips every run of entries that size or position rules out.
+   pairs that size or position rules out are not judged, and a node without an
+   open entry is skipped whole; others' overlaps are counted with all the list.
 4. Answers.  A node's overlaps with the whole list are derived from those of a
    highly similar node of the list that are already known: minus what the
    common entries lose by the shingles that only the other has, plus what the
