@@ -1,10 +1,11 @@
 """Folders and files that driver and executors share.
 
-The place is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests on one machine) a local folder stands in.  Executors write whole files
-under a temporary name and rename them, so a lost or repeated task leaves one
-complete file.  Files are memory-mapped where the folder is mounted; from any
-other store they are fetched once a worker and unlinked after mapping.
+The place is the session's ``spark.checkpoint.dir``; only where that is unset and
+the session runs on one machine (tests) a local folder stands in.  Executors write
+whole files under a temporary name and rename them, so a lost or repeated task
+leaves one complete file.  Files are memory-mapped where the folder is mounted; of
+any other store a file, or the asked part of it, is read into memory.  A worker
+keeps the files that it used last, up to a number and a size.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ import mmap
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +30,8 @@ def root(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -38,7 +43,23 @@ def folder(spark: SparkSession, name: str) -> str:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(path)
-    return store.makeQualified(path).toString()  # with the scheme that workers go by
+    made = store.makeQualified(path).toString()  # with the scheme that workers go by
+    if _scopes:
+        _scopes[-1].append(made)
+    return made
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders made inside are deleted at its end: for work whose result has been stored elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_scopes.pop())
 
 
 def remove(spark: SparkSession, *uris: str) -> None:
@@ -82,74 +103,89 @@ def put(uri: str, parts: list) -> int:
     return n
 
 
-_maps: dict[str, object] = {}
+_maps: OrderedDict[str, memoryview] = OrderedDict()
+MOST_FILES, MOST_BYTES_READ = 256, 256 << 20
 
 
 def view(uri: str) -> memoryview:
-    """The bytes of a shared file, mapped into memory."""
+    """The bytes of a shared file: mapped where it is mounted, else read."""
     if uri in _maps:
+        _maps.move_to_end(uri)
         return _maps[uri]
     if (path := local_path(uri)) is not None:
-        f = open(path, "rb")
+        with open(path, "rb") as f:
+            size = os.fstat(f.fileno()).st_size
+            got = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)) if size else memoryview(b"")
     else:
         from pyarrow import fs
 
         store, there = fs.FileSystem.from_uri(uri)
-        f = tempfile.TemporaryFile()
         with store.open_input_stream(there) as s:
-            while block := s.read(1 << 22):
-                f.write(block)
-        f.flush()
-    with f:
-        size = os.fstat(f.fileno()).st_size
-        got = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)) if size else memoryview(b"")
-    if len(_maps) >= 4096:
-        _maps.clear()
+            got = memoryview(s.read())
+        while _maps and len(got) + sum(map(len, _maps.values())) > MOST_BYTES_READ:
+            _maps.popitem(last=False)
+    while len(_maps) >= MOST_FILES:
+        _maps.popitem(last=False)
     _maps[uri] = got
     return got
 
 
-def column(uri: str, kind: str) -> np.ndarray:
-    """A shared file as an array."""
-    return np.frombuffer(view(uri), kind)
+def exists(uri: str) -> bool:
+    """Whether a shared file is there."""
+    if uri in _maps:
+        return True
+    if (path := local_path(uri)) is not None:
+        return os.path.exists(path)
+    from pyarrow import fs
+
+    store, there = fs.FileSystem.from_uri(uri)
+    return store.get_file_info(there).type == fs.FileType.File
+
 
+def piece(uri: str, at: int, size: int) -> memoryview:
+    """``size`` bytes of a shared file from ``at``; of a file that is not mounted only these are read."""
+    if uri in _maps or local_path(uri) is not None:
+        return view(uri)[at : at + size]
+    from pyarrow import fs
 
-IDS_PER_SHARD = 1 << 20
+    store, there = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(there) as f:
+        return memoryview(f.read_at(size, at))
 
 
-def _id_shard(x, shards: int):
-    """Shard of a long id, of a column or of an array."""
-    if isinstance(x, Column):
-        return F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 31)), F.lit(shards)).cast("int")
-    return (x ^ (x >> 17) ^ (x >> 31)) % shards
+def column(uri: str, kind: str) -> np.ndarray:
+    """A shared file as an array."""
+    return np.frombuffer(view(uri), kind)
 
 
-def id_set(ids: DataFrame, at: str):
-    """A function of a long column: whether its id is in the one-column ``ids`` (null: no).
+def row_set(rows: DataFrame, at: str):
+    """A function of a long column: whether it is among the one-column ``rows`` (null: no).
 
-    The ids are stored as sorted arrays in shards of one size; workers map them,
-    so rows are tested where they are, at any number of ids.
+    Both hold numbers of ``monotonically_increasing_id`` over one stored table.  The
+    set is stored as a sorted array per partition of that table, so a task that reads
+    some of its files opens the arrays of these alone.
     """
-    ids = cut(ids.toDF("id").where("id is not null").distinct(), f"{at}/ids")
-    shards = max(4, -(-ids.count() // IDS_PER_SHARD))
+    part = lambda c: F.shiftright(c, 33)
 
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        put(f"{at}/set-{shard:06d}", [np.sort(pdf["id"].to_numpy(np.int64)).tobytes()])
-        return pd.DataFrame({"shard": [shard]})
+        k = int(pdf["part"].iloc[0])
+        put(f"{at}/rows-{k:06d}", [np.unique(pdf["id"].to_numpy(np.int64)).tobytes()])
+        return pd.DataFrame({"part": [k], "n": [len(pdf)]})
 
-    have = {r[0] for r in ids.withColumn("shard", _id_shard(F.col("id"), shards)).groupBy("shard").applyInPandas(store, "shard int").collect()}
+    ids = rows.toDF("id").where("id is not null")
+    stored = cut(ids.withColumn("part", part(F.col("id"))).groupBy("part").applyInPandas(store, "part long, n long"), f"{at}/parts")
+    have = {r.part for r in stored.select("part").collect()}  # at most a number per partition
 
     @F.pandas_udf("boolean")
     def member(x: pd.Series) -> pd.Series:
         own = x.to_numpy(np.int64)
-        hit, shard = np.zeros(len(own), bool), _id_shard(own, shards)
-        for k in set(shard.tolist()) & have:
-            rows = np.flatnonzero(shard == k)
-            stored = column(f"{at}/set-{k:06d}", "i8")
-            i = np.minimum(np.searchsorted(stored, own[rows]), len(stored) - 1)
-            hit[rows] = stored[i] == own[rows]
+        hit, parts = np.zeros(len(own), bool), own >> 33
+        for k in set(parts.tolist()) & have:
+            at_k = np.flatnonzero(parts == k)
+            known = column(f"{at}/rows-{k:06d}", "i8")
+            i = np.minimum(np.searchsorted(known, own[at_k]), len(known) - 1)
+            hit[at_k] = known[i] == own[at_k]
         return pd.Series(hit)
 
     # Without nulls, since pandas would hold a batch with one as floating-point numbers.
-    return lambda x: x.isNotNull() & member(F.coalesce(x, F.lit(0)).cast("long"))
+    return lambda x: x.isNotNull() & member(F.coalesce(x, F.lit(-1)).cast("long"))

@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 from pathloom.llm import shared
 
 
-def test_id_set(spark, monkeypatch):
-    monkeypatch.setattr(shared, "IDS_PER_SHARD", 3)
-    big = 2**53
-    ids = spark.createDataFrame([(big + 1,), (-7,), (0,), (5,), (5,), (None,), (40,)], "x long")
-    member = shared.id_set(ids, shared.folder(spark, "test"))
-    df = spark.createDataFrame([(big,), (big + 1,), (None,), (-7,), (0,), (6,), (40,)], "x long").coalesce(1)
+def test_row_set(spark):
+    big = 5 << 33
+    ids = spark.createDataFrame([(big + 1,), (0,), (5,), (5,), (None,), (40,)], "x long")
+    member = shared.row_set(ids, shared.folder(spark, "test"))
+    df = spark.createDataFrame([(big,), (big + 1,), (None,), (0,), (6,), (40,), (7 << 33,)], "x long").coalesce(1)
     got = {r.x: r.m for r in df.withColumn("m", member(F.col("x"))).collect()}
-    assert got == {big: False, big + 1: True, None: False, -7: True, 0: True, 6: False, 40: True}
-    none = shared.id_set(ids.where("x > 100 AND x < 200"), shared.folder(spark, "test"))
+    assert got == {big: False, big + 1: True, None: False, 0: True, 6: False, 40: True, 7 << 33: False}
+    none = shared.row_set(ids.where("x > 100 AND x < 200"), shared.folder(spark, "test"))
     assert df.where(none(F.col("x"))).count() == 0
 
 
+def test_scratch_folders_go(spark):
+    kept = shared.folder(spark, "test")
+    with shared.scratch(spark):
+        gone = shared.folder(spark, "test")
+        shared.put(f"{gone}/a", [b"x"])
+    assert shared.exists(kept.replace("file:", "") + "/none") is False
+    import os
+
+    assert os.path.isdir(shared.local_path(kept)) and not os.path.exists(shared.local_path(gone))
+
+
 def test_files(spark):
     at = shared.folder(spark, "test")
     assert shared.put(f"{at}/a/b", [np.arange(3).tobytes(), b"", b"12345678"]) == 32
