@@ -1,16 +1,18 @@
 """N-gram Jaccard join: all links between documents whose shingle sets are similar.
 
-1. Document frequencies.  Tasks ship sorted blocks of truncated shingle hashes
-   per hash shard; shards store those found twice or more.  They only fix one
-   global order, rarest shingle first, in which a set's prefix must meet the
-   prefix of every set similar to it.  A shingle found once meets nothing, so
-   most documents need no index entry at all.
-2. Equal sets are one node.  Nodes with entries store their sets in files.
+1. Document frequencies.  Tasks store their documents' shingle sets and ship the
+   distinct truncated hashes to hash shards, which answer in how many documents
+   each is (``exchange``).  Frequencies only fix one global order, rarest shingle
+   first, in which a set's prefix must meet the prefix of every set similar to it.
+   A shingle found once meets nothing, so most documents need no entry at all.
+2. Equal sets are one node.
 3. Index lists.  A list is the nodes of one prefix shingle; of lists over the
-   same nodes only the first shingle's is kept.  Lists longer than a block are
-   dealt as pairs of blocks.  In a list, nodes are sorted by size and position:
+   same nodes only the first shingle's is kept.  In a list, nodes are sorted by size and position:
    pairs that size or position rules out are not judged, and a node without an
    open entry is skipped whole; others' overlaps are counted with all the list.
+   A list longer than a block is solved block by block first; then one node of
+   each component found stands for it, and only what is still outside the list's
+   largest component is compared with all the list, by pairs of blocks.
 4. Answers.  A node's overlaps with the whole list are derived from those of a
    highly similar node of the list that are already known: minus what the
    common entries lose by the shingles that only the other has, plus what the
@@ -28,8 +30,6 @@ named as outputs are replaced).
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,11 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .lm import BLOCK, _cells, _count, _sum_by, _unpack
+from .exchange import BLOCK, Blocks, arrays, cells, count, flush_name, gathered, put_arrays, runs
 from .words import shingle_sets, slices
 
-FLUSH, DOCS_PER_SHARD, LIST_BLOCK, FILE_BYTES = 3 << 20, 8_000, 2048, 64 << 20
-ONE = np.uint64(1)
+FLUSH, DOCS_PER_SHARD, LIST_BLOCK = 3 << 20, 8_000, 2048
 
 
 def _order_bits(shards: int) -> int:
@@ -55,54 +54,46 @@ def _shard_of(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return (top * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _ship(width: int, bits: int, shards: int):
+def _ship(at: str, width: int, bits: int, shards: int):
+    """Documents (id, text) to blocks of truncated shingle hashes; their sets are stored."""
+
     def run(batches):
-        held, n = [], 0
+        held, n, number = [], 0, 0
 
         def flush():
-            keys, counts = _count(np.concatenate(held))
-            return _cells(_shard_of(keys, bits, shards), shards, keys, counts)
+            ids, valid, sizes, tokens = (np.concatenate([h[k] for h in held]) for k in range(4))
+            keys, times = count(tokens >> np.uint64(64 - bits))
+            name = flush_name(number, ids, tokens)
+            put_arrays(f"{at}/sets-{name}", ids=ids, valid=valid, sizes=sizes, keys=np.array([len(keys)]), tokens=tokens)
+            # A flush without shingles asks nothing, but its documents are in the result.
+            return cells(name, _shard_of(keys, bits, shards), keys, times) if len(keys) else cells(name, np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.uint64))
 
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                tokens, _ = shingle_sets(batch.column(0)[a:b], width)
-                if len(tokens):
-                    held.append(tokens >> np.uint64(64 - bits))
-                    n += len(tokens)
+            ids = batch.column(0)
+            for a, b in slices(batch.column(1)):
+                tokens, ptr = shingle_sets(batch.column(1)[a:b], width)
+                own = ids[a:b]
+                held.append((own.fill_null(0).to_numpy(zero_copy_only=False), own.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(ptr), tokens))
+                n += len(tokens) + b - a
                 if n >= FLUSH:
                     yield flush()
-                    held, n = [], 0
-        if n:
+                    held, n, number = [], 0, number + 1
+        if held:
             yield flush()
 
     return run
 
 
-def _store_frequent(at: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        blocks = [_unpack(r.block, r.n, "u8", "u4") for r in pdf.itertuples()]
-        keys, counts = _sum_by(np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]))
-        keys, counts = keys[counts > 1], np.minimum(counts[counts > 1], 255).astype(np.uint8)
-        shared.put(f"{at}/df-{shard:06d}", [keys.tobytes(), counts.tobytes()])
-        return pd.DataFrame({"shard": [shard], "n": [len(keys)]})
-
-    return run
-
-
-def _frequencies(at: str, bits: int, shards: int, keys: np.ndarray) -> np.ndarray:
-    """Document frequency of sorted truncated hashes, up to 255."""
-    out = np.ones(len(keys), np.uint8)
-    ends = np.searchsorted(_shard_of(keys, bits, shards), np.arange(shards + 1))
-    for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-        raw = shared.view(f"{at}/df-{k:06d}")
-        n = len(raw) // 9
-        if n:
-            known, counts = np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "u1", n, 8 * n)
-            part = keys[ends[k] : ends[k + 1]]
-            i = np.minimum(np.searchsorted(known, part), n - 1)
-            out[ends[k] : ends[k + 1]] = np.where(known[i] == part, counts[i], 1)
-    return out
+def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A shard's blocks to the document frequency of each of their hashes, up to 255."""
+    blocks = Blocks(pdf, 2)
+    keys, times = blocks.columns
+    order = np.argsort(keys, kind="stable")
+    at = runs(keys[order])
+    total = np.add.reduceat(times[order], at[:-1])
+    df = np.empty(len(keys), np.uint64)
+    df[order] = np.repeat(np.minimum(total, 255), np.diff(at))
+    return blocks.answers(df)
 
 
 def prefix_length(n, num: int, den: int):
@@ -113,52 +104,46 @@ def prefix_length(n, num: int, den: int):
 _SETS = "doc_id long, n_shingles long, node binary, first int, prefix array<long>, df array<int>, file string, at long"
 
 
-def _index(at: str, width: int, bits: int, shards: int, num: int, den: int):
-    """Documents to their set's size, node, prefix entries and the place of the stored set."""
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("first", pa.int32()), ("prefix", pa.list_(pa.int64())), ("df", pa.list_(pa.int32())), ("file", pa.string()), ("at", pa.int64())]
-    schema = pa.schema(fields)
+def _index(at: str, bits: int, num: int, den: int):
+    """A flush's answers to its documents' set size, node, prefix entries and the place of the stored set."""
 
-    def run(batches):
-        name, held, size = uuid.uuid4().hex, [], 0
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                tokens, ptr = shingle_sets(batch.column(1)[a:b], width)
-                keys = tokens >> np.uint64(64 - bits)
-                order = np.argsort(keys, kind="stable")
-                df = np.empty(len(keys), np.uint8)
-                df[order] = _frequencies(at, bits, shards, keys[order])
-                once = np.concatenate([[0], np.cumsum(df == 1)])
-                rows = {f: [] for f, _ in fields[1:]}
-                for x, y in zip(ptr[:-1].tolist(), ptr[1:].tolist()):
-                    n, alone = y - x, int(once[y] - once[x])
-                    own = tokens[x:y]
-                    rows["n_shingles"].append(n)
-                    rows["node"].append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-                    most = prefix_length(n, num, den) if n else 0
-                    if alone < most:
-                        o = np.lexsort((own, df[x:y]))[alone:most]
-                        got = alone, own[o].view(np.int64).tolist(), df[x:y][o].tolist(), name, size
-                        held.append(own.tobytes())
-                        size += 8 * n
-                    else:
-                        got = (None,) * 5
-                    for f, v in zip(("first", "prefix", "df", "file", "at"), got):
-                        rows[f].append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), *[pa.array(rows[f], t) for f, t in fields[1:]]], schema=schema)
-                if size >= FILE_BYTES:
-                    shared.put(f"{at}/sets-{name}", held)
-                    name, held, size = uuid.uuid4().hex, [], 0
-        if held:
-            shared.put(f"{at}/sets-{name}", held)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["flush"].iloc[0]
+        stored = arrays(f"{at}/sets-{name}")
+        tokens, sizes = stored["tokens"], stored["sizes"]
+        df = np.ones(len(tokens), np.uint8)
+        if len(tokens):
+            (answers,) = gathered(pdf, 1, int(stored["keys"][0]))
+            keys = tokens >> np.uint64(64 - bits)
+            order = np.argsort(keys, kind="stable")
+            df[order] = np.repeat(answers.astype(np.uint8), np.diff(runs(keys[order])))
+        base = len(shared.view(f"{at}/sets-{name}")) - 8 * len(tokens)  # the tokens are the file's last array
+        once = np.concatenate([[0], np.cumsum(df == 1)])
+        ptr = np.concatenate([[0], np.cumsum(sizes)])
+        rows = {f: [] for f in ("node", "first", "prefix", "df", "file", "at")}
+        for x, y in zip(ptr[:-1].tolist(), ptr[1:].tolist()):
+            n, alone = y - x, int(once[y] - once[x])
+            own = tokens[x:y]
+            rows["node"].append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
+            most = prefix_length(n, num, den) if n else 0
+            got = (None,) * 5
+            if alone < most:
+                o = np.lexsort((own, df[x:y]))[alone:most]
+                got = alone, own[o].view(np.int64), df[x:y][o].astype(np.int32), name, base + 8 * x
+            for f, v in zip(("first", "prefix", "df", "file", "at"), got):
+                rows[f].append(v)
+        ids = pd.array(stored["ids"], dtype="Int64")
+        ids[stored["valid"] == 0] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "n_shingles": sizes, **rows}).astype({"first": "Int32", "at": "Int64"})
 
     return run
 
 
 class _Groups:
-    """Union-find over the nodes of one list."""
+    """Union-find over the nodes of one list, from components known before."""
 
-    def __init__(self, n: int):
-        self.of = np.arange(n)
+    def __init__(self, of: np.ndarray):
+        self.of = of.copy()
 
     def join(self, i: int, j: int) -> bool:
         a, b = self.of[i], self.of[j]
@@ -168,16 +153,19 @@ class _Groups:
         return True
 
 
-def link_list(sets: list[np.ndarray], pos: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link_list(sets: list[np.ndarray], pos: np.ndarray, num: int, den: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the similar sets of one list, sorted by (size, position).
 
-    ``side``: only sets of different sides are compared.
+    ``side``: only sets of different sides are compared; ``known``: numbers of
+    components already found, inside which nothing is compared.
     """
     size = np.array([len(s) for s in sets])
     count = len(sets)
-    groups, links = _Groups(count), []
+    groups, links = _Groups(np.arange(count) if known is None else known), []
     similar = lambda common, x, y: den * common >= num * (x + y - common)
     if count == 2:
+        if groups.of[0] == groups.of[1]:
+            return []
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if similar(common, size[0], size[1]) and (side is None or side[0] != side[1]) else []
     flat, owner = np.concatenate(sets), np.repeat(np.arange(count), size)
@@ -191,7 +179,7 @@ def link_list(sets: list[np.ndarray], pos: np.ndarray, num: int, den: int, side:
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.bincount(owner[at], minlength=count)
 
-    known: list[tuple[int, np.ndarray]] = []  # nodes whose answers have been counted afresh
+    counted: list[tuple[int, np.ndarray]] = []  # nodes whose answers have been counted afresh
     for i in range(count):
         end = np.searchsorted(size, size[i] * den // num, "right")  # larger sets are too large
         if end <= i + 1:
@@ -204,7 +192,7 @@ def link_list(sets: list[np.ndarray], pos: np.ndarray, num: int, den: int, side:
         y = y[open_]
         if not len(y):
             continue
-        best, answers = max(known, key=lambda k: k[1][i], default=(None, None))
+        best, answers = max(counted, key=lambda k: k[1][i], default=(None, None))
         if answers is not None and 2 * (size[i] + size[best] - 2 * answers[i]) < size[i]:
             # Derived: only what differs from the similar set is looked up.
             lost = np.setdiff1d(sets[best], sets[i], assume_unique=True)
@@ -212,7 +200,7 @@ def link_list(sets: list[np.ndarray], pos: np.ndarray, num: int, den: int, side:
             own = answers - holders(lost) + holders(gained)
         else:
             own = holders(sets[i])
-            known.append((i, own))
+            counted.append((i, own))
         for j in y[similar(own[y], size[i], size[y])].tolist():
             if groups.join(i, j):
                 links.append((i, j))
@@ -223,11 +211,12 @@ def _links(at: str, num: int, den: int):
     """Sorted entries of lists to spanning links (u, v) between nodes."""
 
     def solve(rows: dict, a: int, b: int):
-        sets = [np.frombuffer(shared.view(f"{at}/sets-{rows['file'][i]}"), "<u8", int(rows["n"][i]), int(rows["at"][i])) for i in range(a, b)]
+        sets = [np.frombuffer(shared.piece(f"{at}/sets-{rows['file'][i]}", int(rows["at"][i]), 8 * int(rows["n"][i])), "<u8") for i in range(a, b)]
         side = None
         if rows["left"][a] != rows["right"][a]:
             side = rows["own"][a:b]
-        for i, j in link_list(sets, rows["pos"][a:b], num, den, side):
+        known = np.unique(rows["part"][a:b], return_inverse=True)[1] if len(set(rows["part"][a:b])) < b - a else None
+        for i, j in link_list(sets, rows["pos"][a:b], num, den, side, known):
             u, v = rows["node"][a + i], rows["node"][a + j]
             yield (u, v) if u > v else (v, u)
 
@@ -237,7 +226,7 @@ def _links(at: str, num: int, den: int):
 
         def work(last: bool):
             nonlocal keep
-            rows = {c: keep.column(c).to_numpy() for c in names} | {c: keep.column(c).to_pylist() for c in ("node", "file")}
+            rows = {c: keep.column(c).to_numpy() for c in names} | {c: keep.column(c).to_pylist() for c in ("node", "file", "part")}
             n = keep.num_rows
             new = np.ones(n, bool)
             new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["left"][1:] != rows["left"][:-1]) | (rows["right"][1:] != rows["right"][:-1])
@@ -257,6 +246,13 @@ def _links(at: str, num: int, den: int):
     return run
 
 
+def _solve(dealt: DataFrame, at: str, num: int, den: int) -> DataFrame:
+    """Links (u, v) within the blocks of lists, or between the two of a pair."""
+    dealt = dealt.select("token", "left", "right", "own", "node", "n", "pos", "file", "at", "part")
+    dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "n", "pos", "node")
+    return dealt.mapInArrow(_links(at, num, den), "u binary, v binary")
+
+
 def connected(edges: DataFrame, at: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): root is its component's least node."""
 
@@ -288,16 +284,16 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     ``width``-word shingles; component_id is the smallest id reachable by links.
     """
     spark = docs.sparkSession
-    at = shared.folder(spark, "jaccard")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    result = shared.folder(spark, "components")
+    with shared.scratch(spark):
+        return shared.cut(_components(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")), width, num, den, shared.folder(spark, "jaccard")), result)
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int, at: str) -> DataFrame:
     shards = max(8, -(-docs.count() // DOCS_PER_SHARD))
     bits = _order_bits(shards)
-    counted = docs.select("t").mapInArrow(_ship(width, bits, shards), BLOCK).groupBy("shard").applyInPandas(_store_frequent(at), "shard int, n long")
-    have = {r.shard for r in counted.collect()}  # a row per shard
-    for k in set(range(shards)) - have:
-        shared.put(f"{at}/df-{k:06d}", [])
-
-    rows = shared.cut(docs.mapInArrow(_index(at, width, bits, shards, num, den), _SETS), f"{at}/rows")
+    answered = docs.mapInArrow(_ship(at, width, bits, shards), BLOCK).groupBy("shard").applyInPandas(_frequencies, BLOCK)
+    rows = shared.cut(answered.groupBy("flush").applyInPandas(_index(at, bits, num, den), _SETS), f"{at}/rows")
     nodes = rows.where("file is not null").groupBy("node").agg(F.min(F.struct("file", "at", "first", "prefix", "df", F.col("n_shingles").alias("n"))).alias("x"))
     entries = nodes.select("node", "x.n", "x.file", "x.at", "x.first", F.posexplode(F.arrays_zip("x.prefix", "x.df")).alias("k", "e"))
     entries = entries.select("node", "n", "file", "at", (F.col("first") + F.col("k")).cast("int").alias("pos"), F.col("e.prefix").alias("token"), F.col("e.df").alias("df"))
@@ -306,12 +302,35 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     # The first shingle, in the unsigned order of the prefixes, of lists over the same nodes.
     rank = F.struct("df", F.expr("token ^ (-9223372036854775807L - 1)"), "token")
     lists = lists.where("size > 1").groupBy("size", "f1", "f2").agg(F.min(rank).alias("r")).select(F.col("r.token").alias("token"), F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = entries.drop("df").join(lists, "token")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "n", "pos", "file", "at")
-    dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "n", "pos", "node")
-    links = dealt.mapInArrow(_links(at, num, den), "u binary, v binary")
-    roots = connected(links, at)
+    dealt = shared.cut(entries.drop("df").join(lists, "token").withColumn("part", F.col("node")), f"{at}/dealt")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    # Each block of a list by itself.
+    first = dealt.withColumns({"own": own, "left": own, "right": own})
+    links = shared.cut(_solve(first, at, num, den), f"{at}/links")
+    roots = connected(links, f"{at}/first")
+    long = dealt.where("blocks > 1")
+    if not long.isEmpty():
+        # Of every component that a long list has by now one node is compared with those of the others ...
+        def parted():
+            return long.drop("part").join(roots.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+        entry = F.struct("node", "n", "pos", "file", "at")
+        some = parted().groupBy("token", "part").agg(F.min(entry).alias("x")).select("token", "part", "x.*")
+        blocks = some.groupBy("token").agg(F.ceil(F.count("*") / (4 * LIST_BLOCK)).cast("int").alias("blocks"))
+        some = some.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+        more = shared.cut(_solve(some.withColumns({"left": F.col("own"), "right": F.col("own")}), at, num, den), f"{at}/more")
+        roots = connected(links.unionByName(more), f"{at}/second")
+        # ... and then what is outside a list's largest component with all of it, by pairs of blocks.
+        rows_of = parted()
+        parts = rows_of.groupBy("token", "part").agg(F.count("*").alias("c"))
+        largest = parts.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("all"))
+        largest = largest.where("m.c < all").select("token", F.col("m.part").alias("most"), F.ceil((F.col("all") - F.col("m.c")) / LIST_BLOCK).cast("int").alias("cold"), F.ceil(F.col("m.c") / LIST_BLOCK).cast("int").alias("hot"))
+        rest = rows_of.join(largest, "token").withColumn("is_cold", F.col("part") != F.col("most"))
+        block = F.xxhash64("node", F.lit(7))
+        rest = rest.withColumn("own", F.when(F.col("is_cold"), F.pmod(block, F.col("cold"))).otherwise(F.col("cold") + F.pmod(block, F.col("hot"))).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_cold"), F.col("cold") + F.col("hot")).otherwise(F.col("cold")) - 1)))
+        last = shared.cut(_solve(rest.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")}), at, num, den), f"{at}/last")
+        roots = connected(links.unionByName(more).unionByName(last), f"{at}/third")
 
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     of_node = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
