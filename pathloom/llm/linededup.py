@@ -1,18 +1,20 @@
 """Line dedup: Bloom filters of once-seen and twice-seen line hashes.
 
-1. Every task hashes its documents' normalised lines and ships only sorted hash
-   blocks, one per hash shard.
+1. Every task hashes its documents' normalised lines, stores their digests and
+   ships only sorted hash blocks, one per hash shard (``exchange``).
 2. Each shard streams its blocks through a filter of once-seen hashes; a hash
-   that is already there is a suspect.  A second filter holds the suspects.
+   that is already there is a suspect.  A second filter holds the suspects, and
+   the blocks are answered by it: a bit for each hash.
 3. Only lines in that second filter (repeats and a few false positives) are
    shuffled with their ids, as 128-bit digests, for the exact count of
    documents and the choice of the document that keeps the line.
-4. Confirmed digests are stored as sorted arrays; the rebuilding pass maps them
-   into memory, so that no text is ever shuffled.
+4. What a document loses comes back to it by (id, hash of the text): a join that
+   Spark broadcasts or shuffles by the stored size of the losses.
 
-Shards grow in number with the documents, so a shard's filters and arrays stay
-of one size.  Suspects of one digest are pre-aggregated per task: a line in a
-third of all documents costs no task more than any other.
+Shards grow in number with the documents, so a shard's filters stay of one size,
+and a shard's filters are seen by its own task alone.  Suspects of one digest are
+pre-aggregated per task: a line in a third of all documents costs no task more
+than any other.
 
 Defined cases: a null text counts as one empty line and stays null; a null id is
 one id of its own, below all others; rows of equal id are one document; lines
@@ -22,14 +24,15 @@ rows; other columns stay (those named as outputs are replaced).
 
 from __future__ import annotations
 
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .exchange import BLOCK, Blocks, arrays, cells, flush_name, gathered, put_arrays, shard_of
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Hashes that a task holds before it ships them, and documents per hash shard.
@@ -58,181 +61,132 @@ def _digests(text: str | None, min_chars: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(k) for k in found]
 
 
-def _as_pairs(digests: list[bytes]) -> np.ndarray:
+def _as_pairs(digests: bytes) -> np.ndarray:
     """(n, 2) uint64; the first column is the hash that filters and shards use."""
-    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-
-
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)
 
 
 class Bloom:
-    """A Bloom filter over uint64 hashes with vectorised double hashing."""
+    """A Bloom filter over uint64 hashes with vectorised double hashing.
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    Many filters may lie in one array of bytes: ``first`` and ``size`` are then the
+    place of each hash's own filter.
+    """
+
+    def __init__(self, bits: np.ndarray, first=0, size=None):
+        self.bits, self.first, self.size = bits, first, len(bits) if size is None else size
 
     @classmethod
     def of_size(cls, keys: int) -> "Bloom":
         return cls(np.zeros(max(64, keys * BITS_PER_KEY // 8 + 1), np.uint8))
 
-    def _at(self, h: np.ndarray, k: int) -> np.ndarray:
+    def _at(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(byte, bit) of the k-th probe."""
         low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        return (low * np.uint64(0x9E3779B1) + np.uint64(k) * high * np.uint64(0x85EBCA77)) % np.uint64(len(self.bits) * 8)
+        at = (low * np.uint64(0x9E3779B1) + np.uint64(k) * high * np.uint64(0x85EBCA77)) % (np.asarray(self.size, np.uint64) * np.uint64(8))
+        return self.first + (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
 
     def add(self, h: np.ndarray) -> None:
         for k in range(PROBES):
-            at = self._at(h, k)
-            np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+            at, bit = self._at(h, k)
+            np.bitwise_or.at(self.bits, at, np.uint8(1) << bit)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
         for k in range(PROBES):
-            at = self._at(h, k)
-            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+            at, bit = self._at(h, k)
+            out &= (self.bits[at] >> bit & np.uint8(1)).astype(bool)
         return out
 
 
-def _ship(text_col: int, min_chars: int, shards: int):
-    """Batches of documents to (shard, sorted hash block)."""
-    schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("block", pa.binary())])
-
-    def flush(held):
-        # A hash that two documents of the task have goes out twice: that is what makes it a suspect.
-        h = np.concatenate(held)
-        h.sort()
-        keep = np.ones(len(h), bool)
-        keep[2:] = h[2:] != h[:-2]
-        h = h[keep]
-        s = _shard_of(h, shards)
-        ends = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint64))
-        cells = [(k, ends[k + 1] - ends[k], h[ends[k] : ends[k + 1]].tobytes()) for k in range(shards) if ends[k + 1] > ends[k]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), schema.types)], schema=schema)
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            for text in batch.column(text_col):
-                if d := _digests(text.as_py(), min_chars):
-                    held.append(_as_pairs(d)[:, 0].copy())
-                    n += len(d)
-                    if n >= FLUSH:
-                        yield flush(held)
-                        held, n = [], 0
-        if held:
-            yield flush(held)
-
-    return run
-
+def _asked(h: np.ndarray) -> np.ndarray:
+    """Sorted hashes; one that two documents of a flush have is there twice, which makes it a suspect."""
+    h = np.sort(h)
+    keep = np.ones(len(h), bool)
+    keep[2:] = h[2:] != h[:-2]
+    return h[keep]
 
-def _find_suspects(at: str):
-    """A shard's blocks to its stored filter of suspects."""
 
-    def run(key, pdf):
-        shard, n = int(pdf["shard"].iloc[0]), int(pdf["n"].sum())
-        once, twice = Bloom.of_size(n), []
-        for block in pdf["block"]:
-            h = np.frombuffer(block, np.uint64)
-            again = np.zeros(len(h), bool)
-            again[1:] = h[1:] == h[:-1]
-            fresh = h[~again]
-            seen = once.has(fresh)
-            twice += [h[again], fresh[seen]]
-            once.add(fresh[~seen])
-        found = np.unique(np.concatenate(twice))
-        suspects = Bloom.of_size(len(found))
-        suspects.add(found)
-        shared.put(f"{at}/twice-{shard:06d}", [suspects.bits.tobytes()])
-        import pandas as pd
-
-        return pd.DataFrame({"shard": [shard], "suspects": [len(found)]})
-
-    return lambda pdf: run(None, pdf)
+def _ship(at: str, min_chars: int, shards: int):
+    """Documents (id, hash of the text, text) to blocks of line hashes; their digests are stored."""
 
+    def run(batches):
+        ids, texts, digests, n, number = [], [], [], 0, 0
 
-def _suspected(at: str, shards: int, have: list[int], min_chars: int, id_col: int, text_col: int):
-    """Documents to (digest, id) of their suspected lines."""
-    there = np.zeros(shards, bool)
-    there[have] = True
+        def flush():
+            pairs = _as_pairs(b"".join(digests))
+            h = _asked(pairs[:, 0])
+            name = flush_name(number, np.array(ids, np.int64), pairs)
+            put_arrays(f"{at}/lines-{name}", ids=np.array(ids, np.int64), texts=np.array(texts, np.int64), pairs=pairs)
+            return cells(name, shard_of(h, shards), h)
 
-    def run(batches):
         for batch in batches:
-            ids, rows, digests = batch.column(id_col).to_pylist(), [], []
-            for i, text in enumerate(batch.column(text_col)):
-                d = _digests(text.as_py(), min_chars)
-                rows += [i] * len(d)
-                digests += d
-            if not digests:
-                continue
-            pairs, rows = _as_pairs(digests), np.array(rows)
-            hit = np.zeros(len(pairs), bool)
-            s = _shard_of(pairs[:, 0], shards).astype(np.int64)
-            order = np.argsort(s, kind="stable")
-            ends = np.searchsorted(s[order], np.arange(shards + 1))
-            for k in np.flatnonzero((ends[1:] > ends[:-1]) & there):
-                at_k = order[ends[k] : ends[k + 1]]
-                hit[at_k] = Bloom(shared.column(f"{at}/twice-{k:06d}", "u1")).has(pairs[at_k, 0])
-            pairs, rows = pairs[hit].view(np.int64), rows[hit]
-            own = np.array([_NULL_ID if i is None else i for i in ids], np.int64)[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(own)], names=["k1", "k2", "id"])
+            for own, hashed, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if d := _digests(text.as_py(), min_chars):
+                    ids += [_NULL_ID if own is None else own] * len(d)
+                    texts += [hashed] * len(d)
+                    digests += d
+                    n += len(d)
+                if n >= FLUSH:
+                    yield flush()
+                    ids, texts, digests, n, number = [], [], [], 0, number + 1
+        if n:
+            yield flush()
 
     return run
 
 
-def _store_confirmed(at: str):
-    """A shard's confirmed digests to sorted arrays (k1, k2, keeping id)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        shard = int(pdf["shard"].iloc[0])
-        k1, k2, keep = (pdf[c].to_numpy() for c in ("k1", "k2", "keep"))
-        k1, k2 = k1.view(np.uint64), k2.view(np.uint64)
-        o = np.lexsort((k2, k1))
-        shared.put(f"{at}/drop-{shard:06d}", [k1[o].tobytes(), k2[o].tobytes(), keep[o].tobytes()])
-        return pd.DataFrame({"shard": [shard], "n": [len(o)]})
+def _suspects(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A shard's blocks to a bit for each hash: whether the filter of twice-seen hashes has it."""
+    blocks = Blocks(pdf, 1)
+    (hashes,) = blocks.columns
+    once, twice = Bloom.of_size(len(hashes)), []
+    for a, b in zip(blocks.ends[:-1].tolist(), blocks.ends[1:].tolist()):
+        h = hashes[a:b]
+        again = np.zeros(len(h), bool)
+        again[1:] = h[1:] == h[:-1]
+        fresh = h[~again]
+        seen = once.has(fresh)
+        twice += [h[again], fresh[seen]]
+        once.add(fresh[~seen])
+    found = np.unique(np.concatenate(twice))
+    suspects = Bloom.of_size(len(found))
+    suspects.add(found)
+    return blocks.answers(suspects.has(hashes).astype(np.uint8))
+
+
+def _suspected(at: str):
+    """A flush's answers to (digest, id, hash of the text) of its suspected lines."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stored = arrays(f"{at}/lines-{pdf['flush'].iloc[0]}")
+        pairs = stored["pairs"].view("<u8").reshape(-1, 2)
+        h = _asked(pairs[:, 0])
+        (bits,) = gathered(pdf, 1, len(h))
+        hit = bits[np.searchsorted(h, pairs[:, 0])] > 0
+        own = pairs[hit].tobytes()
+        return pd.DataFrame({"digest": [own[i : i + 16] for i in range(0, len(own), 16)], "id": stored["ids"][hit], "t": stored["texts"][hit]})
 
     return run
 
 
-def _rebuild(at: str, shards: int, have: list[int], min_chars: int, schema: pa.Schema, id_name: str, text_name: str):
-    there = set(have)
-
-    def keeps(digest: bytes, own: int) -> bool:
-        k1, k2 = np.frombuffer(digest, np.uint64)
-        shard = int(_shard_of(k1, shards))
-        if shard not in there:
-            return True
-        a = shared.column(f"{at}/drop-{shard:06d}", "u8").reshape(3, -1)
-        i = int(np.searchsorted(a[0], k1))
-        while i < a.shape[1] and a[0, i] == k1:
-            if a[1, i] == k2:
-                return int(a[2, i].view(np.int64)) == own
-            i += 1
-        return True
+def _rebuild(min_chars: int, schema: pa.Schema, text_name: str):
+    """Documents with ``__gone``, the digests of the lines that they lose, to their new texts."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(id_name)).to_pylist()
             texts, total, dropped = [], [], []
-            for own, text in zip(ids, batch.column(batch.schema.get_field_index(text_name))):
+            for gone, text in zip(batch.column(batch.schema.get_field_index("__gone")), batch.column(batch.schema.get_field_index(text_name))):
                 text = text.as_py()
-                own = _NULL_ID if own is None else own
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                lines = raw.split(b"\n")
-                kept = lines
-                if len(raw) >= min_chars:
-                    known: dict = {}
-                    kept = []
-                    for line in lines:
-                        if (k := _key(line, min_chars)) is not None:
-                            if k not in known:
-                                known[k] = keeps(xxhash.xxh3_128_digest(k), own)
-                            if not known[k]:
-                                continue
-                        kept.append(line)
-                texts.append(None if text is None else b"\n".join(kept).decode("utf-8", "surrogatepass"))
+                if not gone.is_valid or text is None:
+                    texts.append(text)
+                    total.append((text or "").count("\n") + 1)
+                    dropped.append(0)
+                    continue
+                gone = set(gone.as_py())
+                lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+                kept = [x for x in lines if (k := _key(x, min_chars)) is None or xxhash.xxh3_128_digest(k) not in gone]
+                texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
                 total.append(len(lines))
                 dropped.append(len(lines) - len(kept))
             new = {text_name: pa.array(texts, schema.field(text_name).type), "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
@@ -247,22 +201,25 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, key: st
     A line whose key (stripped, A-Z lower-cased) has ``min_chars`` characters and
     is in ``min_docs`` documents stays only in the document of the largest id.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
-    at = shared.folder(spark, "lines")
-    shards = max(4, -(-docs.count() // DOCS_PER_SHARD))
-    narrow = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    blocks = docs.select(F.col(text).alias("t")).mapInArrow(_ship(0, min_chars, shards), "shard int, n long, block binary")
-    have = [r[0] for r in blocks.groupBy("shard").applyInPandas(_find_suspects(at), "shard int, suspects long").collect() if r[1]]  # a row per shard
-    suspects = narrow.mapInArrow(_suspected(at, shards, have, min_chars, 0, 1), "k1 long, k2 long, id long")
-    counted = suspects.groupBy("k1", "k2").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("keep")).where(F.col("docs") >= min_docs)
-    # unsigned k1 >> 32, scaled to the number of shards
-    shard = F.shiftright(F.shiftrightunsigned("k1", 32) * shards, 32).cast("int")
-    stored = counted.select(shard.alias("shard"), "k1", "k2", "keep").groupBy("shard").applyInPandas(_store_confirmed(at), "shard int, n long").collect()
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped")
+    losses = shared.folder(spark, "losses")
+    own = {"__id": F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)), "__t": F.xxhash64(text)}
+    with shared.scratch(spark):
+        at = shared.folder(spark, "lines")
+        shards = max(4, -(-docs.count() // DOCS_PER_SHARD))
+        asked = docs.select(F.col(key).cast("long").alias("id"), own["__t"].alias("t"), F.col(text).alias("text")).mapInArrow(_ship(at, min_chars, shards), BLOCK)
+        answered = asked.groupBy("shard").applyInPandas(_suspects, BLOCK)
+        suspects = shared.cut(answered.groupBy("flush").applyInPandas(_suspected(at), "digest binary, id long, t long"), f"{at}/suspects")
+        often = suspects.groupBy("digest").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("keep")).where(F.col("docs") >= min_docs)
+        often = shared.cut(often.drop("docs"), f"{at}/often")
+        lost = suspects.join(often, "digest").where("id <> keep")
+        lost = shared.cut(lost.groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("digest").alias("__gone")), losses)
     out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    return docs.mapInArrow(_rebuild(at, shards, [r[0] for r in stored], min_chars, to_arrow_schema(out), key, text), out)
+    joined = docs.withColumns(own).join(lost, ["__id", "__t"], "left")
+    return joined.select(*docs.columns, "__gone").mapInArrow(_rebuild(min_chars, to_arrow_schema(out), text), out)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

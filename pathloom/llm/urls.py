@@ -6,16 +6,17 @@ and so on until nothing passes wrongly.  A key of the universe is listed exactly
 if the first level that rejects it is an odd one (or if none rejects it and
 their number is odd).
 
-Keys are dealt to shards by hash, so a cascade is built per shard over a bounded
-number of keys; the number of shards grows with the universe.  Cascades are
-stored as files in the shared folder and mapped by the workers: judging a url
-needs no join and no broadcast of keys.
+Keys are two 64-bit hashes, dealt to shards, so a cascade is built per shard over a
+bounded number of keys; the number of shards grows with the universe.  The levels
+of a few hundred shards lie in one segment file and a directory says where: a
+worker maps the segments once (about two bytes a listed key) and looks a batch up
+level by level in whole arrays, without a step per shard and without a join.
 
 Allow and block rules of (host, path prefix) come first: a rule fits its host
 and all subdomains, and the longest one wins.
 
 Defined cases: a null url or one without ``://`` has empty host and path; an
-empty universe or an empty list gives no listed key; repeated rows are judged
+empty universe or an empty list gives no listed key; a key with both marks is listed; repeated rows are judged
 alike; an empty table gives no rows; other columns stay (those named as outputs
 are replaced).
 """
@@ -28,8 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .exchange import arrays, put_arrays, runs, shard_of
+from .linededup import Bloom
+from .words import mix
 
-KEYS_PER_SHARD = 50_000
+KEYS_PER_SHARD, SHARDS_PER_SEGMENT = 4_000, 256
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -52,82 +56,107 @@ def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def _hash(keys: pd.Series) -> np.ndarray:
-    import xxhash
+def key_hashes(key: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a key, null for null."""
+    return F.when(key.isNotNull(), F.xxhash64(key)), F.when(key.isNotNull(), F.xxhash64(F.lit(1), key))
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
 
+def _probe(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
+    """The 64 bits that a level's filter goes by."""
+    return mix(a + mix(b + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)))
 
-def _salted(h: np.ndarray, level: int) -> np.ndarray:
-    from .words import mix
 
-    return mix(h + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def build_cascade(h: np.ndarray, listed: np.ndarray) -> list[np.ndarray]:
-    """Levels of filter bits for distinct key hashes ``h``, some of them listed."""
-    from .linededup import Bloom
-
-    yes, no, levels = h[listed], h[~listed], []
-    while len(yes):
-        bloom = Bloom.of_size(len(yes))
-        bloom.add(_salted(yes, len(levels)))
+def build_cascade(a: np.ndarray, b: np.ndarray, listed: np.ndarray) -> list[np.ndarray]:
+    """Levels of filter bits for distinct keys of hashes (a, b), some of them listed."""
+    own, levels = np.flatnonzero(listed), []
+    other = np.flatnonzero(~listed)
+    while len(own):
+        bloom = Bloom.of_size(len(own))
+        bloom.add(_probe(a[own], b[own], len(levels)))
         levels.append(bloom.bits)
-        yes, no = no[bloom.has(_salted(no, len(levels) - 1))], yes
+        own, other = other[bloom.has(_probe(a[other], b[other], len(levels) - 1))], own
         if len(levels) > 200:
-            raise ValueError("two keys of one hash on different sides")
+            raise ValueError("two keys have the same 128 bits of hash and different marks")
     return levels
 
 
-def in_cascade(h: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    from .linededup import Bloom
-
-    out, live = np.zeros(len(h), bool), np.arange(len(h))
-    for k, bits in enumerate(levels):
-        passed = Bloom(bits).has(_salted(h[live], k))
+def _in_levels(a: np.ndarray, b: np.ndarray, place: np.ndarray, levels: int, bits: np.ndarray) -> np.ndarray:
+    """Whether the cascades at ``place`` (first byte and length by level, 0 for none) list the keys."""
+    out, live = np.zeros(len(a), bool), np.arange(len(a))
+    for k in range(levels):
+        size = place[live, 2 * k + 1]
+        ended = size == 0
+        out[live[ended]] = k % 2 == 1
+        live, size = live[~ended], size[~ended]
+        if not len(live):
+            return out
+        passed = Bloom(bits, place[live, 2 * k], size).has(_probe(a[live], b[live], k))
         out[live[~passed]] = k % 2 == 1
         live = live[passed]
-    out[live] = len(levels) % 2 == 1
+    out[live] = levels % 2 == 1
     return out
 
 
-def store_cascade(universe: DataFrame, key: str, listed: str) -> tuple[str, int, list[int]]:
-    """Build and store the cascades of a universe of distinct keys: (folder, shards, shards that list keys)."""
+def store_cascade(universe: DataFrame, key: str, listed: str) -> tuple[str, int, set[int]]:
+    """Build and store the cascades of a universe of keys: (folder, shards, segments that have keys)."""
     spark = universe.sparkSession
     at = shared.folder(spark, "cascade")
-    keys = shared.cut(universe.select(F.col(key).alias("key"), F.col(listed).alias("listed")).where(F.col("key").isNotNull()), f"{at}/keys")
+    h, g = key_hashes(F.col(key))
+    keys = universe.where(F.col(key).isNotNull()).groupBy(h.alias("a"), g.alias("b")).agg(F.max(F.col(listed)).alias("listed"))
+    keys = shared.cut(keys, f"{at}/keys")
     shards = max(4, -(-keys.count() // KEYS_PER_SHARD))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, h = int(pdf["shard"].iloc[0]), _hash(pdf["key"])
-        levels = build_cascade(h, pdf["listed"].to_numpy(bool))
-        head = np.array([len(levels), *[len(x) for x in levels]], np.int64)
-        shared.put(f"{at}/levels-{shard:06d}", [head.tobytes(), *[x.tobytes() for x in levels]])
-        return pd.DataFrame({"shard": [shard], "levels": [len(levels)]})
-
-    made = keys.withColumn("shard", F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, levels int").collect()
-    return at, shards, [r[0] for r in made if r[1]]
-
-
-def member(stored: tuple[str, int, list[int]]):
+        a, b = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
+        own = shard_of(a, shards)
+        order = np.argsort(own, kind="stable")
+        ends = runs(own[order])
+        made, body, at_byte = [], [], 0
+        for x, y in zip(ends[:-1], ends[1:]):
+            i = order[x:y]
+            levels = build_cascade(a[i], b[i], pdf["listed"].to_numpy(bool)[i])
+            places = []
+            for bits in levels:
+                places += [at_byte, len(bits)]
+                body.append(bits)
+                at_byte += len(bits)
+            made.append((int(own[order[x]]), places))
+        wide = max(len(p) for _, p in made)
+        table = np.zeros((SHARDS_PER_SEGMENT, wide), np.int64)
+        first = made[0][0] // SHARDS_PER_SEGMENT * SHARDS_PER_SEGMENT
+        for k, p in made:
+            table[k - first, : len(p)] = p
+        segment = first // SHARDS_PER_SEGMENT
+        put_arrays(f"{at}/segment-{segment:06d}", wide=np.array([wide]), table=table, bits=np.concatenate(body) if body else np.zeros(1, np.uint8))
+        return pd.DataFrame({"segment": [segment]})
+
+    segment = F.shiftright(F.shiftrightunsigned("a", 32) * shards, 32 + int(np.log2(SHARDS_PER_SEGMENT)))
+    made = shared.cut(keys.withColumn("segment", segment).groupBy("segment").applyInPandas(build, "segment long"), f"{at}/made")
+    return at, shards, {r.segment for r in made.collect()}  # a number per million keys
+
+
+def member(stored: tuple[str, int, set[int]]):
     """A function of a key column: whether the key is listed (null: no)."""
     at, shards, have = stored
 
     @F.pandas_udf("boolean")
-    def listed(keys: pd.Series) -> pd.Series:
-        import zlib
-
-        out = np.zeros(len(keys), bool)
-        shard = np.fromiter((-1 if k is None else zlib.crc32(k.encode("utf-8", "surrogatepass")) % shards for k in keys), np.int64, len(keys))
-        for k in set(shard.tolist()) & set(have):
-            rows = np.flatnonzero(shard == k)
-            raw = shared.column(f"{at}/levels-{k:06d}", "u1")
-            n = int(raw[:8].view(np.int64)[0])
-            ends = np.concatenate([[0], np.cumsum(raw[8 : 8 + 8 * n].view(np.int64))]) + 8 + 8 * n
-            out[rows] = in_cascade(_hash(keys.iloc[rows]), [raw[a:b] for a, b in zip(ends[:-1], ends[1:])])
+    def listed(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = (x.to_numpy(np.int64).view(np.uint64) for x in (a, b))
+        out, shard = np.zeros(len(a), bool), shard_of(a, shards)
+        segment = shard // SHARDS_PER_SEGMENT
+        for k in set(segment.tolist()) & have:
+            own = arrays(f"{at}/segment-{k:06d}")
+            rows = np.flatnonzero(segment == k)
+            wide = int(own["wide"][0])
+            table = own["table"].reshape(SHARDS_PER_SEGMENT, wide)
+            out[rows] = _in_levels(a[rows], b[rows], table[shard[rows] - k * SHARDS_PER_SEGMENT], wide // 2, own["bits"])
         return pd.Series(out)
 
-    return listed
+    def of(key: Column) -> Column:
+        a, b = key_hashes(key)
+        return key.isNotNull() & listed(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))
+
+    return of
 
 
 def filter_urls(pages: DataFrame, listed_hosts: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
