@@ -1,9 +1,11 @@
 """Media columns: PNG images in binary columns, decoded with numpy, and cosine-transform hashes.
 
 ``encode_png`` writes 8-bit greyscale images: signature, IHDR, zlib-compressed
-IDAT chunks and IEND, each chunk with its CRC-32.  ``decode_png`` tests every
-checksum, inflates the IDAT chunks as one stream and undoes the five row filters
-with numpy.  ``cosine_hash`` averages the image into a 32 x 32 grid and takes
+IDAT chunks and IEND, each chunk with its CRC-32.  Decoding tests every checksum,
+inflates the IDAT chunks as one stream and undoes the five row filters with numpy,
+for many images at once: a sample needs its left, upper and corner neighbours, so
+all samples on one diagonal of their images are computed together, and a batch
+takes as many steps as its tallest image has rows, and 64.  ``cosine_hash`` averages the image into a 32 x 32 grid and takes
 the signs of its 64 lowest frequencies against their median.
 
 ``payload`` is what a text is stored as: its UTF-8 bytes, padded with bytes 0 to
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .words import slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-WIDTH, CHUNK = 64, 1 << 18
+WIDTH, CHUNK, SLICE = 64, 1 << 18, 4 << 20
 FILTERS = {"none": 0, "sub": 1, "up": 2, "average": 3, "paeth": 4}
 
 
@@ -41,61 +44,89 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
 
 
-def filter_rows(image: np.ndarray, kind: int) -> np.ndarray:
-    x = image.astype(np.int16)
+def filter_rows(rows: np.ndarray, row_filter: str, first: np.ndarray) -> np.ndarray:
+    """(rows, 1 + width) filtered rows of images below each other; ``first`` marks their first rows.
+
+    ``adaptive`` takes for each row the filter of the least sum of absolute values.
+    """
+    x = rows.astype(np.int16)
     left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
-    left[:, 1:], up[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
-    take = (0, left, up, (left + up) >> 1, None)[kind]
-    return ((x - (_paeth(left, up, corner) if kind == 4 else take)) & 255).astype(np.uint8)
-
-
-def encode_png(image: np.ndarray, row_filter: str = "none", level: int = 6) -> bytes:
-    """A PNG of a (height, width) uint8 array; ``adaptive`` picks each row's filter by least absolute sum."""
-    height, width = image.shape
-    if row_filter == "adaptive":
-        each = np.stack([filter_rows(image, k) for k in range(5)])
-        kinds = np.abs(each.view(np.int8).astype(np.int32)).sum(axis=2).argmin(axis=0)
-        rows = each[kinds, np.arange(height)]
-    else:
-        kinds, rows = np.full(height, FILTERS[row_filter]), filter_rows(image, FILTERS[row_filter]) if FILTERS[row_filter] else image
-    raw = np.empty((height, width + 1), np.uint8)
-    raw[:, 0], raw[:, 1:] = kinds, rows
-    packed = zlib.compress(raw.tobytes(), level)
-    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return b"".join([SIGNATURE, _chunk(b"IHDR", head), *[_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK)], _chunk(b"IEND", b"")])
+    left[:, 1:], up[1:] = x[:, :-1], x[:-1]
+    up[first] = 0
+    corner[:, 1:] = up[:, :-1]
 
+    def by(kind: int) -> np.ndarray:
+        guess = (0, left, up, (left + up) >> 1, None)[kind] if kind < 4 else _paeth(left, up, corner)
+        return ((x - guess) & 255).astype(np.uint8)
 
-def unfilter(raw: np.ndarray) -> np.ndarray:
-    """Samples of (height, 1 + width) filtered rows."""
-    kinds, out = raw[:, 0], raw[:, 1:].copy()
-    if kinds.max(initial=0) > 4:
-        raise ValueError("unknown row filter")
-    if not kinds.any():
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    if row_filter != "adaptive":
+        out[:, 0], out[:, 1:] = FILTERS[row_filter], by(FILTERS[row_filter])
         return out
-    zero = np.zeros(out.shape[1], np.uint8)
-    for y in range(len(out)):
-        kind, up = kinds[y], out[y - 1] if y else zero
-        if kind == 1:
-            out[y] = np.cumsum(out[y], dtype=np.uint8)
-        elif kind == 2:
-            out[y] += up
-        elif kind in (3, 4):
-            row, above, left, corner = out[y].tolist(), up.tolist(), 0, 0
-            for x, b in enumerate(above):
-                if kind == 3:
-                    left = (row[x] + ((left + b) >> 1)) & 255
-                else:
-                    p = left + b - corner
-                    d = abs(p - left), abs(p - b), abs(p - corner)
-                    near = left if d[0] <= d[1] and d[0] <= d[2] else b if d[1] <= d[2] else corner
-                    left, corner = (row[x] + near) & 255, b
-                row[x] = left
-            out[y] = row
+    best = np.full(len(rows), 1 << 30, np.int64)
+    for kind in range(5):
+        own = by(kind)
+        cost = np.abs(own.view(np.int8).astype(np.int16)).sum(axis=1)
+        better = cost < best
+        best[better] = cost[better]
+        out[better, 0], out[better, 1:] = kind, own[better]
     return out
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """The (height, width) samples of an 8-bit greyscale PNG; ValueError if it is damaged."""
+def _file(filtered: np.ndarray, level: int) -> bytes:
+    height, width = filtered.shape[0], filtered.shape[1] - 1
+    packed = zlib.compress(filtered.tobytes(), level)
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"".join([SIGNATURE, _chunk(b"IHDR", head), *[_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK)], _chunk(b"IEND", b"")])
+
+
+def _starts(heights: np.ndarray) -> np.ndarray:
+    return np.cumsum(heights) - heights
+
+
+def encode_many(rows: np.ndarray, heights: np.ndarray, row_filter: str = "adaptive", level: int = 6) -> list[bytes]:
+    """PNGs of images of the same width, given below each other."""
+    at = _starts(heights)
+    filtered = filter_rows(rows, row_filter, at)
+    return [_file(filtered[a : a + h], level) for a, h in zip(at.tolist(), heights.tolist())]
+
+
+def encode_png(image: np.ndarray, row_filter: str = "adaptive", level: int = 6) -> bytes:
+    """A PNG of a (height, width) uint8 array."""
+    return encode_many(image, np.array([len(image)]), row_filter, level)[0]
+
+
+def unfilter(raw: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """Samples of images below each other, from their (rows, 1 + width) filtered rows."""
+    if raw[:, 0].max(initial=0) > 4:
+        raise ValueError("unknown row filter")
+    count, width = raw.shape[0], raw.shape[1] - 1
+    y = np.arange(count) - np.repeat(_starts(heights), heights)
+    order = np.argsort(y, kind="stable")  # rows by their place in their image
+    y = y[order]
+    kinds = raw[order, 0]
+    place = np.empty(count, np.int64)
+    place[order] = np.arange(count)
+    above = np.where(y > 0, place[np.maximum(order - 1, 0)] + 1, 0) * (width + 1)
+    own = (np.arange(count) + 1) * (width + 1)
+    body = raw[order, 1:].astype(np.int16).ravel()
+    out = np.zeros((count + 1) * (width + 1), np.int16)  # a row and a column of zeros around the samples
+    least = np.searchsorted(y, np.arange(int(heights.max(initial=0)) + 2 * width), "left")
+    for t in range(int(heights.max(initial=0)) + width - 1):
+        lo, hi = least[max(0, t - width + 1)], least[t + 1]
+        x = t - y[lo:hi]
+        at, over = own[lo:hi] + x, above[lo:hi] + x
+        left, up, corner = out[at], out[over + 1], out[over]
+        kind = kinds[lo:hi]
+        guess = np.choose(kind, (0, left, up, (left + up) >> 1, _paeth(left, up, corner)))
+        out[at + 1] = (body[np.arange(lo, hi) * width + x] + guess) & 255
+    samples = np.empty((count, width), np.uint8)
+    samples[order] = out.reshape(count + 1, width + 1)[1:, 1:]
+    return samples
+
+
+def inflate(data: bytes) -> np.ndarray:
+    """The (height, 1 + width) filtered rows of an 8-bit greyscale PNG; ValueError if it is damaged."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, size, parts, ended = 8, None, [], False
@@ -121,7 +152,25 @@ def decode_png(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
     if len(raw) != size[0] * (size[1] + 1):
         raise ValueError("wrong number of samples")
-    return unfilter(raw.reshape(size[0], size[1] + 1))
+    return raw.reshape(size[0], size[1] + 1)
+
+
+def decode_many(data: list[bytes]) -> list[np.ndarray]:
+    """The (height, width) samples of each image."""
+    out: list = [None] * len(data)
+    rows = [inflate(d) for d in data]
+    for width in {r.shape[1] for r in rows}:
+        own = [i for i, r in enumerate(rows) if r.shape[1] == width]
+        heights = np.array([len(rows[i]) for i in own])
+        samples = unfilter(np.concatenate([rows[i] for i in own]), heights)
+        for i, a, h in zip(own, _starts(heights).tolist(), heights.tolist()):
+            out[i] = samples[a : a + h]
+    return out
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """The (height, width) samples of one image."""
+    return decode_many([data])[0]
 
 
 _GRID = 32
@@ -153,17 +202,19 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % 64 if raw else 64), len(raw)
 
 
-def store_texts(docs: DataFrame, text: str = "text", row_filter: str = "none") -> DataFrame:
+def store_texts(docs: DataFrame, text: str = "text", row_filter: str = "adaptive") -> DataFrame:
     """``docs`` with ``media`` (PNG, binary) and ``n_bytes``; ``text`` goes."""
     keep = [f for f in docs.schema if f.name not in (text, "media", "n_bytes")]
 
     def run(batches):
         for batch in batches:
             media, sizes = [], []
-            for t in batch.column(batch.schema.get_field_index(text)):
-                body, n = payload(t.as_py())
-                media.append(encode_png(np.frombuffer(body, np.uint8).reshape(-1, WIDTH), row_filter))
-                sizes.append(n)
+            texts = batch.column(batch.schema.get_field_index(text))
+            for a, b in slices(texts, SLICE):
+                bodies = [payload(t.as_py()) for t in texts[a:b]]
+                sizes += [n for _, n in bodies]
+                rows = np.frombuffer(b"".join(x for x, _ in bodies), np.uint8).reshape(-1, WIDTH)
+                media += encode_many(rows, np.array([len(x) // WIDTH for x, _ in bodies]), row_filter)
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(media, pa.binary()), pa.array(sizes, pa.int64())], names=[*[f.name for f in keep], "media", "n_bytes"])
 
@@ -178,10 +229,14 @@ def read_media(media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             bodies, feats = [], []
-            for m in batch.column(batch.schema.get_field_index("media")):
-                image = None if m.as_py() is None else decode_png(m.as_py())
-                bodies.append(None if image is None else image.tobytes())
-                feats.append(None if image is None else cosine_hash(image))
+            media = batch.column(batch.schema.get_field_index("media"))
+            for a, b in slices(media, SLICE // 2):
+                own = media[a:b].to_pylist()
+                images = iter(decode_many([m for m in own if m is not None]))
+                for m in own:
+                    image = None if m is None else next(images)
+                    bodies.append(None if image is None else image.tobytes())
+                    feats.append(None if image is None else cosine_hash(image))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(bodies, pa.binary()), pa.array(feats, pa.string())], names=[*names, "payload", "feature"])
 
     out = media.select(*names, F.lit(b"").alias("payload"), F.lit("").alias("feature")).schema
