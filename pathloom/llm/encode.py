@@ -10,12 +10,16 @@ of its pieces in order:
   piece is a run of those six characters and the run of others after it.  A text
   that has other white space (where such a cut could fall inside a run) is
   encoded whole.
+* ``whole``: for all other tokenizers; every text is encoded whole.
+
+``mode_of`` reads from the tokenizer's file which of these holds.
 
 Pieces are encoded once and kept in a bounded cache of the worker.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -49,10 +53,37 @@ def _odd_rows(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offs, found, "right") - 1) if found else np.zeros(0, np.int64)
 
 
+# The parts of tokenizer files for which the cuts above are right.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False}
+_PLAIN_NORMALIZERS = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+
+
+def mode_of(path: str) -> str:
+    """How texts may be cut for the tokenizer of a file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for t in spec.get("added_tokens") or []:
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or any(c.isspace() for c in t["content"]):
+            return "whole"
+    if spec.get("truncation") or (spec.get("model") or {}).get("dropout"):
+        return "whole"
+    normalizer, split = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    steps = [] if normalizer is None else normalizer.get("normalizers", [normalizer])
+    if not steps and split.items() >= _BYTES.items() and split.get("use_regex"):
+        return "spaced"
+    parts = split.get("pretokenizers", [split])
+    first = {"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    if all(x in _PLAIN_NORMALIZERS for x in steps) and parts[0] == first and all(x.items() >= _BYTES.items() and not x.get("use_regex") for x in parts[1:]):
+        return "words"
+    return "whole"
+
+
 class Encoder:
     """``encode(texts)`` gives (uint32 ids of all texts, pointers), as the tokenizer gives them for each whole text."""
 
-    def __init__(self, path: str, mode: str):
+    def __init__(self, path: str, mode: str | None = None):
+        mode = mode or mode_of(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,6 +120,9 @@ class Encoder:
             self.slot.update(zip(part, range(n, n + len(part))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.mode == "whole":
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.concatenate([[0], np.cumsum([len(g) for g in got], dtype=np.int64)])
         raw, offs = buffers(texts)
         whole = _odd_rows(raw, offs) if self.mode == "spaced" else np.zeros(0, np.int64)
         pieces, ptr = _spaced_pieces(raw, offs) if self.mode == "spaced" else split_words(texts, lower=False)
@@ -117,11 +151,11 @@ class Encoder:
 _encoders: dict = {}
 
 
-def encoder(path: str, mode: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file; it lives as long as the worker."""
-    if (path, mode) not in _encoders:
-        _encoders[path, mode] = Encoder(path, mode)
-    return _encoders[path, mode]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def with_end(ids: np.ndarray, ptr: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,11 +6,14 @@ of bins; crossover injects the donor's best-filled bins whole, drops the bins
 that hold a piece twice, and best-fits the displaced pieces by descending size;
 mutation empties the worst-filled bins.  After each epoch every island hands its
 elite to the next one of the ring.  A shard is done as soon as it reaches the
-lower bound of its bin count, so easy shards cost one best-fit pass.
+lower bound of its bin count: no packing has fewer bins, so that further
+generations could change nothing.  Where best-fit falls short the generations run;
+each epoch's table holds their number (``generations``), and epochs end when all
+shards are done.
 
 A shard has a bounded number of pieces whatever the input is, so memory and time
-per task stay the same; sharding costs at most the one partly filled bin per
-shard that its lower bound has over the exact quotient.
+per task stay the same.  Sharding leaves one partly filled bin per shard; those of
+``JOINED`` shards are then packed together in the same way.
 
 Defined cases: a null or empty text is its end id alone; a text longer than a
 sequence is cut from its end, so that its first piece may be shorter; repeated
@@ -32,16 +35,16 @@ from . import shared
 from .encode import SLICE, encoder, with_end
 from .words import slices
 
-PIECES_PER_SHARD, ISLANDS, EPOCHS = 4096, 3, 3
+PIECES_PER_SHARD, ISLANDS, EPOCHS, JOINED = 4096, 3, 3, 256
 POPULATION, OFFSPRING = 6, 12
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, mode: str, end: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's tokens."""
 
     def run(batches):
-        own = encoder(tokenizer, mode)
+        own = encoder(tokenizer)
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):
                 ids, ptr = with_end(*own.encode(batch.column(1)[a:b]), end)
@@ -156,13 +159,14 @@ def mutate(x: Bins, size: np.ndarray, room: int, rng: random.Random) -> Bins:
     return rest.place(pieces, size, room, rng)
 
 
-def evolve(size: np.ndarray, room: int, elite: list[Bins], seed: int) -> Bins:
-    """One epoch of an island; ends early at the lower bound."""
+def evolve(size: np.ndarray, room: int, elite: list[Bins], seed: int) -> tuple[Bins, int, bool]:
+    """One epoch of an island: (best chromosome, generations bred, whether it has reached the lower bound, which ends it)."""
     rng, bound = random.Random(seed), lower_bound(size, room)
     key = lambda b: b.fitness(room)
     pool = list(elite) or [best_fit(size, room)]
     while len(pool) < POPULATION and len(max(pool, key=key).left) > bound:
         pool.append(best_fit(size, room, rng))
+    bred = 0
     for _ in range(OFFSPRING):
         pool.sort(key=key, reverse=True)
         if len(pool[0].left) <= bound:
@@ -172,7 +176,9 @@ def evolve(size: np.ndarray, room: int, elite: list[Bins], seed: int) -> Bins:
         if rng.random() < 0.5:
             child = mutate(child, size, room, rng)
         pool = [*pool[: POPULATION - 1], child]
-    return max(pool, key=key)
+        bred += 1
+    best = max(pool, key=key)
+    return best, bred, len(best.left) <= bound
 
 
 def pack(pieces: DataFrame, room: int, seed: int = 41, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -194,17 +200,19 @@ def pack(pieces: DataFrame, room: int, seed: int = 41, islands: int = ISLANDS, e
     def epoch(number: int):
         def run(frames):
             for pdf in frames:
-                bins, fills = [], []
+                bins, fills, bred, done = [], [], [], []
                 for r in pdf.itertuples():
                     size = np.frombuffer(r.sizes, "<i8")
                     elite = []
                     for blob in () if r.elite is None else r.elite:
                         bin_of = np.frombuffer(blob, "<i4").astype(np.int64)
                         elite.append(Bins(bin_of, room - np.bincount(bin_of, size).astype(np.int64)))
-                    got = evolve(size, room, elite, hash((seed, number, r.shard, r.island)))
+                    got, n, at_bound = evolve(size, room, elite, hash((seed, number, r.shard, r.island)))
+                    bred.append(n)
+                    done.append(at_bound)
                     bins.append(got.bin_of.astype("<i4").tobytes())
                     fills.append([float(x) for x in got.fitness(room)])
-                yield pd.DataFrame({"shard": pdf["shard"], "island": pdf["island"], "own": bins, "fit": fills})
+                yield pd.DataFrame({"shard": pdf["shard"], "island": pdf["island"], "own": bins, "fit": fills, "generations": bred, "done": done})
 
         return run
 
@@ -218,8 +226,10 @@ def pack(pieces: DataFrame, room: int, seed: int = 41, islands: int = ISLANDS, e
             moved = found.select("shard", ((F.col("island") + 1) % islands).alias("island"), "own")
             elites = own.unionByName(moved).groupBy("shard", "island").agg(F.collect_list("own").alias("elite"))
             state = ring.join(elites, ["shard", "island"])
-        rows = state.repartition("shard", "island").mapInPandas(epoch(number), "shard int, island int, own binary, fit array<double>")
+        rows = state.repartition("shard", "island").mapInPandas(epoch(number), "shard int, island int, own binary, fit array<double>, generations int, done boolean")
         found = shared.cut(rows, f"{at}/epoch-{number}")
+        if found.groupBy("shard").agg(F.max("done").alias("done")).where("NOT done").isEmpty():
+            break
     best = found.groupBy("shard").agg(F.max_by("own", F.struct("fit", "island")).alias("own"))
 
     def places(frames):
@@ -229,17 +239,36 @@ def pack(pieces: DataFrame, room: int, seed: int = 41, islands: int = ISLANDS, e
                 order = np.argsort(bin_of, kind="stable")
                 upto = np.cumsum(size[order]) - size[order]
                 first = np.searchsorted(bin_of[order], bin_of[order])
-                yield pd.DataFrame({"rid": rid[order], "sequence_id": (r.shard << 32) + bin_of[order], "offset": upto - upto[first]})
+                worst = int(np.argmin(np.bincount(bin_of, size)))
+                yield pd.DataFrame({"rid": rid[order], "length": size[order], "sequence_id": (r.shard << 32) + bin_of[order], "offset": upto - upto[first], "worst": bin_of[order] == worst})
 
-    placed = problem.join(best, "shard").select("shard", "rids", "sizes", "own").mapInPandas(places, "rid long, sequence_id long, offset long")
+    def join_worst(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The worst-filled bins of some shards, packed together."""
+        pdf = pdf.sort_values("rid")
+        size, names = pdf["length"].to_numpy(np.int64), pdf["sequence_id"].to_numpy()
+        group = int(pdf["group"].iloc[0])
+        kinds, bin_of = np.unique(names, return_inverse=True)
+        got, _, _ = evolve(size, room, [Bins(bin_of.astype(np.int64), room - np.bincount(bin_of, size).astype(np.int64)), best_fit(size, room)], hash((seed, group)))
+        if len(got.left) < len(kinds):
+            kinds, bin_of = (1 << 62) + (group << 32) + np.arange(len(got.left)), got.bin_of
+        order = np.argsort(bin_of, kind="stable")
+        upto = np.cumsum(size[order]) - size[order]
+        first = np.searchsorted(bin_of[order], bin_of[order])
+        return pd.DataFrame({"rid": pdf["rid"].to_numpy()[order], "sequence_id": kinds[bin_of[order]], "offset": upto - upto[first]})
+
+    packed = problem.join(best, "shard").select("shard", "rids", "sizes", "own").mapInPandas(places, "rid long, length long, sequence_id long, offset long, worst boolean")
+    packed = shared.cut(packed, f"{at}/packed")
+    worst = packed.where("worst").withColumn("group", F.floor(F.shiftright("sequence_id", 32) / JOINED).cast("long"))
+    joined = worst.groupBy("group").applyInPandas(join_worst, "rid long, sequence_id long, offset long")
+    placed = packed.where("NOT worst").select("rid", "sequence_id", "offset").unionByName(joined)
     full = pieces.where(F.col("length") >= room).select(*pieces.columns, (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return pieces.where(F.col("length") < room).join(placed, "rid").select(*full.columns).unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, mode: str = "spaced", end: int = 0, room: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, room: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents with their sequence and offset."""
     at = shared.folder(docs.sparkSession, "pieces")
-    pieces = shared.cut(cut_pieces(docs, tokenizer, mode, end, room, key, text).withColumn("rid", F.monotonically_increasing_id()), at)
+    pieces = shared.cut(cut_pieces(docs, tokenizer, end, room, key, text).withColumn("rid", F.monotonically_increasing_id()), at)
     return pack(pieces, room).drop("rid")
 
 

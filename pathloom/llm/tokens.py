@@ -6,13 +6,14 @@ a row index every ``stride`` rows, and Bloom filters on the document ids.
 Readers take stripes in parallel; a filter on ids skips files and stripes by
 their statistics and row groups by row index and Bloom filter.
 
-The place of a document's ids in the order of all ids is the sum of the lower
-files' token counts (one row per file) plus a running sum within its file.
+Every record holds the number of its file in the order (``part``) and the place
+of its first id among the file's ids (``at``).  The place among all ids is the sum
+of the lower files' token counts (one row per file) plus ``at``.
 
 Defined cases: a null or empty text has the end id alone; a null document id
-comes first; rows of equal id keep their own records, ordered by length and
-checksum; an empty table gives an empty folder of files; other columns are not
-written.
+comes first; rows of equal id keep their own records in the order of a hash of
+their texts, by which they may also be spread over several files; an empty table
+gives an empty folder of files; other columns are not written.
 """
 
 from __future__ import annotations
@@ -28,34 +29,38 @@ from . import shared
 from .encode import SLICE, encoder, with_end
 from .words import slices
 
-SCHEMA = "doc_id long, n_tokens int, ids array<int>"
+SCHEMA = "doc_id long, n_tokens int, part int, at long, ids array<int>"
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, mode: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document in its partition's order; ``end`` closes each."""
+def encode_documents(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, part, at, ids) of every document in its partition's order; ``end`` closes each."""
 
     def run(batches):
-        own = encoder(tokenizer, mode)
+        from pyspark import TaskContext
+
+        own, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):
                 ids, ptr = with_end(*own.encode(batch.column(1)[a:b]), end)
                 values = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(ptr).astype(np.int32)), values], names=["doc_id", "n_tokens", "ids"])
+                cols = [batch.column(0)[a:b], pa.array(np.diff(ptr).astype(np.int32)), pa.array(np.full(b - a, part, np.int32)), pa.array(at + ptr[:-1]), values]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "part", "at", "ids"])
+                at += len(ids)
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
 
 
-def write_tokens(docs: DataFrame, at: str, tokenizer: str, mode: str = "words", end: int = 2, key: str = "doc_id", text: str = "text", stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
+def write_tokens(docs: DataFrame, at: str, tokenizer: str, end: int = 2, key: str = "doc_id", text: str = "text", stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
     """Write the token ids of ``docs`` as ORC files in ascending id order at ``at``."""
-    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows = encode_documents(ordered, tokenizer, mode, end, "doc_id", "text")
+    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("__h", F.xxhash64("text")).repartitionByRange("doc_id", "__h").sortWithinPartitions("doc_id", "__h")
+    rows = encode_documents(ordered, tokenizer, end, "doc_id", "text")
     # Names of ORC's own settings.
     writer = rows.write.mode("overwrite").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     writer.option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe_bytes)).orc(at)
 
 
 def read_tokens(spark: SparkSession, at: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids); with ``doc_ids`` only theirs, the rest skipped by metadata."""
+    """(doc_id, n_tokens, part, at, ids); with ``doc_ids`` only theirs, the rest skipped by metadata."""
     rows = spark.read.schema(SCHEMA).orc(at)
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
@@ -65,22 +70,18 @@ def token_places(spark: SparkSession, at: str) -> DataFrame:
 
     def sums(batches):
         for batch in batches:
-            ids = batch.column(2)
+            part, doc, at, ids = (batch.column(k) for k in range(4))
             ptr = ids.offsets.to_numpy()
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(ptr[:-1], ptr[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ptr).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([part, doc, at, pa.array(np.diff(ptr).astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = spark.read.schema(SCHEMA).orc(at)
-    file = F.col("_metadata.file_path")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    files = rows.groupBy(file.alias("file")).agg(F.sum("n_tokens").alias("__all"), F.min(key).alias("__first"))
-    before = Window.orderBy("__first", "file").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = files.select("file", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__before"))  # one row per file
-    read = rows.select(file.alias("file"), "doc_id", "ids").mapInArrow(sums, "file string, doc_id long, n_tokens long, ids_crc32 long")
-    within = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    out = read.withColumn("__own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(firsts, "file")
-    return out.select("doc_id", (F.col("__before") + F.col("__own")).alias("start"), "n_tokens", "ids_crc32")
+    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("__all"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = files.select("part", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__before"))  # one row per file
+    read = rows.select("part", "doc_id", "at", "ids").mapInArrow(sums, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return read.join(F.broadcast(firsts), "part").select("doc_id", (F.col("__before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
