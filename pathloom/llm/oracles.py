@@ -4,14 +4,14 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 _OP5 = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce('0' || source, '1') AS s, {_WORDS}::BIGINT AS size, coalesce(text, '') AS t,
-         (('0x' || substr(md5('29|' || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  SELECT doc_id, coalesce('0' || source, '1') AS s, {_WORDS}::BIGINT AS size, coalesce(text, '') AS t, md5(coalesce(text, '')) AS th,
+         (('0x' || substr(md5('29|' || coalesce(doc_id::VARCHAR, '~') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 q AS (
   SELECT *, length(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS chars,
          length(t) - length(translate(t, '#*$%&|<>{{}}', '')) AS symbols FROM d),
 e AS (
-  SELECT doc_id, s, size,
+  SELECT doc_id, s, size, th, row_number() OVER () AS k,
          -ln(u) / (1 + (size >= 50)::INT + (chars >= 3 * size AND chars <= 12 * size)::INT + (symbols * 20 <= size)::INT) AS es FROM q),
 z AS (SELECT s, sum(size)::BIGINT AS source_size FROM e GROUP BY s),
 w AS (SELECT *, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY s) - 1) % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM z),
@@ -24,15 +24,13 @@ m AS (SELECT arg_min(level, struct_pack(r := cap / w, s := s)) AS level FROM v W
 g AS (SELECT s, source_size, CASE WHEN m.level IS NULL OR m.level * w > cap THEN cap ELSE m.level * w END AS target FROM v LEFT JOIN m ON true),
 h AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM g),
 r AS (SELECT *, greatest(target - epochs * source_size, 0) AS rest FROM h),
-k AS (SELECT s, es, doc_id, size, count(*) AS n FROM e GROUP BY ALL),
-c AS (SELECT k.*, r.rest, sum(k.size * n) OVER (PARTITION BY k.s ORDER BY es, doc_id NULLS FIRST, k.size)::BIGINT AS upto FROM k JOIN r USING (s)),
+c AS (SELECT e.*, r.rest, sum(size) OVER (PARTITION BY s ORDER BY es, doc_id NULLS FIRST, size, th, k)::BIGINT AS upto FROM e JOIN r USING (s)),
 f AS (SELECT s, coalesce(max(upto) FILTER (upto <= rest), 0) AS got FROM c GROUP BY s),
-b AS (SELECT s, arg_min(struct_pack(es := es, doc_id := doc_id, size := size),
-             struct_pack(m := abs(size * n - (rest - got)), es := es)) AS x
-      FROM c JOIN f USING (s) WHERE upto > rest AND abs(size * n - (rest - got)) < rest - got GROUP BY s)
+b AS (SELECT s, arg_min(k, struct_pack(m := abs(size - (rest - got)), es := es, size := size, th := th, k := k)) AS close
+      FROM c JOIN f USING (s) WHERE upto > rest AND abs(size - (rest - got)) < rest - got GROUP BY s)
 SELECT c.doc_id, c.size, r.source_size, r.target,
-       CASE WHEN c.size = 0 THEN 0 ELSE c.size * (r.epochs + CASE WHEN c.upto <= c.rest OR coalesce(x.es = c.es AND x.doc_id IS NOT DISTINCT FROM c.doc_id AND x.size = c.size, false) THEN 1 ELSE 0 END) END::BIGINT AS taken
-FROM c JOIN r USING (s) LEFT JOIN b USING (s), range(n)
+       (c.size * (r.epochs + CASE WHEN c.upto <= c.rest OR coalesce(b.close = c.k, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c JOIN r USING (s) LEFT JOIN b USING (s)
 """
 
 # crc32 by its table of 256 entries, built by the rule, over the bytes of the text.
@@ -40,12 +38,13 @@ _OP9 = r"""
 WITH tb AS (
   SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tb FROM range(256) r(i)),
 d AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS s, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, md5('17|' || coalesce(doc_id::VARCHAR, '~')) AS h,
+  SELECT doc_id, coalesce('s' || source, 'n') AS s, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size,
          xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
              lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
   FROM documents, tb),
+k AS (SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, '~') || '|' || size || '|' || text_crc32) AS h FROM d),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, size, text_crc32) AS k, count(*) OVER (PARTITION BY s) AS n FROM d),
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, size, text_crc32) AS k, count(*) OVER (PARTITION BY s) AS n FROM k),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n), s, h, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM r),
 q AS (SELECT *, (pos * 40 // total)::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - (shard::BIGINT * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM q

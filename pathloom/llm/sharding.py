@@ -9,7 +9,8 @@ No source and no shard is ever gathered in one task: ranks come from counts of
 hash ranges (prefix-summed) plus a row number within one range.
 
 Defined cases: a null source is a source of its own; null ids take part like
-values; repeated rows get places of their own; an empty table gives no rows;
+values (of many rows with one id, or none, ``ties`` spread the ranks' work);
+repeated rows get places of their own; an empty table gives no rows;
 input columns stay (one whose name is an output name is replaced).
 """
 
@@ -35,14 +36,14 @@ def _range_of(hashed: Column, ranges: int) -> Column:
 def interleave(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "source", key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``shard`` (0 to n_shards-1) and ``slot`` (place in it, gapless from 0).
 
-    ``ties``: further columns that order rows of equal source and key.
+    ``ties``: further columns that spread and order rows of equal source and key.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     docs = docs.drop("shard", "slot")
     total = docs.count()
     ranges, spans = max(1, -(-total // ROWS_PER_RANGE)), max(1, -(-total // PLACES_PER_RANGE))
-    h = stable_hash(seed, F.col(key))
+    h = stable_hash(seed, F.col(key), *[F.col(c) for c in ties])
     rows = docs.withColumns({"__h": h, "__s": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))}).withColumn("__b", _range_of(F.col("__h"), ranges))
 
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
