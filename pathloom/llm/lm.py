@@ -1,31 +1,34 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model.
-
-Counting: every task reduces its documents to sorted blocks of word hashes and
-counts, one per hash shard; a shard merges its blocks into one sorted hash
-array.  A word's id is its place in the order of all shards.  Word pairs are
-counted the same way as 64-bit keys (id << 32 | id), dealt by their first word;
-the pairs of a word that alone would fill a shard are dealt by both words.
-Shards report, per word, followers and predecessors, which a last merge puts in
-arrays over ids.  Only one row per shard reaches the driver.
-
-Scoring: workers map the arrays from the shared folder and look up the distinct
-words and pairs of a slice of documents by binary search; no table is broadcast
-or joined.
-
-The model, for counts c(v w) of adjacent tokens (a start mark before each text,
-an end token after it) and p(w) from the number of distinct predecessors:
-
-    p(w | v) = max(c(v w) - D(c), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3+(v)) / c(v) * p(w)
-    p(w)     = max(n(w) - D'(n), 0) / n + (D1' N1 + D2' N2 + D3' N3+) / n * 1 / (V + 1)
-
-with V known tokens and one unknown; after an unknown word p(w) stands alone.
+"""LM scoring: an interpolated modified Kneser-Ney model of any order.
+
+Counting.  Tasks store their tokens as codes of their own distinct words and ask
+hash shards about these words (``exchange``).  A word shard merges what it is asked
+into one sorted hash array with counts and gives each word an id, small for frequent
+words.  Tasks then ship their distinct n-grams as ids, in blocks; a shard of the
+highest order merges them into a sorted hash array of keys and counts, and passes on,
+for the order below, how many n-grams each of its suffixes ends and how many follow
+each of its prefixes.  The shards of the lower orders merge these down to single
+words.  An n-gram goes by its own hash, so no frequent word or context is one task's
+work; a shard's sums over contexts are partial and are merged by the order below.
+
+Scoring.  The same questions are asked of the stored arrays: a shard's task maps
+its one array and answers the n-grams that tasks ship to it; a flush of documents is
+put together in one task from its answers.  No task opens all arrays, and nothing of
+the model passes through the driver but a row of totals per order.
+
+The model, for an order n, n - 1 start marks before each text and an end token
+after it, counts a_n(g) of n-grams and a_k(g), the number of distinct tokens before
+g, for shorter ones:
+
+    p_k(w | h) = max(a_k(h w) - D_k(a), 0) / T_k(h) + (D1 N1(h) + D2 N2(h) + D3 N3+(h)) / T_k(h) * p_k-1(w | h')
+
+T_k(h) is the sum of a_k(h w) over w, h' is h without its first token; where T_k(h)
+is 0, p_k-1 stands alone; p_0 = 1 / (V + 1) for V known tokens and one unknown.
 So probabilities sum to 1 over the V + 1 tokens in every context.
 
-Defined cases: a null or empty text is the end token alone; no training
-documents leave V = 0 and every token unknown with probability 1; repeated rows
-count each time; an empty table gives no rows; other columns stay (those named
-as outputs are replaced).  Ids are 32-bit: more than 2^32 - 3 distinct words
-raise an error.
+Defined cases: a null or empty text is the end token alone; no training documents
+leave V = 0 and every token unknown with probability 1; repeated rows count each
+time; an empty table gives no rows; other columns stay (those named as outputs are
+replaced).  Words and n-grams are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,62 +38,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .exchange import BLOCK, Blocks, arrays, cells, count, find, flush_name, gathered, narrow, pack, put_arrays, runs, shard_of, sum_by, unpack
 from .words import hashed_words, mix, slices
 
-#: Tokens that a task holds before it ships blocks; sizes that one shard is meant for.
-FLUSH, DOCS_PER_WORD_SHARD, TOKENS_PER_PAIR_SHARD, IDS_PER_RANGE = 3 << 20, 50_000, 4 << 20, 1 << 20
+#: Tokens that a task holds before it ships blocks; what one shard is meant for.
+FLUSH, DOCS_PER_WORD_SHARD, TOKENS_PER_SHARD = 3 << 20, 50_000, 4 << 20
 END = np.uint64(0x5BD1E995A5A5F00D)
-_LOW = np.uint64(0xFFFFFFFF)
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of 4- or 8-byte integers, byte planes apart, compressed."""
-    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _unpack(block: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8), 0, []
-    for k in kinds:
-        size = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + size * n].reshape(size, n).T).view(k).ravel())
-        at += size * n
-    return out
-
-
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct sorted keys and the sums of values over each."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return [keys[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]]
-
-
-def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.diff(np.append(first, len(keys))).astype(np.uint32)
-
-
-_BLOCK = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("block", pa.binary())])
-BLOCK = "shard int, n long, block binary"
-
-
-def _cells(shard: np.ndarray, shards: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """One packed block per shard."""
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows = [(k, ends[k + 1] - ends[k], _pack(*[c[order[ends[k] : ends[k + 1]]] for c in columns])) for k in range(shards) if ends[k + 1] > ends[k]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)] if rows else [pa.array([], t) for t in _BLOCK.types], schema=_BLOCK)
-
-
-def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+#: Ids of the start mark and of unknown words; known words have larger ones.
+START, UNKNOWN, FIRST = np.uint64(0), np.uint64(1), 2
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,252 +59,327 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, ptr[1:], END), ptr + np.arange(len(ptr))
 
 
+def gram_key(ids: list[np.ndarray]) -> np.ndarray:
+    """Hash of each n-gram, from the columns of its ids."""
+    out = mix(ids[0] + np.uint64(len(ids)))
+    for c in ids[1:]:
+        out = mix(out * _GOLDEN + c)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Where a trained model lies, and its totals."""
 
     at: str
-    offsets: tuple[int, ...]  # first id of each word shard, then V
+    order: int
     tokens: int  # N
-    pair_shards: int
-    hot: tuple[int, ...]  # ids whose pairs are dealt by both words
-    step: int  # ids in a range of the arrays over ids
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    predecessors: int  # n: distinct pairs
-    rest: float  # D1' N1 + D2' N2 + D3' N3+ over n
-
-    @property
-    def words(self) -> int:
-        return self.offsets[-1]
-
-    # Everything below runs in workers.
-
-    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, count) of distinct sorted hashes; V + 1 and 0 for unknown ones."""
-        shards = len(self.offsets) - 1
-        out, counts = np.full(len(h), self.words + 1, np.uint64), np.zeros(len(h), np.int64)
-        ends = np.searchsorted(_word_shard(h, shards), np.arange(shards + 1))
-        for k in np.flatnonzero(ends[1:] > ends[:-1]):
-            n = self.offsets[k + 1] - self.offsets[k]
-            if n:
-                raw = shared.column(f"{self.at}/words-{k:06d}", "u8")
-                part = h[ends[k] : ends[k + 1]]
-                i = np.minimum(np.searchsorted(raw[:n], part), n - 1)
-                hit = raw[i] == part
-                out[ends[k] : ends[k + 1]][hit] = (i + self.offsets[k])[hit]
-                counts[ends[k] : ends[k + 1]][hit] = raw[n:][i[hit]].astype(np.int64)
-        return out, counts
-
-    def of_ids(self, ids: np.ndarray) -> np.ndarray:
-        """(len(ids), 5): c, N1, N2, N3+ as a first word and n as a second one; ids up to V."""
-        out = np.zeros((len(ids), 5), np.int64)
-        part = (ids // np.uint64(self.step)).astype(np.int64)
-        for k in np.unique(part[ids <= np.uint64(self.words)]).tolist():
-            rows = np.flatnonzero((part == k) & (ids <= np.uint64(self.words)))
-            table = shared.column(f"{self.at}/ids-{k:06d}", "i8").reshape(-1, 5)
-            out[rows] = table[ids[rows].astype(np.int64) - k * self.step]
-        return out
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct sorted pair keys."""
-        out = np.zeros(len(keys), np.int64)
-        shard = _pair_shard(keys, self.pair_shards, self.hot)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(self.pair_shards + 1))
-        for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-            rows = order[ends[k] : ends[k + 1]]
-            raw = shared.view(f"{self.at}/pairs-{k:06d}")
-            n = len(raw) // 12
-            if n:
-                known, counts = np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)
-                i = np.minimum(np.searchsorted(known, keys[rows]), n - 1)
-                hit = known[i] == keys[rows]
-                out[rows[hit]] = counts[i[hit]]
-        return out
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 p(second | first) of distinct sorted pair keys; start is V, unknown V + 1."""
-        firsts, of = np.unique(keys >> np.uint64(32), return_inverse=True)
-        context = self.of_ids(firsts)[of]
-        seconds, of = np.unique(keys & _LOW, return_inverse=True)
-        n = self.of_ids(seconds)[:, 4][of]
-        d = np.array([0.0, *self.word_discounts])
-        total = max(self.predecessors, 1)
-        lower = np.maximum(n - d[np.minimum(n, 3)], 0) / total + (self.rest if self.predecessors else 1.0) / (self.words + 1)
-        d = np.array([0.0, *self.pair_discounts])
-        c = self.pair_counts(keys)
-        known = context[:, 0] > 0
-        seen = np.maximum(context[:, 0], 1)
-        left = context[:, 1:4] @ d[1:]
-        return np.log10(np.where(known, np.maximum(c - d[np.minimum(c, 3)], 0) / seen + left / seen * lower, lower))
-
-
-def _pair_shard(keys: np.ndarray, shards: int, hot: tuple[int, ...]) -> np.ndarray:
-    first = keys >> np.uint64(32)
-    own = mix(first)
-    if hot:
-        both = np.isin(first, np.array(hot, np.uint64))
-        own[both] = mix(keys[both])
-    return ((own >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    words: int  # V
+    word_shards: int
+    shards: int
+    discounts: tuple[tuple[float, float, float], ...]  # of orders 1 to n
+    unigrams: tuple[int, int, int, int]  # T, N1, N2, N3+ of the empty context
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the numbers of items that occur once to four times.
 
-    Where such a number is 0 the estimate is undefined; then D is half of k.
+    Where the estimate is undefined or not between 0 and k, D is half of k, so that
+    every context leaves something to tokens that it has not had.
     """
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) if n[k - 1] and n[k] else k / 2 for k in (1, 2, 3))
-
+    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.0 for k in (1, 2, 3)]
+    return tuple(x if 0 < x < k and n[k] else k / 2 for k, x in zip((1, 2, 3), d))
 
-def _pairs_of(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pair key of each token, its count as a word, pointers, ids)."""
-    h, ptr = _tokens(texts)
-    kinds, of = np.unique(h, return_inverse=True)
-    ids, counts = model.ids(kinds)
-    ids, counts = ids[of], counts[of]
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[ptr[:-1]] = model.words  # the start mark
-    return before << np.uint64(32) | ids, counts, ptr, ids
 
+def _ask_words(at: str, shards: int, text: str):
+    """Documents to blocks of their distinct words with counts; tokens and other columns are stored."""
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    spark = docs.sparkSession
-    at = shared.folder(spark, "lm")
-    docs = docs.select(F.col(text).alias("t"))
-    shards = max(4, -(-docs.count() // DOCS_PER_WORD_SHARD))
-
-    def words(batches):
-        held, n = [], 0
+    def run(batches):
+        held, tables, n, number = [], [], 0, 0
 
         def flush():
-            keys, counts = _count(np.concatenate(held))
-            return _cells(_word_shard(keys, shards), shards, keys, counts)
+            h, sizes = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            kinds, codes, times = np.unique(h, return_inverse=True, return_counts=True)
+            name = flush_name(number, h, sizes)
+            codes = narrow(codes)
+            sink = pa.BufferOutputStream()
+            rest = pa.Table.from_batches(tables)
+            with pa.ipc.new_stream(sink, rest.schema) as w:
+                w.write_table(rest)
+            put_arrays(f"{at}/tokens-{name}", sizes=sizes, count=np.array([len(kinds), len(codes)]), codes=np.frombuffer(pack(codes), np.uint8), rest=np.frombuffer(sink.getvalue(), np.uint8))
+            return cells(name, shard_of(kinds, shards), kinds, times)
 
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                h, _ = _tokens(batch.column(0)[a:b])
-                held.append(h)
+            i = batch.schema.get_field_index(text)
+            for a, b in slices(batch.column(i)):
+                h, ptr = _tokens(batch.column(i)[a:b])
+                held.append((h, np.diff(ptr)))
+                tables.append(batch.slice(a, b - a).remove_column(i))
                 n += len(h)
                 if n >= FLUSH:
                     yield flush()
-                    held, n = [], 0
+                    held, tables, n, number = [], [], 0, number + 1
         if n:
             yield flush()
 
-    def merge_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        blocks = [_unpack(r.block, r.n, "u8", "u4") for r in pdf.itertuples()]
-        keys, counts = _sum_by(np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]).astype(np.uint64))
-        shared.put(f"{at}/words-{shard:06d}", [keys.tobytes(), counts.tobytes()])
-        often = np.argsort(-counts.astype(np.int64))[:256]  # enough for any share of 1/64
-        return pd.DataFrame({"shard": [shard], "n": [len(keys)], "tokens": [int(counts.sum())], "top": [often.tolist()], "top_n": [counts[often].astype(np.int64).tolist()]})
-
-    made = {r.shard: r for r in docs.mapInArrow(words, BLOCK).groupBy("shard").applyInPandas(merge_words, "shard int, n long, tokens long, top array<long>, top_n array<long>").collect()}
-    offsets = [0]
-    for k in range(shards):
-        offsets.append(offsets[-1] + (made[k].n if k in made else 0))
-    total, size = sum(r.tokens for r in made.values()), offsets[-1]
-    if size > (1 << 32) - 3:
-        raise ValueError("more than 2^32 - 3 distinct words")
-    pair_shards = max(8, -(-total // TOKENS_PER_PAIR_SHARD))
-    most = total / (4 * min(pair_shards, 64))
-    hot = tuple(offsets[k] + i for k, r in made.items() for i, n in zip(r.top, r.top_n) if n > most) + (size,)
-    step = min(IDS_PER_RANGE, max(1, -(-(size + 1) // 4)))
-    ranges = size // step + 1
-    draft = Model(at, tuple(offsets), total, pair_shards, hot, step, (0, 0, 0), (0, 0, 0), 0, 0.0)
-
-    def pairs(batches):
-        held, n = [], 0
+    return run
 
-        def flush():
-            keys, counts = _count(np.concatenate(held))
-            return _cells(_pair_shard(keys, pair_shards, hot), pair_shards, (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32), counts)
 
-        for batch in batches:
-            for a, b in slices(batch.column(0)):
-                held.append(_pairs_of(draft, batch.column(0)[a:b])[0])
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+def _merge_words(at: str, shards: int):
+    """A word shard's blocks to its stored array; each word is answered by its id."""
 
-    def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        blocks = [_unpack(r.block, r.n, "u4", "u4", "u4") for r in pdf.itertuples()]
-        keys = np.concatenate([b[0].astype(np.uint64) << np.uint64(32) | b[1] for b in blocks])
-        counts = np.concatenate([b[2] for b in blocks])
-        keys, counts = _sum_by(keys, counts)
-        shared.put(f"{at}/pairs-{shard:06d}", [keys.tobytes(), counts.astype("<u4").tobytes()])
-        first, second = keys >> np.uint64(32), keys & _LOW
-        wide = counts.astype(np.int64)
-        v, *sums = _sum_by(first, wide, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))
-        w, n = _sum_by(second, np.ones(len(second), np.int64))
-        out = []
-        for ids, cols in ((v, sums), (w, [n])):
-            ends = np.searchsorted(ids, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(step))
-            for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-                part = slice(ends[k], ends[k + 1])
-                out.append((k, ends[k + 1] - ends[k], len(cols), _pack(ids[part].astype(np.uint32), *[c[part].astype(np.uint64 if j == 0 and len(cols) > 1 else np.uint32) for j, c in enumerate(cols)]), None))
-        once = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        out.append((-1 - shard, len(keys), 0, b"", once))
-        return pd.DataFrame(out, columns=["range", "n", "kind", "block", "once"])
-
-    found = shared.cut(docs.mapInArrow(pairs, BLOCK).groupBy("shard").applyInPandas(merge_pairs, "range int, n long, kind int, block binary, once array<long>"), f"{at}/reports")
-
-    def merge_ids(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["range"].iloc[0])
-        table = np.zeros((min(step, size + 1 - k * step), 5), np.int64)
-        for r in pdf.itertuples():
-            kinds = ("u4", "u8", "u4", "u4", "u4") if r.kind == 4 else ("u4", "u4")
-            ids, *cols = _unpack(r.block, r.n, *kinds)
-            for j, c in enumerate(cols):
-                table[ids.astype(np.int64) - k * step, j if r.kind == 4 else 4] += c.astype(np.int64)
-        shared.put(f"{at}/ids-{k:06d}", [table.tobytes()])
-        n = table[:, 4]
-        return pd.DataFrame({"range": [k], "once": [[int((n == i).sum()) for i in (1, 2, 3, 4)]], "more": [int((n > 2).sum())]})
-
-    ranged = found.where("range >= 0").select("range", "n", "kind", "block").groupBy("range").applyInPandas(merge_ids, "range int, once array<long>, more long").collect()
-    done = {r["range"] for r in ranged}
-    for k in set(range(ranges)) - done:  # a range of words that no pair has: only where there is no document
-        shared.put(f"{at}/ids-{k:06d}", [np.zeros((min(step, size + 1 - k * step), 5), np.int64).tobytes()])
-    report = found.where("range < 0").select("range", "n", "once").collect()  # a row per shard
-    for k in set(range(pair_shards)) - {-1 - r["range"] for r in report}:
-        shared.put(f"{at}/pairs-{k:06d}", [])
-    distinct = sum(r.n for r in report)
-    once = [sum(r.once[i] for r in report) for i in range(4)]
-    own = [sum(r.once[i] for r in ranged) for i in range(4)]
-    d = discounts(own)
-    rest = (d[0] * own[0] + d[1] * own[1] + d[2] * sum(r.more for r in ranged)) / max(distinct, 1)
-    return Model(at, tuple(offsets), total, pair_shards, hot, step, discounts(once), d, distinct, rest)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = Blocks(pdf, 2)
+        keys, counts = sum_by(*blocks.columns)
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(-counts.astype(np.int64), kind="stable")] = np.arange(len(keys))
+        ids = FIRST + rank * shards + blocks.shard
+        put_arrays(f"{at}/words-{blocks.shard:06d}", keys=keys, ids=narrow(ids), counts=narrow(counts))
+        total = pd.DataFrame({"shard": [-1], "flush": [""], "n": [0], "block": [np.array([len(keys), counts.sum()], "<i8").tobytes()]})
+        return pd.concat([blocks.answers(ids[find(keys, blocks.columns[0])[0]].astype(np.uint64)), total])
+
+    return run
+
+
+def _find_words(at: str, shards: int):
+    """A word shard's blocks answered by the stored array: id and count, 1 and 0 where it has none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = Blocks(pdf, 2)
+        ids, counts = np.full(len(blocks.columns[0]), UNKNOWN), np.zeros(len(blocks.columns[0]), np.uint64)
+        if shared.exists(f"{at}/words-{blocks.shard:06d}"):
+            stored = arrays(f"{at}/words-{blocks.shard:06d}")
+            i, hit = find(stored["keys"], blocks.columns[0])
+            ids[hit], counts[hit] = stored["ids"][i[hit]], stored["counts"][i[hit]]
+        return blocks.answers(ids, counts)
+
+    return run
+
+
+def _states(ids: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    """The columns of the ``width``-grams that end at each place; every text has one place before its first token."""
+    last = np.insert(ids, np.cumsum(sizes) - sizes, START)
+    in_text = np.arange(len(last)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    out = []
+    for back in range(width - 1, -1, -1):
+        c = np.full(len(last), START)
+        c[back:] = last[: len(last) - back]
+        c[in_text < back] = START
+        out.append(c)
+    return out
+
+
+def _is_token(sizes: np.ndarray) -> np.ndarray:
+    out = np.ones(int(sizes.sum()) + len(sizes), bool)
+    out[np.cumsum(sizes + 1) - sizes - 1] = False
+    return out
+
+
+def _gram_cells(name: str, shards: int, key: np.ndarray, ids: list[np.ndarray], times: np.ndarray | None = None) -> pa.RecordBatch:
+    """Blocks of distinct n-grams: within a shard in the order of their ids, which packs best."""
+    shard = shard_of(key, shards)
+    o = np.lexsort((*ids[::-1], shard))
+    return cells(name, shard[o], *[c[o] for c in ids], *([] if times is None else [times[o]]))
+
+
+def _count_grams(work: str, order: int, shards: int):
+    """A flush's word ids to blocks of its distinct n-grams with counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pdf = table.to_pandas()
+        name = pdf["flush"].iloc[0]
+        stored = arrays(f"{work}/tokens-{name}")
+        (ids,) = gathered(pdf, 1, int(stored["count"][0]))
+        (codes,) = unpack(stored["codes"].tobytes(), int(stored["count"][1]), 1)
+        sizes = stored["sizes"]
+        grams = [c[_is_token(sizes)] for c in _states(ids[codes.astype(np.int64)], sizes, order)]
+        key = gram_key(grams)
+        order_ = np.argsort(key, kind="stable")
+        at = runs(key[order_])
+        first = order_[at[:-1]]
+        return pa.Table.from_batches([_gram_cells(name, shards, key[first], [c[first] for c in grams], np.diff(at))])
+
+    return run
+
+
+def _merge_grams(at: str, level: int, top: bool, shards: int):
+    """A shard's blocks of ``level``-grams to its stored array, and to blocks of the order below.
+
+    Fields of a gram: its count a, and as a context T, N1, N2, N3+ (not at the top).
+    Shard -1 has the reports of the orders above, which pass.
+    """
+    fields = 1 if top else 5
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["shard"].iloc[0] < 0:
+            return pdf
+        blocks = Blocks(pdf, level + fields)
+        grams, values = blocks.columns[:level], blocks.columns[level:]
+        key = gram_key(grams)
+        order = np.argsort(key, kind="stable")
+        at_ = runs(key[order])
+        first = order[at_[:-1]]
+        keys, grams = key[first], [c[first] for c in grams]
+        a, *context = [np.add.reduceat(v[order], at_[:-1]) for v in values]
+        put_arrays(f"{at}/grams-{level}-{blocks.shard:06d}", keys=keys, a=narrow(a), **{f"c{k}": narrow(c) for k, c in enumerate(context)})
+        real = a > 0
+        report = np.array([level, *[(a == k).sum() for k in (1, 2, 3, 4)], a.sum(), (a > 2).sum()], "<i8").tobytes()
+        out = [pd.DataFrame({"shard": [-1], "flush": [""], "n": [0], "block": [report]})]
+        if level > 1:
+            grams, a = [c[real] for c in grams], a[real]
+            one = np.ones(len(a), np.uint64)
+            none = np.zeros(len(a), np.uint64)
+            # As suffix each gram counts once; as prefix it gives its count to T and one to N1, N2 or N3+.
+            below = [np.concatenate(x) for x in zip(grams[1:], grams[:-1])]
+            parts = [np.concatenate(x) for x in ((one, none), (none, a), (none, a == 1), (none, a == 2), (none, a > 2))]
+            k2 = gram_key(below)
+            order = np.argsort(k2, kind="stable")
+            at_ = runs(k2[order])
+            first = order[at_[:-1]]
+            sums = [np.add.reduceat(p[order].astype(np.uint64), at_[:-1]) if len(first) else none[:0] for p in parts]
+            below, k2 = [c[first] for c in below], k2[first]
+            shard = shard_of(k2, shards)
+            o = np.lexsort((*below[::-1], shard))
+            out.append(cells("", shard[o], *[c[o] for c in below], *[s[o] for s in sums]).to_pandas())
+        return pd.concat(out)
+
+    return run
+
+
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Count the model of ``docs``; its arrays stay in the shared folder."""
+    if order < 1:
+        raise ValueError("the order must be positive")
+    spark = docs.sparkSession
+    at = shared.folder(spark, "lm")
+    docs = docs.select(F.col(text).alias("text"))
+    with shared.scratch(spark):
+        work = shared.folder(spark, "lm-tokens")
+        word_shards = max(4, -(-docs.count() // DOCS_PER_WORD_SHARD))
+        asked = docs.mapInArrow(_ask_words(work, word_shards, "text"), BLOCK)
+        answered = shared.cut(asked.groupBy("shard").applyInPandas(_merge_words(at, word_shards), BLOCK), f"{work}/words")
+        pairs = [np.frombuffer(r.block, "<i8") for r in answered.where("shard < 0").select("block").collect()]  # two numbers per shard
+        words, tokens = (int(sum(p[k] for p in pairs)) for k in (0, 1))
+        shards = max(8, -(-tokens // TOKENS_PER_SHARD))
+        rows = answered.where("shard >= 0").groupBy("flush").applyInArrow(_count_grams(work, order, shards), BLOCK)
+        for level in range(order, 0, -1):
+            rows = rows.groupBy("shard").applyInPandas(_merge_grams(at, level, level == order, shards), BLOCK)
+        totals = np.zeros((order, 6), np.int64)
+        for r in rows.select("block").toLocalIterator():  # seven numbers per shard and order
+            level, *own = np.frombuffer(r.block, "<i8").tolist()
+            totals[level - 1] += own
+    t, n1, n2, n3 = (int(totals[0][k]) for k in (4, 0, 1, 5))
+    return Model(at, order, tokens, words, word_shards, shards, tuple(discounts(x[:4].tolist()) for x in totals), (t, n1, n2, n3))
 
 
 SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+_LEVELS = 1 << 40  # questions to the arrays of order k are rows of shard k * _LEVELS + s
+
+
+def _ask_grams(work: str, model: Model):
+    """A flush's word answers to blocks of its distinct grams of every order; the answers are stored."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pdf = table.to_pandas()
+        name = pdf["flush"].iloc[0]
+        stored = arrays(f"{work}/tokens-{name}")
+        ids, counts = gathered(pdf, 2, int(stored["count"][0]))
+        put_arrays(f"{work}/ids-{name}", ids=ids, counts=counts)
+        out = []
+        for level, key, grams in _questions(stored, ids, model.order):
+            kinds = np.unique(key, return_index=True)[1]
+            got = _gram_cells(name, model.shards, key[kinds], [c[kinds] for c in grams])
+            got = got.set_column(0, "shard", pa.array(got.column(0).to_numpy() + level * _LEVELS))
+            # Columns of other orders are other in number: a block says its own by its shard.
+            out.append(got)
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _questions(stored: dict, ids: np.ndarray, order: int):
+    """(order, key, id columns) of the grams whose numbers a flush needs."""
+    (codes,) = unpack(stored["codes"].tobytes(), int(stored["count"][1]), 1)
+    own = ids[codes.astype(np.int64)]
+    for level in range(1, order + 1):
+        grams = _states(own, stored["sizes"], level)
+        if level == order:  # no contexts of this length
+            grams = [c[_is_token(stored["sizes"])] for c in grams]
+        yield level, gram_key(grams), grams
+
+
+def _find_grams(at: str, order: int):
+    """A shard's questions answered by its stored array: a, and below the top T, N1, N2, N3+; 0 where it has none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        level, shard = divmod(int(pdf["shard"].iloc[0]), _LEVELS)
+        blocks = Blocks(pdf, level)
+        key = gram_key(blocks.columns)
+        out = [np.zeros(len(key), np.uint64) for _ in range(1 if level == order else 5)]
+        if shared.exists(f"{at}/grams-{level}-{shard:06d}"):
+            stored = arrays(f"{at}/grams-{level}-{shard:06d}")
+            i, hit = find(stored["keys"], key)
+            for o, c in zip(out, ("a", "c0", "c1", "c2", "c3")):
+                if c in stored:
+                    o[hit] = stored[c][i[hit]]
+        return blocks.answers(*out)
+
+    return run
+
+
+def _finish(work: str, model: Model, names: list[str]):
+    """A flush's answers to its documents' sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pdf = table.to_pandas()
+        name = pdf["flush"].iloc[0]
+        stored, words = arrays(f"{work}/tokens-{name}"), arrays(f"{work}/ids-{name}")
+        sizes, token = stored["sizes"], _is_token(stored["sizes"])
+        p = np.full(int(sizes.sum()), 1 / (model.words + 1))
+        context = [np.full(len(p), float(x)) for x in model.unigrams]
+        for level, key, grams in _questions(stored, words["ids"], model.order):
+            own = pdf[pdf["shard"] // _LEVELS == level]
+            kinds, first, of = np.unique(key, return_index=True, return_inverse=True)
+            got = gathered(own, 1 if level == model.order else 5, len(kinds))
+            # Answers come in the order in which the grams were shipped.
+            shipped = np.lexsort((*[c[first] for c in grams][::-1], shard_of(kinds, model.shards)))
+            place = np.empty(len(kinds), np.int64)
+            place[shipped] = np.arange(len(kinds))
+            got = [g[place][of] for g in got]
+            a = got[0] if level == model.order else got[0][token]
+            d = np.array([0.0, *model.discounts[level - 1]])
+            total, n1, n2, n3 = context
+            seen = np.maximum(total, 1)
+            found = np.maximum(a - d[np.minimum(a, 3).astype(np.int64)], 0) / seen
+            p = np.where(total > 0, found + (d[1] * n1 + d[2] * n2 + d[3] * n3) / seen * p, p)
+            if level < model.order:  # the gram that ends before a token is its context
+                before = np.flatnonzero(token) - 1
+                context = [g[before].astype(np.float64) for g in got[1:]]
+        (codes,) = unpack(stored["codes"].tobytes(), int(stored["count"][1]), 1)
+        c = words["counts"][codes.astype(np.int64)].astype(np.float64)
+        base = np.log10((c + 1) / (model.tokens + model.words + 1))
+        at = np.cumsum(sizes) - sizes
+        known, base, own = (np.add.reduceat(x, at) for x in ((c > 0).astype(np.int64), base, np.log10(p)))
+        rest = pa.ipc.open_stream(pa.py_buffer(stored["rest"].tobytes())).read_all().select(names)
+        made = [pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), model.tokens)), pa.array(base), pa.array(own)]
+        return pa.Table.from_arrays([*rest.columns, *made], names=[*names, *SCORES])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score (sums of log10)."""
+    spark = docs.sparkSession
     names = [c for c in docs.columns if c not in (text, *SCORES)]
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            for a, b in slices(texts):
-                keys, counts, ptr, _ = _pairs_of(model, texts[a:b])
-                kinds, of = np.unique(keys, return_inverse=True)
-                own = model.log10(kinds)[of]
-                base = np.log10((counts + 1) / (model.tokens + model.words + 1))
-                sums = [np.add.reduceat(x, ptr[:-1]) for x in (own, base, (counts > 0).astype(np.int64))]
-                got = [np.diff(ptr), sums[2], np.full(b - a, model.tokens), sums[1], sums[0]]
-                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c))[a:b] for c in names], *[pa.array(x) for x in got]], names=[*names, *SCORES])
-
     zero, real = F.lit(0).cast("long"), F.lit(0.0)
     schema = docs.select(*names, *[(real if c.endswith("score") else zero).alias(c) for c in SCORES]).schema
-    return docs.select(*names, text).mapInArrow(run, schema)
+    result = shared.folder(spark, "lm-scores")
+    with shared.scratch(spark):
+        work = shared.folder(spark, "lm-tokens")
+        words = docs.select(*names, text).mapInArrow(_ask_words(work, model.word_shards, text), BLOCK).groupBy("shard").applyInPandas(_find_words(model.at, model.word_shards), BLOCK)
+        grams = words.groupBy("flush").applyInArrow(_ask_grams(work, model), BLOCK).groupBy("shard").applyInPandas(_find_grams(model.at, model.order), BLOCK)
+        return shared.cut(grams.groupBy("flush").applyInArrow(_finish(work, model, names), schema), result)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

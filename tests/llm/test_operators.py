@@ -215,57 +215,59 @@ def test_media_columns(awkward):
     assert near == media.cosine_hash(np.arange(6400).reshape(100, 64) // 40 + 0.001)
 
 
-def kneser_ney(train, texts):
-    """Dictionaries of counts, word by word."""
-    seqs = [["<s>", *words(t), "</s>"] for t in train]
-    pairs, uni = Counter(p for s in seqs for p in zip(s, s[1:])), Counter(w for s in seqs for w in s[1:])
-    context, follow = Counter(), defaultdict(Counter)
-    for (v, _), c in pairs.items():
-        context[v] += c
-        follow[v][min(c, 3)] += 1
-    before = Counter(w for _, w in pairs)
-
-    def disc(values):
-        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-        return [0.0, *lm.discounts(n)]
-
-    d2, d1 = disc(list(pairs.values())), disc(list(before.values()))
-    total, size = len(pairs), len(uni)
-    rest = sum(d1[min(n, 3)] for n in before.values()) / total
-
-    def p(w, v):
-        low = max(before[w] - d1[min(before[w], 3)], 0) / total + rest / (size + 1)
-        if not context[v]:
+def kneser_ney(train, texts, order):
+    """Dictionaries of counts, gram by gram."""
+    marks = ["<s>"] * (order - 1)
+    seqs = [[*marks, *words(t), "</s>"] for t in train]
+    a = {order: Counter(tuple(s[i - order + 1 : i + 1]) for s in seqs for i in range(order - 1, len(s)))}
+    for k in range(order - 1, 0, -1):
+        a[k] = Counter(g[1:] for g in a[k + 1])
+    total, follow = defaultdict(int), defaultdict(Counter)
+    for k in a:
+        for g, c in a[k].items():
+            total[g[:-1]] += c
+            follow[g[:-1]][min(c, 3)] += 1
+    d = {k: [0.0, *lm.discounts([sum(v == x for v in a[k].values()) for x in (1, 2, 3, 4)])] for k in a}
+    uni = Counter(w for s in seqs for w in s[order - 1 :])
+
+    def p(w, h):
+        k = len(h) + 1
+        low = p(w, h[1:]) if h else 1 / (len(uni) + 1)
+        if not total[h]:
             return low
-        c = pairs[v, w]
-        return max(c - d2[min(c, 3)], 0) / context[v] + sum(d2[k] * follow[v][k] for k in (1, 2, 3)) / context[v] * low
+        c = a[k][(*h, w)]
+        return max(c - d[k][min(c, 3)], 0) / total[h] + sum(d[k][x] * follow[h][x] for x in (1, 2, 3)) / total[h] * low
 
     n = sum(uni.values())
-    for v in list(context)[:5]:
-        assert math.isclose(sum(p(w, v) for w in uni) + p("<unk>", v), 1)
+    for h in list(total)[:9]:
+        assert math.isclose(sum(p(w, h) for w in uni) + p("<unk>", h), 1)
     out = []
     for t in texts:
-        s = ["<s>", *words(t), "</s>"]
-        out.append((len(s) - 1, sum(uni[w] > 0 for w in s[1:]), n, sum(math.log10((uni[w] + 1) / (n + size + 1)) for w in s[1:]), sum(math.log10(p(w, v)) for v, w in zip(s, s[1:]))))
+        s = [*marks, *words(t), "</s>"]
+        own = s[order - 1 :]
+        scores = (math.log10(p(s[i], tuple(s[i - order + 1 : i]))) for i in range(order - 1, len(s)))
+        out.append((len(own), sum(uni[w] > 0 for w in own), n, sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in own), sum(scores)))
     return out
 
 
-def test_kneser_ney(awkward):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_kneser_ney(awkward, order, monkeypatch):
     data = awkward.collect()
     train = awkward.where("doc_id % 3 <> 1")
-    model = lm.train(train)
+    model = lm.train(train, order=order)
     got = lm.score(awkward, model).collect()
-    want = kneser_ney([r.text for r in data if r.doc_id is not None and r.doc_id % 3 != 1], [r.text for r in data])
+    want = kneser_ney([r.text for r in data if r.doc_id is not None and r.doc_id % 3 != 1], [r.text for r in data], order)
     key = lambda x: (x[0], x[1], round(x[3], 6), round(x[4], 6))
     got = sorted(((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
-    for a, b in zip(got, sorted(want, key=key), strict=True):
-        assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9) and math.isclose(a[4], b[4], rel_tol=1e-9)
+    for x, y in zip(got, sorted(want, key=key), strict=True):
+        assert x[:3] == y[:3] and math.isclose(x[3], y[3], rel_tol=1e-9) and math.isclose(x[4], y[4], rel_tol=1e-9)
     assert set(awkward.columns) - {"text", "score"} <= set(lm.score(awkward, model).columns)
 
 
 def test_untrained_model(awkward, empty):
     model = lm.train(empty)
     assert model.words == 0 and all(r.score == 0 and r.n_known == 0 for r in lm.score(awkward, model).collect())
+    assert lm.score(empty, model).count() == 0
 
 
 @pytest.mark.parametrize("name,mode", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
@@ -336,7 +338,7 @@ def test_genetic_steps_keep_every_piece():
         a, b = packing.crossover(a, b, size, 100, rng), packing.mutate(a, size, 100, rng)
         for x in (a, b):
             assert (x.bin_of >= 0).all() and (np.bincount(x.bin_of, size, len(x.left)) == 100 - x.left).all() and (x.left >= 0).all() and (x.left < 100).all()
-    assert len(packing.evolve(size, 100, [], 3).left) <= len(packing.best_fit(size, 100).left)
+    assert len(packing.evolve(size, 100, [], 3)[0].left) <= len(packing.best_fit(size, 100).left)
 
 
 def test_lower_bound():
