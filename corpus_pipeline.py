@@ -35,16 +35,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat an id and a text one stays.
     """
     columns = docs.columns
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
     # Ids may be null or repeated: rows go by a number that the stored copy fixes.
-    docs = shared.cut(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64("text")}), shared.folder(spark, "rows"))
+    docs = shared.cut(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.md5(F.col("text").cast("binary"))}), shared.folder(spark, "rows"))
     found = jaccard.similar_documents(docs, 5, 80, 100, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
     rows = shared.cut(found.join(docs.select("__row", "doc_id", "__hash"), "__row"), shared.folder(spark, "groups"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row"))
-    groups = rows.groupBy("component_id").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("component_id", F.col("first.__row").alias("kept"))
+
+    def later(keys: list[str]) -> DataFrame:
+        """Rows that are not the first of theirs with the same ``keys``."""
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row"))
+        groups = rows.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.count("*").alias("n"), first["__row"].alias("kept")).where("n > 1")
+        same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+        return rows.join(groups, same).where("__row <> kept").select("__row")
+
     # Texts stay where they are: each row looks its number up among those that go.
-    gone = shared.id_set(rows.join(groups, "component_id").where("__row <> kept").select("__row"), shared.folder(spark, "gone"))
+    gone = shared.row_set(later(["component_id"]).unionByName(later(["doc_id", "__hash"])), shared.folder(spark, "gone"))
     return docs.where(~gone(F.col("__row"))).select(*columns)
 
 
@@ -72,9 +76,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = shared.cut(stage(spark, docs, sf_dir), shared.folder(spark, f"pipeline-{name}"))
+        at = shared.folder(spark, f"pipeline-{name}")
+        with shared.scratch(spark):
+            docs = shared.cut(stage(spark, docs, sf_dir), at)
+        if before is not None:
+            shared.remove(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
