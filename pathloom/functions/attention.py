@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_STEP = 16.0
+
+
 def segment_softmax(df: DataFrame, segment: Sequence[str], score: str, name: str = "attention") -> DataFrame:
     """exp(s - max) / sum within each segment.
 
-    Maxima and sums are partial aggregates joined back, so that a large segment
-    is not one task's window.
+    Sums are partial aggregates joined back, so that a large segment is not one
+    task's window.  They are taken per segment and step of the score, relative to the
+    step, and then brought to the highest step: one pass over the rows, and no overflow.
     """
-    peak = df.groupBy(*segment).agg(F.max(score).alias("__m"))
-    raised = df.join(peak, list(segment)).withColumn("__e", F.exp(F.col(score) - F.col("__m")))
-    total = raised.groupBy(*segment).agg(F.sum("__e").alias("__t"))
-    return raised.join(total, list(segment)).withColumn(name, F.col("__e") / F.col("__t")).select(*df.columns, name)
+    step = F.floor(F.col(score) / _STEP)
+    parts = df.groupBy(*segment, step.alias("__k")).agg(F.sum(F.exp(F.col(score) - step * _STEP)).alias("__z"))
+    tops = parts.groupBy(*segment).agg(F.max("__k").alias("__m"), F.collect_list(F.struct("__k", "__z")).alias("__l"))  # a few steps a segment
+    total = F.aggregate("__l", F.lit(0.0), lambda a, x: a + x["__z"] * F.exp((x["__k"] - F.col("__m")) * _STEP))
+    sums = tops.withColumn("__t", total).drop("__l")
+    return df.join(sums, list(segment)).withColumn(name, F.exp(F.col(score) - F.col("__m") * _STEP) / F.col("__t")).select(*df.columns, name)
 
 
 def weighted_sum(df: DataFrame, segment: Sequence[str], weight: str, features: Sequence[str]) -> DataFrame:
@@ -39,6 +45,32 @@ def path_mean(columns: Sequence[Sequence[str]], names: Sequence[str]):
     return out
 
 
+def heads(df: DataFrame, segment: Sequence[str], scores: Sequence[str], features: Sequence[Sequence[str]]) -> DataFrame:
+    """Multi-head attention by destination: head k weighs its own features by its own scores."""
+    out = None
+    for score, own in zip(scores, features, strict=True):
+        one = attend(df, segment, score, own)
+        out = one if out is None else out.join(one, list(segment))
+    return out
+
+
+def residual(df: DataFrame, before: str, now: str, beta: float = 0.05):
+    """Attention of a layer mixed with that of the layer before: (1 - beta) * now + beta * before; missing ones count as 0."""
+    mixed = F.lit(1 - beta) * F.coalesce(F.col(now), F.lit(0.0)) + F.lit(beta) * F.coalesce(F.col(before), F.lit(0.0))
+    return df.withColumn(now, mixed)
+
+
+def semantic(df: DataFrame, node: Sequence[str], metapath: str, features: Sequence[str], score) -> DataFrame:
+    """One embedding per node from those of its metapaths.
+
+    The weight of a metapath is the softmax, over metapaths, of the mean over nodes of
+    ``score`` (a Column over the features): one weight per metapath for all nodes.
+    """
+    means = df.groupBy(metapath).agg(F.avg(score).alias("__w"))
+    weights = segment_softmax(means.withColumn("__all", F.lit(1)), ["__all"], "__w", "__a").select(metapath, "__a")
+    return df.join(weights, metapath).groupBy(*node).agg(*[F.sum(F.col("__a") * F.col(f)).alias(f) for f in features])
+
+
 def relation_mean(df: DataFrame, node: Sequence[str], relation: str, score: str, features: Sequence[str]) -> DataFrame:
     """Attention within each (node, relation), then the mean over relations."""
     own = attend(df, [*node, relation], score, features)

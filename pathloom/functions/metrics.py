@@ -1,9 +1,7 @@
 """Ranking and regression metrics, exact under ties.
 
-Curves are computed over distinct scores: rows are counted per score first, so
-the running sums are over that aggregate.  Running sums over scores take one
-task; its input is the number of distinct scores, not of rows (round scores to
-bound it).
+Curves are computed over distinct scores: rows are counted per score first, then
+running sums go over ranges of scores, each range in a task of its own.
 """
 
 from __future__ import annotations
@@ -15,10 +13,11 @@ from pyspark.sql import functions as F
 
 
 def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score, descending: positives and negatives at it and above it."""
+    """Per distinct score, descending: positives and negatives at it (p, n) and down to it (cp, cn)."""
+    from ..operators.limits import with_running
+
     per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) > 0).alias("p"), F.count_if(F.col(label) <= 0).alias("n"))
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("s", "p", "n", F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn"))
+    return with_running(per, [F.col("s").desc()], {"cp": "p", "cn": "n"})
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -38,10 +37,11 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from recall 0 at precision 1."""
-    c = _curve(df, label, score).withColumn("prec", F.col("cp") / (F.col("cp") + F.col("cn")))
-    w = Window.orderBy(F.col("s").desc())
-    step = F.col("p") * (F.col("prec") + F.coalesce(F.lag("prec").over(w), F.lit(1.0))) / 2
-    return c.withColumn("a", step).agg(F.sum("a").alias("x"), F.sum("p").alias("tp")).select(F.try_divide("x", "tp").alias("pr_auc"))
+    c = _curve(df, label, score)
+    prec = F.col("cp") / (F.col("cp") + F.col("cn"))
+    above = F.col("cp") - F.col("p"), F.col("cn") - F.col("n")
+    before = F.coalesce(F.try_divide(above[0], above[0] + above[1]), F.lit(1.0))
+    return c.agg(F.sum(F.col("p") * (prec + before) / 2).alias("x"), F.sum("p").alias("tp")).select(F.try_divide("x", "tp").alias("pr_auc"))
 
 
 def hit_at_k(df: DataFrame, group: Sequence[str], label: str, score: str, ks: Sequence[int] = (1, 3, 5), ties: Sequence[str] = ()) -> DataFrame:

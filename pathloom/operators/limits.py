@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.schema import TIME, NeighborLimit
+from ..sources.io import stored
 
 
 def random_key(seed: int, columns: Sequence[str]) -> Column:
@@ -64,18 +65,39 @@ def apply_limit(df: DataFrame, keys: Sequence[str], limit: NeighborLimit | None,
     return top_n(df, keys, limit.n, limit.features, limit.seed, by)
 
 
-def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal", rows_per_range: int = 1 << 20) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` in the order of ``order``, stored, with ``__part`` (number of the range) and ``__place`` (in the range).
+
+    Both are values of the stored rows, so every later plan sees the same ones.  A
+    hash of the row settles ties and spreads them over ranges.
+    """
+    keys = [*[F.col(c) if isinstance(c, str) else c for c in order], F.xxhash64(*df.columns)]
+    at = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", at)
+    rows = rows.withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    return stored(rows.drop("__at"))
+
+
+def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
     """Gapless 0-based places in the order of ``order``, without a one-task sort.
 
-    Rows are range-partitioned; a partition's places start after the row counts
-    of the lower ones (a row per partition).  The range partitioning is stored
-    in the plan by partition id, which the second pass sees unchanged.
+    A place is the number of rows in the lower ranges (a row per range) and the place in the own one.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return ranged.join(starts, "__p").withColumn(name, F.col("__start") + F.col("__m") - F.col("__first")).select(*df.columns, name)
+    rows = ranged(df, order)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__place")).select(*df.columns, name)
+
+
+def with_running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str]) -> DataFrame:
+    """Running sums in the order of ``order``: new column name to summed column, the row itself included."""
+    rows = ranged(df, order)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("__part").agg(*[F.sum(c).alias(f"__z_{new}") for new, c in sums.items()])
+    starts = per.select("__part", *[F.coalesce(F.sum(f"__z_{new}").over(before), F.lit(0)).alias(f"__s_{new}") for new in sums])
+    within = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    new = {n: F.col(f"__s_{n}") + F.sum(c).over(within) for n, c in sums.items()}
+    return rows.join(starts, "__part").withColumns(new).select(*df.columns, *sums)
 
 
 def row_range(df: DataFrame, order: Sequence[str], start: int, end: int) -> DataFrame:

@@ -1,8 +1,9 @@
 """Paths: fixed paths, typed k-hop enumeration, metapaths, recall and subgraphs.
 
-A path is a row; extending one is a join on (last node, month).  Everything is
-lazy: a schema's DataFrame is a plan, and longer schemas share the plans they
-extend.  ``cache`` (a ``Checkpoint``) stores them between hops where K is large.
+A path is a row; extending one is a join on (last node, month).  A hop uses the
+paths before it twice, for the frontier and for the join, so paths that further hops
+extend are stored first (``stored``, or ``cache``, a ``Checkpoint`` that a later run
+takes up); the paths that are returned are lazy.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import TIME, EdgeSpec, MetaPath, PathSchema, Relation
-from ..sources.io import Checkpoint, scan
+from ..sources.io import Checkpoint, scan, stored
 from .edges import collapse, present, read_edges
 from .limits import apply_limit, random_n, top_n
 
@@ -38,6 +39,8 @@ def sample_path(spark: SparkSession, edges: Sequence[EdgeSpec], times: Iterable[
         if spec.path_limit:
             path = path.where(F.expr(spec.path_limit))
         path = apply_limit(path, [edges[0].head_name], spec.path_neighbor_limit)
+        if 0 < k < len(edges) - 1:
+            path = stored(path)
     return path
 
 
@@ -90,6 +93,8 @@ def enumerate_khop(
                     df, s = extend(spark, path, schema, edge, times, simple, dead_ends)
                     if cache is not None:
                         df = cache.get(s.name.replace("/", "__").replace(">", "-").replace(":", "-"), lambda df=df: df, {"schema": s.name, "times": list(times) if times else None})
+                    elif hop < hops - 1:
+                        df = stored(df)
                     grown.append((s, df))
                     if end_type is None or s.end_type == end_type:
                         found[s.name] = (s, df)

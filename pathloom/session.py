@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from functools import wraps
 
+from py4j.protocol import Py4JJavaError, Py4JNetworkError
 from pyspark.sql import SparkSession
 
 log = logging.getLogger(__name__)
@@ -28,9 +29,16 @@ def build_session(app: str = "pathloom", config: dict[str, str] | None = None, h
 
 
 class ResilientRunner:
-    """Run ``task(spark, ...)``; on an error rebuild the session and run it again."""
+    """Run ``task(spark, ...)``; if Spark fails, rebuild the session and run it again.
 
-    def __init__(self, build: Callable[[], SparkSession] = build_session, max_restarts: int = 20, wait_s: float = 0.0):
+    Failed jobs and lost connections count as failures of Spark.  Errors of the task
+    itself (a wrong argument, a query that can't be analysed, a failing Python
+    function) come out at once: they would fail again.
+    """
+
+    FAILURES = (Py4JJavaError, Py4JNetworkError, ConnectionError)
+
+    def __init__(self, build: Callable[[], SparkSession] = build_session, max_restarts: int = 20, wait_s: float = 10.0):
         self.build, self.max_restarts, self.wait_s = build, max_restarts, wait_s
         self.restarts = 0
 
@@ -39,7 +47,7 @@ class ResilientRunner:
             spark = self.build()
             try:
                 return task(spark, *args, **kwargs)
-            except Exception:
+            except self.FAILURES:
                 self.restarts += 1
                 if self.restarts > self.max_restarts:
                     raise

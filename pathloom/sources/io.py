@@ -8,6 +8,8 @@ which prunes directories; columns are pruned by later selections.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +113,24 @@ class Store:
             stream.close()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and the session is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/pathloom/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: what several later steps use is made once."""
+    at = shared_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 class Checkpoint:
     """Named results that a later run takes up again.
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.functions import attention, metrics, scaling, vectors
 from pathloom.functions.dates import month_list, months_back
@@ -290,12 +291,54 @@ def test_runner_starts_again(spark):
     def task(s, n):
         calls.append("run")
         if len(calls) < n:
-            raise RuntimeError("lost")
+            raise ConnectionError("lost")
         return "done"
 
-    assert ResilientRunner(Stub, 3).run(task, 4) == "done" and calls == ["run", "stop", "run", "stop", "run"]
-    with pytest.raises(RuntimeError):
-        ResilientRunner(Stub, 1).run(task, 10**6)
+    assert ResilientRunner(Stub, 3, 0).run(task, 4) == "done" and calls == ["run", "stop", "run", "stop", "run"]
+    with pytest.raises(ConnectionError):
+        ResilientRunner(Stub, 1, 0).run(task, 10**6)
+
+    def wrong(s):
+        calls.append("wrong")
+        raise ValueError("a mistake")
+
+    with pytest.raises(ValueError):
+        ResilientRunner(Stub, 3, 0).run(wrong)
+    assert calls.count("wrong") == 1
+
+
+def test_ordinals_at_many_partitions(spark):
+    """Uneven payloads, ties and many ranges: every place once, in order."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        n = 400_000
+        df = spark.range(n).select((F.xxhash64("id") % 50_000).alias("k"), F.col("id"), F.expr("repeat('x', cast(id % 700 as int))").alias("payload"))
+        got = limits.with_ordinal(df, ["k", "id"], "o").select("k", "id", "o").toPandas().sort_values("o")
+        assert got["o"].tolist() == list(range(n))
+        assert list(zip(got["k"], got["id"])) == sorted(zip(got["k"], got["id"]))
+        total = limits.with_running(df.select("k", "id", "payload"), [F.col("k").desc(), "id"], {"upto": "id"}).select("k", "id", "upto").toPandas()
+        total = total.sort_values(["k", "id"], ascending=[False, True])
+        assert total["upto"].tolist() == total["id"].cumsum().tolist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_curves_on_continuous_scores(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    s = np.round(rng.normal(size=3000), 4)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-s))).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double").repartition(7)
+    wins = sum((s[y == 1] > b).sum() + (s[y == 1] == b).sum() / 2 for b in s[y == 0])
+    assert abs(metrics.auc(df, "y", "s").first()[0] - wins / (y.sum() * (1 - y).sum())) < 1e-9
+    kinds = np.unique(s)[::-1]
+    tp = np.array([(y[s >= k]).sum() for k in kinds])
+    prec, rec = tp / np.array([(s >= k).sum() for k in kinds]), tp / y.sum()
+    step = np.diff(np.append(0, rec))
+    assert abs(metrics.average_precision(df, "y", "s").first()[0] - (step * prec).sum()) < 1e-9
+    assert abs(metrics.pr_auc(df, "y", "s").first()[0] - (step * (prec + np.append(1, prec[:-1])) / 2).sum()) < 1e-9
 
 
 def test_entry_contract():
