@@ -38,6 +38,8 @@ def read_edges(spark: SparkSession, spec: EdgeSpec, times: Iterable[str] | None
     ``frontier``: (head, month) rows; other edges are dropped before anything is summed.
     """
     df = scan(spark, spec.table, spec.source, spec.time, times)
+    if spec.scan_limit:
+        df = df.where(F.expr(spec.scan_limit))
     raw = [spec.head, *spec.tails]
     names = [spec.head_name, *spec.tail_names]
     for c in raw:

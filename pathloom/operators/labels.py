@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_of
+from ..functions.dates import month_of, months_back
 from ..plans.schema import TIME, LabelSpec
 from ..sources.io import scan
 from .edges import present
@@ -45,6 +45,12 @@ def read_labels(spark: SparkSession, spec: LabelSpec, ranges: Mapping[str, tuple
     return downsample_negatives(df, budgets, list(spec.names)) if any(budgets.values()) else df
 
 
+def label_targets(spec: LabelSpec, labels: DataFrame, name: str) -> DataFrame:
+    """(node, month) that one endpoint of the labels needs features of: ``spec.months`` months that end with the label's."""
+    own = labels.select(F.col(name), F.col(TIME).alias("__t")).distinct()
+    return months_back(own, "__t", spec.months, TIME, "__back").select(name, TIME).distinct()
+
+
 def downsample_negatives(df: DataFrame, budgets: Mapping[str, int | None], by: list[str], seed: int = 0) -> DataFrame:
     """All positives of each split, and its negatives thinned to the budget left by hash threshold."""
     counts = df.groupBy("split").agg(F.count_if(F.col("Label") > 0).alias("__p"), F.count_if(F.col("Label") <= 0).alias("__n"))

@@ -167,10 +167,12 @@ def metapath_columns(path: DataFrame, spec: MetaPath, kind: str) -> DataFrame:
     return out.distinct() if kind in ("Head_And_Tail", "ALL_Nodes") else out
 
 
-def subgraph(spark: SparkSession, seeds: DataFrame, seed_type: str, relations: Sequence[Relation], hops: int, scales: Sequence[int] = (), reverse_scales: Sequence[int] = (), times=None, seed: int = 0) -> DataFrame:
+def subgraph(spark: SparkSession, seeds: DataFrame, seed_type: str, relations: Sequence[Relation], hops: int, scales: Sequence[int] = (), reverse_scales: Sequence[int] = (), times=None, seed: int = 0, samplers: dict[str, str] | None = None) -> DataFrame:
     """Edges within ``hops`` hops of (node, month) seeds: (hop, relation, Head, Tail, month, Weight).
 
-    ``scales`` cap edges per seed node by hop and direction: 0 skips it, a negative one is no cap.
+    ``scales`` cap edges per seed node by hop and direction: 0 skips it, a negative one is no cap; a dict
+    holds them by relation, and a relation without a scale for a hop is skipped there.  ``samplers``, by
+    relation: ``top`` keeps the largest weights, else the choice is random.
     Frontiers are kept by node type; a node is a seed of the next hop however it was reached.
     """
     fronts = {seed_type: seeds.select(F.col(seeds.columns[0]).alias("node"), TIME).distinct()}
@@ -179,13 +181,18 @@ def subgraph(spark: SparkSession, seeds: DataFrame, seed_type: str, relations: S
         reached: dict[str, list[DataFrame]] = {}
         for r in relations:
             for start, own, caps in (("Head", r.head_type, scales), ("Tail", r.tail_type, reverse_scales)):
-                cap = caps[hop] if hop < len(caps) else -1
+                if isinstance(caps, dict):
+                    cap = caps[r.name][hop] if hop < len(caps.get(r.name, ())) else 0
+                else:
+                    cap = caps[hop] if hop < len(caps) else -1
                 if own not in fronts or cap == 0 or not r.enabled(start):
                     continue
                 edge = replace(r.oriented(start, 0), head_as="node", tails_as=("other",))
                 df, features = read_edges(spark, edge, times, fronts[own])
                 df = df.select("node", "other", TIME, (F.col(features[0]) if features else F.lit(1)).cast("double").alias("Weight"))
-                if cap > 0:
+                if cap > 0 and (samplers or {}).get(r.name) == "top":
+                    df = top_n(df, ["node", TIME], cap, ["Weight"], seed, ["node", "other", TIME])
+                elif cap > 0:
                     df = random_n(df, ["node", TIME], cap, seed, ["node", "other", TIME])
                 a, b = ("node", "other") if start == "Head" else ("other", "node")
                 out.append(df.select(F.lit(hop).alias("hop"), F.lit(r.name).alias("relation"), F.col(a).cast("string").alias("Head"), F.col(b).cast("string").alias("Tail"), TIME, "Weight"))

@@ -76,6 +76,7 @@ class EdgeSpec:
     path_limit: str | None = None
     path_neighbor_limit: NeighborLimit | None = None
     name: str | None = None
+    scan_limit: str | None = None
 
     @property
     def head_name(self) -> str:
@@ -100,6 +101,7 @@ class Relation:
     time: str | None = "dt"
     features: tuple[str, ...] | None = None
     limits: dict[str, dict[str, Any]] = field(default_factory=dict)  # by "Head" / "Tail", the end it starts from
+    scan_limit: str | None = None
 
     def oriented(self, start: str, hop: int) -> EdgeSpec:
         """The relation as the edge of a hop that starts from its ``Head`` or its ``Tail``."""
@@ -108,7 +110,7 @@ class Relation:
         (a, at), (b, bt) = ends if start == "Head" else ends[::-1]
         return EdgeSpec(
             self.table, a, (b,), f"Node_{hop}", (f"Node_{hop + 1}",), at, (bt,), self.source, self.time, self.features,
-            own.get("edge_limit"), own.get("node_limits", ()), own.get("neighbor_limit"), name=f"{self.name}:{start}",
+            own.get("edge_limit"), own.get("node_limits", ()), own.get("neighbor_limit"), name=f"{self.name}:{start}", scan_limit=self.scan_limit,
         )
 
     def enabled(self, start: str) -> bool:
@@ -160,6 +162,7 @@ class LabelSpec:
     label_range: tuple[Any, ...] | None = None
     max_rows: int | None = None
     split_max_rows: dict[str, int] = field(default_factory=dict)
+    months: int = 1  # months of features that each label's nodes need, its own the last
 
 
 def load_json(path: str) -> Any:
@@ -339,4 +342,5 @@ def label_spec(config: dict, splits: Iterable[str] = ()) -> LabelSpec:
         config["Table_Name"], tuple(config["Node_Columns"]), tuple(names), config["Label_Column"], config["Time_Column"], dt=config.get("dt"), limits=config.get("Limits"),
         split_limits={s: config[f"{s}_Limits"] for s in splits if f"{s}_Limits" in config}, label_map=dict(zip(keys, values)), label_range=_several(config.get("Label_Range_Limit")),
         max_rows=config.get("Max_Rows"), split_max_rows={s: config[f"{s}_Max_Rows"] for s in splits if f"{s}_Max_Rows" in config},
+        months=int(config.get("Feature_Time_Range", 1)),
     )

@@ -662,6 +662,9 @@ def pair_scorer_ml(v: View) -> DataFrame:
     return score_pairs(train_scorer(data, cols), data, cols).select("start", "end", TIME, "Label", "score")
 
 
+from . import queries_composed as _composed  # noqa: E402, F401  (adds its queries)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each two-hop path schema explains the (customer, supplier) pairs of returned goods."""
     return QUERIES["cover_summary"](spark, sf_dir)
