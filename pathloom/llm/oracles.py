@@ -78,8 +78,7 @@ c AS (SELECT r, sum(least(5, coalesce(j - i, 5))) AS n FROM (SELECT r, i, lead(i
 l AS (SELECT r, h, unnest(string_split(t, chr(10))) AS line FROM d),
 x AS (SELECT r, h, line, lower(trim(line, {_SPACES})) AS k FROM l WHERE trim(line, {_SPACES}) <> ''),
 u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM x GROUP BY r),
-o AS (SELECT h, k FROM x JOIN (SELECT h, count(*) AS n FROM d GROUP BY h) USING (h)
-      GROUP BY h, k, n HAVING count(DISTINCT r) > 10 AND count(DISTINCT r) > 0.1 * n),
+o AS (SELECT h, k FROM x GROUP BY h, k HAVING count(DISTINCT r) > 10),
 z AS (SELECT r, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM x SEMI JOIN o USING (h, k) GROUP BY r),
 s AS (
   SELECT doc_id, len(w) AS n_words, length(translate(t, {_SPACES}, '')) AS word_chars,

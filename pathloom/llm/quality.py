@@ -1,10 +1,10 @@
 """Quality rules: text statistics and cross-document line frequency, in SQL functions only.
 
 Lines are normalised (stripped, lower-cased) and hashed; each host's lines are
-counted by distinct documents.  A line above the limit - more than ``min_docs``
-documents and, unless ``max_share`` is None, more than that share of its host's
-documents - is boilerplate and goes; a document that keeps less than
-``min_left`` of its words is rejected.
+counted by distinct documents.  A line in more than ``min_docs`` documents of its
+host (and, if a ``max_share`` is given, in more than that share of them) is
+boilerplate and goes; a document that keeps less than ``min_left`` of its words is
+rejected.
 
 The lists of such lines may be of any size: they stay rows, joined by (host,
 line hash) to the documents' line hashes, and what is found comes back to the
@@ -58,10 +58,10 @@ def repeat_words(words: Column, width: int = 5) -> Column:
 
 
 def with_stats(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the statistics and ``__at``, hash and words of each line that is not blank."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(F.translate(t, SPACE, " " * len(SPACE)), " ", -1), "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    arrays = docs.withColumns({"__words": words, "__lines": lines})
+    arrays = docs.withColumns({"__words": words, "__lines": full_lines(text)})
     return arrays.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
@@ -69,6 +69,7 @@ def with_stats(docs: DataFrame, text: str) -> DataFrame:
             "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": repeat_words(F.col("__words")),
+            "__at": hashed_lines(F.col("__lines")),
         }
     ).drop("__words", "__lines")
 
@@ -77,9 +78,12 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.btrim(line, F.lit(SPACE))))
 
 
-def line_array(text: str) -> Column:
-    """Hash and words of each line that is not blank."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
+def full_lines(text: str) -> Column:
+    """The lines that are not blank."""
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
+
+
+def hashed_lines(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
 
 
@@ -96,15 +100,15 @@ def boilerplate(each: DataFrame, hosts: DataFrame, min_docs: int, max_share: flo
     return counted.select("__h", "line")
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float | None = 0.1, min_left: float = 0.3, host: str = "source", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float | None = None, min_left: float = 0.3, host: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, ``kept`` and ``clean_text`` (without boilerplate lines)."""
     docs = docs.drop(*STATS)
     at = shared.folder(docs.sparkSession, "boilerplate")
     keys = docs.select(*[v.alias(k) for k, v in row_keys(host, text).items()], text)
-    each = keys.select("__h", "__key", F.explode(F.array_distinct(F.transform(line_array(text), lambda x: x["line"]))).alias("line"))
+    each = keys.select("__h", "__key", F.explode(F.array_distinct(F.transform(full_lines(text), line_hash))).alias("line"))
     often = shared.cut(boilerplate(each, keys, min_docs, max_share), f"{at}/lines")
     found = shared.cut(each.join(often, ["__h", "line"]).groupBy("__h", "__key").agg(F.collect_set("line").alias("__often")), f"{at}/texts")
-    out = with_stats(docs, text).withColumns(row_keys(host, text) | {"__at": line_array(text)}).join(found, ["__h", "__key"], "left")
+    out = with_stats(docs, text).withColumns(row_keys(host, text)).join(found, ["__h", "__key"], "left")
     gone = lambda h: F.array_contains(F.col("__often"), h)
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: (F.length(F.btrim(x, F.lit(SPACE))) == 0) | ~gone(line_hash(x)))
     out = out.withColumn("clean_text", F.when(F.col("__often").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")))

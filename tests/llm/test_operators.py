@@ -116,13 +116,14 @@ def repeat_words(w):
     return len(inside)
 
 
-def test_quality_rules(awkward):
+@pytest.mark.parametrize("share", [None, 0.1])
+def test_quality_rules(awkward, share):
     data = awkward.collect()
     norm = lambda line: line.strip(" \t\n\x0b\f\r").lower()
     hosts, docs = Counter(r.source for r in data), Counter()
     for r in data:
         docs.update({(r.source, norm(x)) for x in (r.text or "").split("\n") if norm(x)})
-    often = {k for k, n in docs.items() if n > 3 and n > 0.1 * hosts[k[0]]}
+    often = {k for k, n in docs.items() if n > 3 and (share is None or n > share * hosts[k[0]])}
     assert often
     want = []
     for r in data:
@@ -133,7 +134,7 @@ def test_quality_rules(awkward):
         clean = None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, norm(x)) not in often)
         symbols = sum(c in "#*$%&|<>" for c in r.text or "")
         want.append((str(r.doc_id), len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), repeat_words(w), failed, not failed and len(w) - lost >= 0.3 * len(w), clean))
-    got = [(str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.clean_text) for r in quality.quality_rules(awkward, min_docs=3).collect()]
+    got = [(str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.clean_text) for r in quality.quality_rules(awkward, min_docs=3, max_share=share).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 

@@ -29,10 +29,10 @@ def sized(r, text):
 
 def rules(data):
     norm = lambda line: line.strip(" \t\n\x0b\f\r").lower()
-    hosts, docs = Counter(r.source for r in data), Counter()
+    docs = Counter()
     for r in data:
         docs.update({(r.source, norm(x)) for x in (r.text or "").split("\n") if norm(x)})
-    often = {k for k, n in docs.items() if n > 10 and n > 0.1 * hosts[k[0]]}
+    often = {k for k, n in docs.items() if n > 10}
     out = []
     for r in data:
         w = WORD.findall(r.text or "")
