@@ -3,11 +3,13 @@
 Pieces shorter than a sequence are dealt by hash to shards of a few thousand.
 Each shard is bred on several islands (each a task's row): a chromosome is a set
 of bins; crossover injects the donor's best-filled bins whole, drops the bins
-that hold a piece twice, and best-fits the displaced pieces by descending size;
-mutation empties the worst-filled bins.  After each epoch every island hands its
+that hold a piece twice, lets displaced pieces take the places of smaller ones
+where a bin gets fuller by it, and best-fits the rest by descending size; mutation
+empties the worst-filled bins.  After each epoch every island hands its
 elite to the next one of the ring.  A shard is done as soon as it reaches the
 lower bound of its bin count: no packing has fewer bins, so that further
-generations could change nothing.  Where best-fit falls short the generations run;
+generations could change nothing.  Where best-fit falls short the generations run, up
+to a number and as long as some of the last ones found a better packing;
 each epoch's table holds their number (``generations``), and epochs end when all
 shards are done.
 
@@ -36,7 +38,7 @@ from .encode import SLICE, encoder, with_end
 from .words import slices
 
 PIECES_PER_SHARD, ISLANDS, EPOCHS, JOINED = 4096, 3, 3, 256
-POPULATION, OFFSPRING = 6, 12
+POPULATION, OFFSPRING, PATIENCE = 8, 120, 30
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -121,6 +123,23 @@ class Bins:
                 mask |= 1 << rest
         return Bins(bin_of, np.array(left, np.int64))
 
+    def exchanged(self, pieces: np.ndarray, size: np.ndarray) -> tuple["Bins", np.ndarray]:
+        """Each of ``pieces``, the largest first, takes the place of a smaller one if its bin gets fuller: (bins, pieces without a bin)."""
+        bin_of, left, out = self.bin_of.copy(), self.left.copy(), []
+        for p in pieces[np.argsort(-size[pieces], kind="stable")].tolist():
+            held = np.flatnonzero((bin_of >= 0) & (size < size[p]))
+            after = left[bin_of[held]] + size[held] - size[p]
+            fits = np.flatnonzero(after >= 0)
+            if not len(fits):
+                out.append(p)
+                continue
+            k = fits[np.argmin(after[fits])]
+            q = int(held[k])
+            bin_of[p], left[bin_of[q]] = bin_of[q], after[k]
+            bin_of[q] = -1
+            out.append(q)
+        return Bins(bin_of, left), np.array(out, np.int64)
+
     def without(self, bins: np.ndarray) -> tuple["Bins", np.ndarray]:
         """The chromosome without some bins, and the pieces they held."""
         gone = np.zeros(len(self.left), bool)
@@ -147,7 +166,8 @@ def crossover(receiver: Bins, donor: Bins, size: np.ndarray, room: int, rng: ran
     into = len(rest.left) + np.cumsum(chosen) - 1
     bin_of = np.where(injected, into[donor.bin_of], rest.bin_of)
     child = Bins(bin_of, np.concatenate([rest.left, donor.left[chosen]]))
-    return child.place(displaced[~injected[displaced]], size, room, rng)
+    child, displaced = child.exchanged(displaced[~injected[displaced]], size)
+    return child.place(displaced, size, room, rng)
 
 
 def mutate(x: Bins, size: np.ndarray, room: int, rng: random.Random) -> Bins:
@@ -156,6 +176,7 @@ def mutate(x: Bins, size: np.ndarray, room: int, rng: random.Random) -> Bins:
     worst = np.argsort(-x.left, kind="stable")[: max(2, n // 50)]
     some = [rng.randrange(n) for _ in range(max(2, n // 50))]
     rest, pieces = x.without(np.unique(np.concatenate([worst, some])))
+    rest, pieces = rest.exchanged(pieces, size)
     return rest.place(pieces, size, room, rng)
 
 
@@ -166,17 +187,19 @@ def evolve(size: np.ndarray, room: int, elite: list[Bins], seed: int) -> tuple[B
     pool = list(elite) or [best_fit(size, room)]
     while len(pool) < POPULATION and len(max(pool, key=key).left) > bound:
         pool.append(best_fit(size, room, rng))
-    bred = 0
+    bred = better = 0
     for _ in range(OFFSPRING):
         pool.sort(key=key, reverse=True)
-        if len(pool[0].left) <= bound:
+        if len(pool[0].left) <= bound or bred - better >= PATIENCE:
             break
         a, b = sorted(rng.sample(range(len(pool)), 2))
         child = crossover(pool[a], pool[b], size, room, rng)
         if rng.random() < 0.5:
             child = mutate(child, size, room, rng)
-        pool = [*pool[: POPULATION - 1], child]
         bred += 1
+        if key(child) > key(pool[0]):
+            better = bred
+        pool = [*pool[: POPULATION - 1], child]
     best = max(pool, key=key)
     return best, bred, len(best.left) <= bound
 
@@ -275,5 +298,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, room: int = 20
 def op10(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = shared.read_table(spark, f"{sf_dir}/documents.parquet")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
