@@ -340,4 +340,4 @@ def _components(docs: DataFrame, width: int, num: int, den: int, at: str) -> Dat
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+    return similar_documents(shared.read_table(spark, f"{sf_dir}/documents.parquet"), 3, 90, 100)

@@ -244,7 +244,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
     stored = shared.cut(store_texts(docs), shared.folder(spark, "media"))
     back = read_media(stored)
     return back.select(

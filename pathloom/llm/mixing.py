@@ -160,7 +160,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: list[flo
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = shared.read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     at = shared.folder(spark, "mix")
     entries = with_entries(docs, 29, "source", "doc_id", "text").drop("text", "source")
     rows = shared.cut(entries.withColumnRenamed("doc_id", "id").select("id", *[F.col(c).alias(c[2:]) for c in ("__s", "__size", "__th", "__w", "__es")]), f"{at}/rows")

@@ -118,5 +118,5 @@ def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float | None =
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = shared.read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -178,7 +178,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """The list: hosts that the corpus never shows over https."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = shared.read_table(spark, f"{sf_dir}/pages.parquet").select("page_id", "url")
     secure = F.col("url").startswith("https://")
     hosts = pages.groupBy(url_host(F.col("url")).alias("host")).agg((~F.max(F.coalesce(secure, F.lit(False)))).alias("listed"))
     return filter_urls(pages, hosts, RULES).select("page_id", "host", "path", "rule", "verdict")
