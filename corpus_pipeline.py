@@ -76,7 +76,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = shared.read_table(spark, f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         at = shared.folder(spark, f"pipeline-{name}")
         with shared.scratch(spark):
