@@ -46,7 +46,7 @@ from .exchange import BLOCK, Blocks, arrays, cells, count, find, flush_name, gat
 from .words import hashed_words, mix, slices
 
 #: Tokens that a task holds before it ships blocks; what one shard is meant for.
-FLUSH, DOCS_PER_WORD_SHARD, TOKENS_PER_SHARD = 3 << 20, 50_000, 4 << 20
+FLUSH, DOCS_PER_WORD_SHARD, TOKENS_PER_SHARD = 1 << 20, 50_000, 2 << 20
 END = np.uint64(0x5BD1E995A5A5F00D)
 #: Ids of the start mark and of unknown words; known words have larger ones.
 START, UNKNOWN, FIRST = np.uint64(0), np.uint64(1), 2
@@ -92,8 +92,8 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(x if 0 < x < k and n[k] else k / 2 for k, x in zip((1, 2, 3), d))
 
 
-def _ask_words(at: str, shards: int, text: str):
-    """Documents to blocks of their distinct words with counts; tokens and other columns are stored."""
+def _ask_words(at: str, shards: int, text: str, counted: bool):
+    """Documents to blocks of their distinct words (with counts, if asked); tokens and other columns are stored."""
 
     def run(batches):
         held, tables, n, number = [], [], 0, 0
@@ -102,13 +102,14 @@ def _ask_words(at: str, shards: int, text: str):
             h, sizes = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             kinds, codes, times = np.unique(h, return_inverse=True, return_counts=True)
             name = flush_name(number, h, sizes)
-            codes = narrow(codes)
+            rank = np.empty(len(kinds), np.int64)  # frequent words have small codes, which pack best
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(kinds))
             sink = pa.BufferOutputStream()
             rest = pa.Table.from_batches(tables)
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
-            put_arrays(f"{at}/tokens-{name}", sizes=sizes, count=np.array([len(kinds), len(codes)]), codes=np.frombuffer(pack(codes), np.uint8), rest=np.frombuffer(sink.getvalue(), np.uint8))
-            return cells(name, shard_of(kinds, shards), kinds, times)
+            put_arrays(f"{at}/tokens-{name}", sizes=sizes, count=np.array([len(kinds), len(codes)]), codes=np.frombuffer(pack(rank[codes]), np.uint8), ranks=np.frombuffer(pack(rank), np.uint8), rest=np.frombuffer(sink.getvalue(), np.uint8))
+            return cells(name, shard_of(kinds, shards), kinds, *([times] if counted else []))
 
         for batch in batches:
             i = batch.schema.get_field_index(text)
@@ -146,7 +147,7 @@ def _find_words(at: str, shards: int):
     """A word shard's blocks answered by the stored array: id and count, 1 and 0 where it has none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = Blocks(pdf, 2)
+        blocks = Blocks(pdf, 1)
         ids, counts = np.full(len(blocks.columns[0]), UNKNOWN), np.zeros(len(blocks.columns[0]), np.uint64)
         if shared.exists(f"{at}/words-{blocks.shard:06d}"):
             stored = arrays(f"{at}/words-{blocks.shard:06d}")
@@ -157,6 +158,15 @@ def _find_words(at: str, shards: int):
     return run
 
 
+def _words(stored: dict) -> np.ndarray:
+    """Place of each token's word among the flush's distinct words, as they were asked."""
+    (codes,) = unpack(stored["codes"].tobytes(), int(stored["count"][1]), 1)
+    (ranks,) = unpack(stored["ranks"].tobytes(), int(stored["count"][0]), 1)
+    place = np.empty(len(ranks), np.int64)
+    place[ranks.astype(np.int64)] = np.arange(len(ranks))
+    return place[codes.astype(np.int64)]
+
+
 def _states(ids: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
     """The columns of the ``width``-grams that end at each place; every text has one place before its first token."""
     last = np.insert(ids, np.cumsum(sizes) - sizes, START)
@@ -170,16 +180,50 @@ def _states(ids: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
     return out
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct sorted keys, a place of each, number of each key among them)."""
+    order = np.argsort(key)
+    at = runs(key[order])
+    of = np.empty(len(key), np.int64)
+    of[order] = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return key[order[at[:-1]]], order[at[:-1]], of
+
+
+def _numbers(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers that are mostly small, as a byte each; those from 255 on stand apart."""
+    large = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}_at": narrow(large), f"{name}_large": narrow(values[large])}
+
+
+def _number(stored: dict, name: str, at: np.ndarray) -> np.ndarray:
+    out = stored[name][at].astype(np.uint64)
+    large = np.flatnonzero(out == 255)
+    out[large] = stored[f"{name}_large"][np.searchsorted(stored[f"{name}_at"], at[large].astype(stored[f"{name}_at"].dtype))]
+    return out
+
+
 def _is_token(sizes: np.ndarray) -> np.ndarray:
     out = np.ones(int(sizes.sum()) + len(sizes), bool)
     out[np.cumsum(sizes + 1) - sizes - 1] = False
     return out
 
 
+def _by_ids(shard: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    """Order by shard and then by the ids, column by column."""
+    columns = [shard.astype(np.uint64), *ids]
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) > 64:
+        return np.lexsort(columns[::-1])
+    one = columns[0]
+    for c, b in zip(columns[1:], bits[1:]):
+        one = one << np.uint64(b) | c
+    return np.argsort(one)
+
+
 def _gram_cells(name: str, shards: int, key: np.ndarray, ids: list[np.ndarray], times: np.ndarray | None = None) -> pa.RecordBatch:
     """Blocks of distinct n-grams: within a shard in the order of their ids, which packs best."""
     shard = shard_of(key, shards)
-    o = np.lexsort((*ids[::-1], shard))
+    o = _by_ids(shard, ids)
     return cells(name, shard[o], *[c[o] for c in ids], *([] if times is None else [times[o]]))
 
 
@@ -191,11 +235,10 @@ def _count_grams(work: str, order: int, shards: int):
         name = pdf["flush"].iloc[0]
         stored = arrays(f"{work}/tokens-{name}")
         (ids,) = gathered(pdf, 1, int(stored["count"][0]))
-        (codes,) = unpack(stored["codes"].tobytes(), int(stored["count"][1]), 1)
         sizes = stored["sizes"]
-        grams = [c[_is_token(sizes)] for c in _states(ids[codes.astype(np.int64)], sizes, order)]
+        grams = [c[_is_token(sizes)] for c in _states(ids[_words(stored)], sizes, order)]
         key = gram_key(grams)
-        order_ = np.argsort(key, kind="stable")
+        order_ = np.argsort(key)
         at = runs(key[order_])
         first = order_[at[:-1]]
         return pa.Table.from_batches([_gram_cells(name, shards, key[first], [c[first] for c in grams], np.diff(at))])
@@ -217,12 +260,12 @@ def _merge_grams(at: str, level: int, top: bool, shards: int):
         blocks = Blocks(pdf, level + fields)
         grams, values = blocks.columns[:level], blocks.columns[level:]
         key = gram_key(grams)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at_ = runs(key[order])
         first = order[at_[:-1]]
         keys, grams = key[first], [c[first] for c in grams]
         a, *context = [np.add.reduceat(v[order], at_[:-1]) for v in values]
-        put_arrays(f"{at}/grams-{level}-{blocks.shard:06d}", keys=keys, a=narrow(a), **{f"c{k}": narrow(c) for k, c in enumerate(context)})
+        put_arrays(f"{at}/grams-{level}-{blocks.shard:06d}", keys=keys, **_numbers("a", a), **{k: v for i, c in enumerate(context) for k, v in _numbers(f"c{i}", c).items()})
         real = a > 0
         report = np.array([level, *[(a == k).sum() for k in (1, 2, 3, 4)], a.sum(), (a > 2).sum()], "<i8").tobytes()
         out = [pd.DataFrame({"shard": [-1], "flush": [""], "n": [0], "block": [report]})]
@@ -234,13 +277,13 @@ def _merge_grams(at: str, level: int, top: bool, shards: int):
             below = [np.concatenate(x) for x in zip(grams[1:], grams[:-1])]
             parts = [np.concatenate(x) for x in ((one, none), (none, a), (none, a == 1), (none, a == 2), (none, a > 2))]
             k2 = gram_key(below)
-            order = np.argsort(k2, kind="stable")
+            order = np.argsort(k2)
             at_ = runs(k2[order])
             first = order[at_[:-1]]
             sums = [np.add.reduceat(p[order].astype(np.uint64), at_[:-1]) if len(first) else none[:0] for p in parts]
             below, k2 = [c[first] for c in below], k2[first]
             shard = shard_of(k2, shards)
-            o = np.lexsort((*below[::-1], shard))
+            o = _by_ids(shard, below)
             out.append(cells("", shard[o], *[c[o] for c in below], *[s[o] for s in sums]).to_pandas())
         return pd.concat(out)
 
@@ -257,7 +300,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     with shared.scratch(spark):
         work = shared.folder(spark, "lm-tokens")
         word_shards = max(4, -(-docs.count() // DOCS_PER_WORD_SHARD))
-        asked = docs.mapInArrow(_ask_words(work, word_shards, "text"), BLOCK)
+        asked = docs.mapInArrow(_ask_words(work, word_shards, "text", True), BLOCK)
         answered = shared.cut(asked.groupBy("shard").applyInPandas(_merge_words(at, word_shards), BLOCK), f"{work}/words")
         pairs = [np.frombuffer(r.block, "<i8") for r in answered.where("shard < 0").select("block").collect()]  # two numbers per shard
         words, tokens = (int(sum(p[k] for p in pairs)) for k in (0, 1))
@@ -285,10 +328,10 @@ def _ask_grams(work: str, model: Model):
         name = pdf["flush"].iloc[0]
         stored = arrays(f"{work}/tokens-{name}")
         ids, counts = gathered(pdf, 2, int(stored["count"][0]))
-        put_arrays(f"{work}/ids-{name}", ids=ids, counts=counts)
+        put_arrays(f"{work}/ids-{name}", both=np.frombuffer(pack(ids, counts), np.uint8))
         out = []
         for level, key, grams in _questions(stored, ids, model.order):
-            kinds = np.unique(key, return_index=True)[1]
+            kinds = _distinct(key)[1]
             got = _gram_cells(name, model.shards, key[kinds], [c[kinds] for c in grams])
             got = got.set_column(0, "shard", pa.array(got.column(0).to_numpy() + level * _LEVELS))
             # Columns of other orders are other in number: a block says its own by its shard.
@@ -300,8 +343,7 @@ def _ask_grams(work: str, model: Model):
 
 def _questions(stored: dict, ids: np.ndarray, order: int):
     """(order, key, id columns) of the grams whose numbers a flush needs."""
-    (codes,) = unpack(stored["codes"].tobytes(), int(stored["count"][1]), 1)
-    own = ids[codes.astype(np.int64)]
+    own = ids[_words(stored)]
     for level in range(1, order + 1):
         grams = _states(own, stored["sizes"], level)
         if level == order:  # no contexts of this length
@@ -322,7 +364,7 @@ def _find_grams(at: str, order: int):
             i, hit = find(stored["keys"], key)
             for o, c in zip(out, ("a", "c0", "c1", "c2", "c3")):
                 if c in stored:
-                    o[hit] = stored[c][i[hit]]
+                    o[hit] = _number(stored, c, i[hit])
         return blocks.answers(*out)
 
     return run
@@ -334,16 +376,17 @@ def _finish(work: str, model: Model, names: list[str]):
     def run(table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()
         name = pdf["flush"].iloc[0]
-        stored, words = arrays(f"{work}/tokens-{name}"), arrays(f"{work}/ids-{name}")
+        stored = arrays(f"{work}/tokens-{name}")
+        ids, counts = unpack(arrays(f"{work}/ids-{name}")["both"].tobytes(), int(stored["count"][0]), 2)
         sizes, token = stored["sizes"], _is_token(stored["sizes"])
         p = np.full(int(sizes.sum()), 1 / (model.words + 1))
         context = [np.full(len(p), float(x)) for x in model.unigrams]
-        for level, key, grams in _questions(stored, words["ids"], model.order):
+        for level, key, grams in _questions(stored, ids, model.order):
             own = pdf[pdf["shard"] // _LEVELS == level]
-            kinds, first, of = np.unique(key, return_index=True, return_inverse=True)
+            kinds, first, of = _distinct(key)
             got = gathered(own, 1 if level == model.order else 5, len(kinds))
             # Answers come in the order in which the grams were shipped.
-            shipped = np.lexsort((*[c[first] for c in grams][::-1], shard_of(kinds, model.shards)))
+            shipped = _by_ids(shard_of(kinds, model.shards), [c[first] for c in grams])
             place = np.empty(len(kinds), np.int64)
             place[shipped] = np.arange(len(kinds))
             got = [g[place][of] for g in got]
@@ -356,8 +399,7 @@ def _finish(work: str, model: Model, names: list[str]):
             if level < model.order:  # the gram that ends before a token is its context
                 before = np.flatnonzero(token) - 1
                 context = [g[before].astype(np.float64) for g in got[1:]]
-        (codes,) = unpack(stored["codes"].tobytes(), int(stored["count"][1]), 1)
-        c = words["counts"][codes.astype(np.int64)].astype(np.float64)
+        c = counts[_words(stored)].astype(np.float64)
         base = np.log10((c + 1) / (model.tokens + model.words + 1))
         at = np.cumsum(sizes) - sizes
         known, base, own = (np.add.reduceat(x, at) for x in ((c > 0).astype(np.int64), base, np.log10(p)))
@@ -377,13 +419,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     result = shared.folder(spark, "lm-scores")
     with shared.scratch(spark):
         work = shared.folder(spark, "lm-tokens")
-        words = docs.select(*names, text).mapInArrow(_ask_words(work, model.word_shards, text), BLOCK).groupBy("shard").applyInPandas(_find_words(model.at, model.word_shards), BLOCK)
+        words = docs.select(*names, text).mapInArrow(_ask_words(work, model.word_shards, text, False), BLOCK).groupBy("shard").applyInPandas(_find_words(model.at, model.word_shards), BLOCK)
         grams = words.groupBy("flush").applyInArrow(_ask_grams(work, model), BLOCK).groupBy("shard").applyInPandas(_find_grams(model.at, model.order), BLOCK)
         return shared.cut(grams.groupBy("flush").applyInArrow(_finish(work, model, names), schema), result)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = shared.read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.withColumn("held_out", held)
     model = train(docs.where(~F.col("held_out")))
