@@ -177,7 +177,8 @@ def load_vectors(
 def ml_table(spark: SparkSession, store: FeatureStore, targets: DataFrame, name: str, kinds: Sequence[str] = ("norm", "std"), start: int | None = None, end: int | None = None) -> DataFrame:
     """Targets with all numeric features of the store's tables, raw and scaled: ``{part}^{column}_{kind}``.
 
-    Statistics are those of all targets; ``start`` and ``end`` then take the targets with places in
+    Statistics are those of all targets, or of the stored profile where the store names one
+    for a table; ``start`` and ``end`` then take the targets with places in
     [start, end) of the (node, month) order.  Missing features are 0.
     """
     if unknown := set(kinds) - {"raw", "norm", "std"}:
@@ -185,16 +186,24 @@ def ml_table(spark: SparkSession, store: FeatureStore, targets: DataFrame, name:
     keys = [name, TIME]
     parts = {"Start_Node": store.start} if store.start else {}
     parts |= {f"{p}^{i}": specs for p, columns in sorted(store.paths.items()) for i, (_, specs) in enumerate(columns)}
-    out, features = targets, []
+    out, features, known = targets, [], []
     for part, specs in parts.items():
         for k, spec in enumerate(specs):
             df, own = read_nodes(spark, spec, name, fill=None)
             names = {f: f"{part}^{k}^{f}" if len(specs) > 1 else f"{part}^{f}" for f in own}
             out = out.join(df.withColumnsRenamed(names), keys, "left")
             features += names.values()
+            if part in store.summaries:
+                profile = scan(spark, store.summaries[part][k])
+                known += [(profile, {f: n for f, n in names.items()})]
     out = stored(out.fillna(0, features))
     plain = {f: f"__f{i}" for i, f in enumerate(features)}
-    scaled = scaling.eps_scaled(out.withColumnsRenamed(plain), list(plain.values()))
+    scaled = out.withColumnsRenamed(plain)
+    for profile, names in known:
+        renamed = reduce(lambda c, kv: c.when(F.col("feature") == kv[0], plain[kv[1]]), names.items(), F)
+        scaled = scaling.eps_scaled(scaled, [plain[n] for n in names.values()], profile.withColumn("feature", renamed))
+    if own := [p for f, p in plain.items() if not any(f in names.values() for _, names in known)]:
+        scaled = scaling.eps_scaled(scaled, own)
     picked = [F.col(f"{p}{'' if k == 'raw' else '_' + k}").alias(f"{f}_{k}") for f, p in plain.items() for k in kinds]
     scaled = scaled.select(*targets.columns, *picked)
     return scaled if start is None and end is None else row_range(scaled, keys, start or 0, end if end is not None else 1 << 62)

@@ -150,6 +150,7 @@ class FeatureStore:
 
     start: tuple[NodeSpec, ...]
     paths: dict[str, tuple[tuple[str, tuple[NodeSpec, ...]], ...]]  # (node class, tables) of each column
+    summaries: dict[str, tuple[str, ...]] = field(default_factory=dict)  # by path and column ("p^0"): stored profiles of its tables
 
 
 # Keys of a feature store, and the column that tables of paths go by.
@@ -162,9 +163,13 @@ def feature_store(config: dict) -> FeatureStore:
     for c in config.get("Start_Node_Feature_Table_List", []):
         _only(c, ("Table_Name", "UID", "Source"), "feature store, start table")
         start.append(NodeSpec(c["Table_Name"], c["UID"], source=c.get("Source", "table")))
-    paths = {}
+    paths, summaries = {}, {}
     for name, columns in config.get("Meta_Path_Feature_Table_List", {}).items():
-        for c in columns:
+        for i, c in enumerate(columns):
             _only(c, COLUMN_KEYS, f"feature store, path {name}")
+            if own := c.get("Feature_Table_Summary_List"):
+                if len(own) != len(c["Feature_Table_List"]):
+                    raise SpecError(f"feature store, path {name}: as many summaries as tables are needed")
+                summaries[f"{name}^{i}"] = tuple(own)
         paths[name] = tuple((c["Node_class"], tuple(NodeSpec(t, START_COLUMN) for t in c["Feature_Table_List"])) for c in columns)
-    return FeatureStore(tuple(start), paths)
+    return FeatureStore(tuple(start), paths, summaries)

@@ -121,7 +121,18 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/pathloom/stored-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/pathloom/stored-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written so far: for when the results that rest on it have been written or shown."""
+    while _made:
+        store = Store(spark, _made.pop())
+        store._fs.delete(store._at(""), True)
 
 
 def stored(df: DataFrame) -> DataFrame:

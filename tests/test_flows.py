@@ -51,6 +51,24 @@ def test_feature_store_form():
     assert store.start[0].key == "u" and [t.table for t in store.paths["p"][0][1]] == ["a", "b"] and store.paths["p"][0][1][0].key == "Start_Column"
     with pytest.raises(S.SpecError):
         D.feature_store({"Meta_Path_Feature_Table_List": {"p": [{"Node_class": "x", "Feature_Table_List": [], "odd": 1}]}})
+    with pytest.raises(S.SpecError):
+        D.feature_store({"Meta_Path_Feature_Table_List": {"p": [{"Node_class": "x", "Feature_Table_List": ["a", "b"], "Feature_Table_Summary_List": ["s"]}]}})
+
+
+def test_ml_table_by_stored_profile(spark):
+    spark.createDataFrame([("a", 1.0, "m"), ("b", 3.0, "m")], "Start_Column string, f double, dt string").createOrReplaceTempView("loom_t_f")
+    spark.createDataFrame([("f", 0.0, 10.0, 2.0, 4.0)], "feature string, min double, max double, mean double, stddev double").createOrReplaceTempView("loom_t_s")
+    store = D.feature_store({"Meta_Path_Feature_Table_List": {"p": [{"Node_class": "x", "Feature_Table_List": ["loom_t_f"], "Feature_Table_Summary_List": ["loom_t_s"]}]}})
+    targets = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "m")], f"u string, {T} string")
+    got = {r.u: r for r in flows.ml_table(spark, store, targets, "u", ("raw", "norm", "std")).collect()}
+    assert [got[u]["p^0^f_raw"] for u in "abc"] == [1.0, 3.0, 0.0]
+    assert np.allclose([got[u]["p^0^f_norm"] for u in "abc"], [0.1, 0.3, 0.0], atol=1e-5) and np.allclose([got[u]["p^0^f_std"] for u in "abc"], [-0.25, 0.25, -0.5], atol=1e-5)
+    from pathloom.sources import io
+
+    made = list(io._made)
+    assert made
+    io.forget_stored(spark)
+    assert not io._made and not any(io.Store(spark, m).exists() for m in made)
 
 
 def test_label_months(spark):
