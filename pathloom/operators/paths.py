@@ -1,7 +1,7 @@
 """Paths: fixed paths, typed k-hop enumeration, metapaths, recall and subgraphs.
 
 A path is a row; extending one is a join on (last node, month).  A hop uses the
-paths before it twice, for the frontier and for the join, so paths that further hops
+paths before it twice, for the frontier and for the join, so paths of two hops and more that others
 extend are stored first (``stored``, or ``cache``, a ``Checkpoint`` that a later run
 takes up); the paths that are returned are lazy.
 """
@@ -93,7 +93,7 @@ def enumerate_khop(
                     df, s = extend(spark, path, schema, edge, times, simple, dead_ends)
                     if cache is not None:
                         df = cache.get(s.name.replace("/", "__").replace(">", "-").replace(":", "-"), lambda df=df: df, {"schema": s.name, "times": list(times) if times else None})
-                    elif hop < hops - 1:
+                    elif 0 < hop < hops - 1:
                         df = stored(df)
                     grown.append((s, df))
                     if end_type is None or s.end_type == end_type:
