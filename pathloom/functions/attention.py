@@ -71,6 +71,18 @@ def semantic(df: DataFrame, node: Sequence[str], metapath: str, features: Sequen
     return df.join(weights, metapath).groupBy(*node).agg(*[F.sum(F.col("__a") * F.col(f)).alias(f) for f in features])
 
 
+def self_attention(df: DataFrame, node: Sequence[str], metapath: str, features: Sequence[str]) -> DataFrame:
+    """Each node's metapath embeddings attend to each other: x_i + sum over j of softmax(x_i . x_j / sqrt(width)) x_j.
+
+    A node has a row per metapath, so its pairs are as few as metapaths squared.
+    """
+    other = df.select(*node, F.col(metapath).alias("__j"), *[F.col(f).alias(f"__o_{f}") for f in features])
+    pairs = df.join(other, list(node))
+    dot = sum((F.col(f) * F.col(f"__o_{f}") for f in features), F.lit(0.0)) / (len(features) ** 0.5)
+    weighed = segment_softmax(pairs.withColumn("__s", dot), [*node, metapath], "__s", "__a")
+    return weighed.groupBy(*node, metapath).agg(*[(F.first(f) + F.sum(F.col("__a") * F.col(f"__o_{f}"))).alias(f) for f in features])
+
+
 def relation_mean(df: DataFrame, node: Sequence[str], relation: str, score: str, features: Sequence[str]) -> DataFrame:
     """Attention within each (node, relation), then the mean over relations."""
     own = attend(df, [*node, relation], score, features)

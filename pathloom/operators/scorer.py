@@ -1,4 +1,4 @@
-"""A trained pair scorer: logistic regression over path features."""
+"""A trained pair scorer over path features: logistic regression, or a perceptron with hidden layers."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def train_scorer(samples: DataFrame, features: Sequence[str], label: str = "Label", max_iter: int = 20, reg: float = 0.01):
-    """A fitted pipeline: zero fill, assembling, standard scaling, logistic regression."""
+def train_scorer(samples: DataFrame, features: Sequence[str], label: str = "Label", max_iter: int = 20, reg: float = 0.01, hidden: Sequence[int] = (), seed: int = 0):
+    """A fitted pipeline: zero fill, assembling, standard scaling, and the classifier; ``hidden`` are sizes of hidden layers."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     stages = [
@@ -19,6 +19,8 @@ def train_scorer(samples: DataFrame, features: Sequence[str], label: str = "Labe
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True),
         LogisticRegression(featuresCol="__scaled", labelCol="__label", maxIter=max_iter, regParam=reg),
     ]
+    if hidden:
+        stages[-1] = MultilayerPerceptronClassifier(featuresCol="__scaled", labelCol="__label", maxIter=max_iter, layers=[len(features), *hidden, 2], seed=seed)
     # Each stage passes over the samples: they are computed once.
     data = samples.fillna(0, list(features)).select(*features, (F.col(label) > 0).cast("double").alias("__label")).persist()
     try:

@@ -662,7 +662,8 @@ def pair_scorer_ml(v: View) -> DataFrame:
     return score_pairs(train_scorer(data, cols), data, cols).select("start", "end", TIME, "Label", "score")
 
 
-from . import queries_composed as _composed  # noqa: E402, F401  (adds its queries)
+from . import queries_basics as _basics  # noqa: E402, F401  (adds its queries)
+from . import queries_composed as _composed  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

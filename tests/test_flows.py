@@ -101,6 +101,17 @@ def test_link_data_needs_an_explaining_schema(spark):
         flows.link_data(spark, known, "start", "end", "X", "Y", [rel], 1, {"Train": ("2020", "2021")})
 
 
+def test_hidden_layers_separate_what_lines_cannot(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "f double, g double, Label int")
+    from pathloom.functions import metrics
+
+    auc = lambda **k: metrics.auc(score_pairs(train_scorer(df, ["f", "g"], max_iter=200, **k), df, ["f", "g"]), "Label", "score").first()[0]
+    assert auc() < 0.7 and auc(hidden=(8,), seed=3) > 0.95
+
+
 def test_scorer_is_the_regularized_fit(spark):
     """Against Newton's method on the same objective."""
     rng = np.random.default_rng(7)
