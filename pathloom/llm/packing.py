@@ -38,7 +38,7 @@ from .encode import SLICE, encoder, with_end
 from .words import slices
 
 PIECES_PER_SHARD, ISLANDS, EPOCHS, JOINED = 4096, 3, 3, 256
-POPULATION, OFFSPRING, PATIENCE = 8, 120, 30
+POPULATION, OFFSPRING, PATIENCE = 6, 120, 12
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
