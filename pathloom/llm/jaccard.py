@@ -41,7 +41,7 @@ from . import shared
 from .exchange import BLOCK, Blocks, arrays, cells, count, flush_name, gathered, put_arrays, runs
 from .words import shingle_sets, slices
 
-FLUSH, DOCS_PER_SHARD, LIST_BLOCK = 3 << 20, 8_000, 2048
+FLUSH, DOCS_PER_SHARD, LIST_BLOCK = 1 << 20, 4_000, 2048
 
 
 def _order_bits(shards: int) -> int:
