@@ -128,3 +128,65 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS compone
 """
 
 SQL["op1_skipping_jaccard_join"] = _OP1
+
+# Trees are folded level by level; a document's siblings are those of its run on every level.
+_OP11 = r"""
+WITH RECURSIVE tb AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tb FROM range(256) r(i)),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('s' || lang, 'n') AS tree, n_chars,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+         doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '0'))), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, tb),
+l AS (
+  SELECT k, doc_id, tree, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(length((n_chars + tampered::INT)::VARCHAR) || ':' || (n_chars + tampered::INT), '-') || tail) AS given FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM l),
+t AS (
+  SELECT tree, 0 AS level, i, n, leaf AS node FROM r
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(node || coalesce(after, ''))
+  FROM (SELECT *, lead(node) OVER (PARTITION BY tree ORDER BY i) AS after FROM t WHERE n > 1) WHERE i % 2 = 0),
+s AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, i, n, subroot AS node FROM s
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(node || coalesce(after, ''))
+  FROM (SELECT *, lead(node) OVER (ORDER BY i) AS after FROM u WHERE n > 1) WHERE i % 2 = 0),
+p AS (
+  SELECT r.k, t.level, coalesce(b.node, '') AS other, (r.i >> t.level) & 1 AS own
+  FROM r JOIN (SELECT DISTINCT tree, level FROM t WHERE n > 1) t USING (tree) LEFT JOIN t b ON b.tree = r.tree AND b.level = t.level AND b.i = xor(r.i >> t.level, 1)
+  UNION ALL
+  SELECT r.k, 1000 + u.level, coalesce(b.node, ''), (s.i >> u.level) & 1
+  FROM r JOIN s USING (tree) JOIN (SELECT DISTINCT level FROM u WHERE n > 1) u ON true LEFT JOIN u b ON b.level = u.level AND b.i = xor(s.i >> u.level, 1)),
+q AS (SELECT k, string_agg(other, '' ORDER BY level) AS proof, list(struct_pack(o := other, own := own) ORDER BY level) AS steps FROM p GROUP BY k),
+f AS (
+  SELECT k, 1 AS j, given AS node, steps FROM r LEFT JOIN q USING (k)
+  UNION ALL
+  SELECT k, j + 1, sha256(CASE WHEN steps[j].own = 1 THEN steps[j].o || node ELSE node || steps[j].o END), steps FROM f WHERE j <= len(steps)),
+g AS (SELECT k, arg_max(node, j) AS folded_root FROM f GROUP BY k)
+SELECT doc_id, leaf, subroot, u.node AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = u.node AS verified
+FROM r JOIN s USING (tree) JOIN g USING (k) LEFT JOIN q USING (k) JOIN u ON u.n = 1
+"""
+
+SQL["op11_merkle_dag_manifest"] = _OP11
+
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT k, doc_id, len(t) AS n, sum(len(t)) OVER ()::BIGINT AS l, count(*) OVER () AS total FROM d WHERE len(t) > 0),
+i AS (
+  SELECT row_number() OVER () AS j, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+q AS (SELECT j, item_id, t, count(*) AS n FROM (SELECT j, item_id, unnest(t) AS t FROM i) GROUP BY ALL),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(t) AS t FROM d) GROUP BY k, t),
+f AS (SELECT t, floor(1000 * ln((2 * (SELECT count(*) FROM s) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p GROUP BY t),
+c AS (
+  SELECT j, item_id, s.k, s.doc_id, sum(q.n * f.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * s.n * total) // l))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN f USING (t) JOIN s ON s.k = p.k GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+SQL["op13_k2_treap_search"] = _OP13

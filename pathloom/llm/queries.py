@@ -18,6 +18,9 @@ NAMES = {
     "op7_line_frequency_rules": "quality",
     "op8_bloom_line_dedup": "linededup",
     "op9_stratified_interleave": "sharding",
+    "op11_merkle_dag_manifest": "manifest",
+    "op12_two_tier_token_counts": "tokencount",
+    "op13_k2_treap_search": "treap",
 }
 
 

@@ -44,12 +44,12 @@ def slices(texts: pa.Array, most: int = 8 << 20):
         first = min(end, n)
 
 
-def split_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
-    """(binary array of all words, pointers of len(texts)+1 into it)."""
+def split_words(texts: pa.Array, lower: bool, between: np.ndarray = _SPACE) -> tuple[pa.Array, np.ndarray]:
+    """(binary array of all words, pointers of len(texts)+1 into it); ``between``: whether a byte is none of a word."""
     raw, offs = buffers(texts)
     if not len(raw):
         return pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64)
-    ws = _SPACE[raw]
+    ws = between[raw]
     word = ~ws
     before = np.empty(len(raw), bool)
     before[0] = True
