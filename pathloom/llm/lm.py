@@ -290,6 +290,20 @@ def _merge_grams(at: str, level: int, top: bool, shards: int):
     return run
 
 
+def _summed(reports: DataFrame, numbers: int, by_first: bool) -> list[tuple[int, ...]]:
+    """The sums of the reports' numbers, over all or for each value of the first; one row or a row per order reaches the driver."""
+    names = [f"c{k}" for k in range(numbers)]
+
+    def read(batches):
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=names)
+
+    rows = reports.select("block").mapInArrow(read, ", ".join(f"{c} long" for c in names))
+    keys = names[:1] if by_first else []
+    return [tuple(x or 0 for x in r) for r in rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names[len(keys) :]]).collect()]
+
+
 def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Count the model of ``docs``; its arrays stay in the shared folder."""
     if order < 1:
@@ -302,16 +316,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         word_shards = max(4, -(-docs.count() // DOCS_PER_WORD_SHARD))
         asked = docs.mapInArrow(_ask_words(work, word_shards, "text", True), BLOCK)
         answered = shared.cut(asked.groupBy("shard").applyInPandas(_merge_words(at, word_shards), BLOCK), f"{work}/words")
-        pairs = [np.frombuffer(r.block, "<i8") for r in answered.where("shard < 0").select("block").collect()]  # two numbers per shard
-        words, tokens = (int(sum(p[k] for p in pairs)) for k in (0, 1))
+        words, tokens = _summed(answered.where("shard < 0"), 2, by_first=False)[0]
         shards = max(8, -(-tokens // TOKENS_PER_SHARD))
         rows = answered.where("shard >= 0").groupBy("flush").applyInArrow(_count_grams(work, order, shards), BLOCK)
         for level in range(order, 0, -1):
             rows = rows.groupBy("shard").applyInPandas(_merge_grams(at, level, level == order, shards), BLOCK)
         totals = np.zeros((order, 6), np.int64)
-        for r in rows.select("block").toLocalIterator():  # seven numbers per shard and order
-            level, *own = np.frombuffer(r.block, "<i8").tolist()
-            totals[level - 1] += own
+        for level, *own in _summed(shared.cut(rows, f"{work}/reports"), 7, by_first=True):
+            totals[level - 1] = own
     t, n1, n2, n3 = (int(totals[0][k]) for k in (4, 0, 1, 5))
     return Model(at, order, tokens, words, word_shards, shards, tuple(discounts(x[:4].tolist()) for x in totals), (t, n1, n2, n3))
 
@@ -425,7 +437,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    docs = shared.read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.withColumn("held_out", held)
     model = train(docs.where(~F.col("held_out")))

@@ -69,18 +69,6 @@ def remove(spark: SparkSession, *uris: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-SMALL_FILE = 64 << 20
-
-
-def read_table(spark: SparkSession, at: str) -> DataFrame:
-    """A stored table.  One of fewer files than cores, all small, is dealt evenly: its row groups alone would leave cores idle."""
-    df, cores = spark.read.parquet(at), spark.sparkContext.defaultParallelism
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    few = len(df.inputFiles()) < cores
-    return df.repartition(cores) if few and size < SMALL_FILE * cores else df
-
-
 def cut(df: DataFrame, at: str) -> DataFrame:
     """Write ``df`` as Parquet at ``at`` and read it back: its lineage ends there."""
     df.write.mode("overwrite").parquet(at)
