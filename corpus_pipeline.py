@@ -20,21 +20,32 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without lines that more than ten documents of their host have."""
+    """Documents that pass the rules, without lines that more than ten documents of their host have.
+
+    A null or empty text fails (fewer than ten words); a null source is a host of its own;
+    repeated rows are judged alike, each as a document; an empty table stays empty.
+    """
     return _with_text(quality.quality_rules(docs).where("kept"), F.col("clean_text"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; a line that five documents share stays in one of them."""
+    """All documents; a line that five documents share stays in the one of the largest id (null: below all others).
+
+    A null text stays null; rows of one id count as one document and keep the line in all of
+    them; an empty table stays empty.
+    """
     return _with_text(linededup.dedup_lines(docs), F.col("text"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones (five words, similarity 0.8): the smallest id, null last.
 
-    Of rows that repeat an id and a text one stays.
+    Of rows that repeat an id and a text one stays; null and empty texts are linked with
+    nothing.  Columns named ``__row`` and ``__hash`` are refused.
     """
     columns = docs.columns
+    if reserved := {"__row", "__hash"} & set(columns):
+        raise ValueError(f"reserved column names: {sorted(reserved)}")
     # Ids may be null or repeated: rows go by a number that the stored copy fixes.
     docs = shared.cut(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.md5(F.col("text").cast("binary"))}), shared.folder(spark, "rows"))
     found = jaccard.similar_documents(docs, 5, 80, 100, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
@@ -53,14 +64,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents, once for each time it takes them."""
+    """The mix's documents, once for each time it takes them.
+
+    A null source is a source of its own; documents without words are taken no times; of
+    identical rows as many are taken as there is room for; an empty table stays empty.  A
+    column named ``__copy`` is refused.
+    """
+    if "__copy" in docs.columns:
+        raise ValueError("reserved column name: __copy")
     mixed = mixing.mix(docs)
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return mixed.where("copies > 0").select(*docs.columns, times.alias("__copy")).drop("__copy")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece: where it lies in which sequence."""
+    """A row per piece: where it lies in which sequence.
+
+    A null or empty text is its end id alone; rows of one id, or none, are packed each for itself.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
