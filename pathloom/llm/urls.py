@@ -9,8 +9,9 @@ their number is odd).
 Keys are two 64-bit hashes, dealt to shards, so a cascade is built per shard over a
 bounded number of keys; the number of shards grows with the universe.  The levels
 of a few hundred shards lie in one segment file and a directory says where: a
-worker maps the segments once (about two bytes a listed key) and looks a batch up
-level by level in whole arrays, without a step per shard and without a join.
+task gathers up to a million rows, visits each segment that they fall into once (about
+two bytes a listed key) and looks them up level by level in whole arrays, without a
+step per shard and without a join.
 
 Allow and block rules of (host, path prefix) come first: a rule fits its host
 and all subdomains, and the longest one wins.
@@ -23,6 +24,8 @@ are replaced).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,8 @@ from .linededup import Bloom
 from .words import mix
 
 KEYS_PER_SHARD, SHARDS_PER_SEGMENT = 4_000, 256
+#: Rows that are looked up together (16 bytes each).
+GATHERED = 1 << 20
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -139,9 +144,9 @@ def member(stored: tuple[str, int, set[int]]):
     """A function of a key column: whether the key is listed (null: no)."""
     at, shards, have = stored
 
-    @F.pandas_udf("boolean")
-    def listed(a: pd.Series, b: pd.Series) -> pd.Series:
-        a, b = (x.to_numpy(np.int64).view(np.uint64) for x in (a, b))
+    def answers(held: list):
+        """The answers of gathered batches, each in its place: a segment is opened once for all of them."""
+        a, b = (np.concatenate([x[k].to_numpy(np.int64) for x in held]).view(np.uint64) for k in (0, 1))
         out, shard = np.zeros(len(a), bool), shard_of(a, shards)
         segment = shard // SHARDS_PER_SEGMENT
         for k in set(segment.tolist()) & have:
@@ -150,7 +155,22 @@ def member(stored: tuple[str, int, set[int]]):
             wide = int(own["wide"][0])
             table = own["table"].reshape(SHARDS_PER_SEGMENT, wide)
             out[rows] = _in_levels(a[rows], b[rows], table[shard[rows] - k * SHARDS_PER_SEGMENT], wide // 2, own["bits"])
-        return pd.Series(out)
+        ends = np.cumsum([0, *[len(x) for x, _ in held]])
+        for first, end in zip(ends[:-1], ends[1:]):
+            yield pd.Series(out[first:end])
+
+    def in_list(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch[0])
+            if n >= GATHERED:
+                yield from answers(held)
+                held, n = [], 0
+        if held:
+            yield from answers(held)
+
+    listed = F.pandas_udf(in_list, "boolean")
 
     def of(key: Column) -> Column:
         a, b = key_hashes(key)
