@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.schema import TIME
+from ..sources.io import stored
 
 _STEP = 16.0
 
@@ -99,3 +102,63 @@ def top_attention(df: DataFrame, segment: Sequence[str], weight: str, n: int) ->
     """The n rows of largest weight in each segment."""
     w = Window.partitionBy(*segment).orderBy(F.col(weight).desc())
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+
+
+@dataclass(frozen=True)
+class Gat:
+    """Weights of one relation's attention: a linear map, what scores (near, far), and a shift of the result."""
+
+    linear: Sequence[Sequence[float]]  # a row per output
+    shift: Sequence[float]
+    near: Sequence[float]
+    far: Sequence[float]
+    score_shift: float = 0.0
+    bias: Sequence[float] | None = None
+
+    def map(self, columns: Sequence[str]) -> list[Column]:
+        return [sum((F.lit(float(w)) * F.col(c) for w, c in zip(row, columns, strict=True)), F.lit(float(b))) for row, b in zip(self.linear, self.shift, strict=True)]
+
+
+def hop_edges(edges: DataFrame, relations: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Edges of ``paths.subgraph`` that were followed from their heads, as (hop, relation, near_type, near, far_type, far, month)."""
+    kind = lambda k: F.coalesce(*[F.when(F.col("relation") == n, F.lit(t[k])) for n, t in relations.items()])
+    return edges.select("hop", "relation", kind(0).alias("near_type"), F.col("Head").alias("near"), kind(1).alias("far_type"), F.col("Tail").alias("far"), TIME)
+
+
+def layered(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, features: Sequence[str], layers: Sequence[Mapping[str, tuple[str, Gat]]]) -> DataFrame:
+    """Embeddings of the seeds, from the last hop to the first: (node_type, node, month, features).
+
+    ``edges``: the rows of ``hop_edges``; ``nodes``: (node_type, node, month, features) of all
+    nodes; ``seeds``: (node_type, node, month); ``layers``: by hop, each relation's near
+    type and weights.  What a hop gives for a node is the mean of the node's own features and, for each
+    relation of its type, the attention over the embeddings that the hop after it gave to the
+    node's neighbours; a relation without neighbours counts as 0 plus its bias.
+
+    A hop is one join on either side of its edges and partial sums; its scored edges are stored,
+    so no hop is computed again for the one before it.
+    """
+    key = ["node_type", "node", TIME]
+    own = lambda level: level.join(nodes, key, "left").select(*key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    level = lambda h: seeds.select(*key).distinct() if h == 0 else edges.where(F.col("hop") == h - 1).select(F.col("far_type").alias("node_type"), F.col("far").alias("node"), TIME).distinct()
+    below = own(level(len(layers)))
+    for h in range(len(layers) - 1, -1, -1):
+        here = own(level(h))
+        near, far = [f"__near_{f}" for f in features], [f"__far_{f}" for f in features]
+        joined = edges.where(F.col("hop") == h).drop("hop")
+        joined = joined.join(here.withColumnsRenamed({"node_type": "near_type", "node": "near"} | dict(zip(features, near))), ["near_type", "near", TIME])
+        joined = joined.join(below.withColumnsRenamed({"node_type": "far_type", "node": "far"} | dict(zip(features, far))), ["far_type", "far", TIME])
+        parts = []
+        for relation, (_, gat) in layers[h].items():
+            a, b = gat.map(near), gat.map(far)
+            score = F.tanh(sum((F.lit(float(w)) * c for w, c in zip((*gat.near, *gat.far), (*a, *b), strict=True)), F.lit(float(gat.score_shift))))
+            parts.append(joined.where(F.col("relation") == relation).select("relation", F.col("near_type").alias("node_type"), F.col("near").alias("node"), TIME, score.alias("__s"), *[c.alias(f) for c, f in zip(b, features)]))
+        scored = parts[0]
+        for part in parts[1:]:
+            scored = scored.unionAll(part)
+        sums = attend(stored(scored), ["relation", *key], "__s", features).groupBy(*key).agg(*[F.sum(f).alias(f"__r_{f}") for f in features])
+        kinds = {t for t, _ in layers[h].values()}
+        mine = {t: [g for k, g in layers[h].values() if k == t] for t in kinds}
+        count = F.coalesce(*[F.when(F.col("node_type") == t, F.lit(1.0 + len(g))) for t, g in mine.items()], F.lit(1.0))
+        bias = lambda i: F.coalesce(*[F.when(F.col("node_type") == t, F.lit(float(sum((g.bias or [0.0] * len(features))[i] for g in gs)))) for t, gs in mine.items()], F.lit(0.0))
+        below = here.join(sums, key, "left").select(*key, *[((F.col(f) + F.coalesce(F.col(f"__r_{f}"), F.lit(0.0)) + bias(i)) / count).alias(f) for i, f in enumerate(features)])
+    return below

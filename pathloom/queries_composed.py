@@ -11,7 +11,7 @@ from .functions import attention, metrics
 from .operators import export, flows, labels, pairing, paths
 from .plans import dialects
 from .plans.schema import TIME, EdgeSpec, LabelSpec, NeighborLimit, NodeSpec, Relation, khop_spec, label_spec
-from .queries import _COVER, _MAIN, _META, _SAMPLES, _T, _TS, View, _counts, _meta, _round, query
+from .queries import _COVER, _MAIN, _META, _SAMPLES, _T, _TS, View, _counts, _means, _meta, _round, query
 
 
 def _views(v: View) -> None:
@@ -34,11 +34,11 @@ _PATH = {
 }
 
 
-@query(f"SELECT c AS Customer, t AS Feature_Time, round(avg(sold), 6) AS \"AVG_Node_Table_0_sold\", max(sold) AS \"MAX_Node_Table_0_sold\", count(*) AS COUNT_All FROM cos JOIN {_SOLD} USING (s, t) WHERE q > 10 GROUP BY ALL")
+@query(f"SELECT c AS Customer, t AS Feature_Time, round(avg(sold) + 1e-9, 6) AS \"AVG_Node_Table_0_sold\", max(sold) AS \"MAX_Node_Table_0_sold\", count(*) AS COUNT_All FROM cos JOIN {_SOLD} USING (s, t) WHERE q > 10 GROUP BY ALL")
 def json_path_aggregation(v: View) -> DataFrame:
     _views(v)
     out = flows.aggregate_path(v.spark, dialects.path_aggregation(_PATH), {"Supplier": [NodeSpec("loom_sold", "Supplier")]})
-    return _round(out["Supplier"], "AVG_Node_Table_0_sold", to=6)
+    return _means(out["Supplier"], "AVG_Node_Table_0_sold")
 
 
 def _relation(table: str, head: str, head_type: str, tail: str, tail_type: str, **more) -> dict:
@@ -112,12 +112,12 @@ _META_JSON = {
 }
 
 
-@query("""SELECT c AS Customer, round(avg(s_acctbal), 6) AS "AVG_Node_Table_0_s_acctbal", max(s_acctbal) AS "MAX_Node_Table_0_s_acctbal", round(avg(w1), 6) AS "AVG_Weight_1", max(w1) AS "MAX_Weight_1"
+@query("""SELECT c AS Customer, round(avg(s_acctbal) + 1e-9, 6) AS "AVG_Node_Table_0_s_acctbal", max(s_acctbal) AS "MAX_Node_Table_0_s_acctbal", round(avg(w1) + 1e-9, 6) AS "AVG_Weight_1", max(w1) AS "MAX_Weight_1"
 FROM m JOIN (SELECT o, s, sum(q) AS w1 FROM l WHERE q > 5 GROUP BY ALL) USING (o) JOIN supplier ON s = s_suppkey GROUP BY c""")
 def json_metapath_features(v: View) -> DataFrame:
     _views(v)
     out = flows.metapath_tables(v.spark, dialects.metapath_features(_META_JSON), {"Supplier": [NodeSpec(v.supplier, "s_suppkey", ("s_acctbal",))]})
-    return _round(out["Supplier"].join(out["Weight_1"], "Customer"), "AVG_Node_Table_0_s_acctbal", "AVG_Weight_1", to=6)
+    return _means(out["Supplier"].join(out["Weight_1"], "Customer"), "AVG_Node_Table_0_s_acctbal", "AVG_Weight_1")
 
 
 _SUB_JSON = {
@@ -304,10 +304,10 @@ def attention_semantic(v: View) -> DataFrame:
     return _round(attention.semantic(own, ["Customer"], "l_returnflag", ["price"], F.col("price") / 1e5), "price")
 
 
-@query("SELECT c AS Customer, t AS Feature_Time, round(avg(s_acctbal), 6) AS \"AVG_Node_Table_0_s_acctbal\", max(s_acctbal) AS \"MAX_Node_Table_0_s_acctbal\", min(s_acctbal) AS \"MIN_Node_Table_0_s_acctbal\" FROM scos JOIN supplier ON s = s_suppkey GROUP BY ALL")
+@query("SELECT c AS Customer, t AS Feature_Time, round(avg(s_acctbal) + 1e-9, 6) AS \"AVG_Node_Table_0_s_acctbal\", max(s_acctbal) AS \"MAX_Node_Table_0_s_acctbal\", min(s_acctbal) AS \"MIN_Node_Table_0_s_acctbal\" FROM scos JOIN supplier ON s = s_suppkey GROUP BY ALL")
 def path_features_of_targets(v: View) -> DataFrame:
     from .operators.aggregate import path_features
 
     edges: list[EdgeSpec] = [v.e_co, v.e_os]
     own = path_features(v.spark, edges, {"Supplier": [NodeSpec(v.supplier, "s_suppkey", ("s_acctbal",), time=None)]}, target=v.seeds.withColumnRenamed("Node_0", "Customer"))
-    return _round(own["Supplier"], "AVG_Node_Table_0_s_acctbal", to=6)
+    return _means(own["Supplier"], "AVG_Node_Table_0_s_acctbal")
