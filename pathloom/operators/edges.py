@@ -32,6 +32,19 @@ def collapse(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     return df.groupBy(*ids).agg(*[F.sum(f).alias(f) for f in features])
 
 
+def frontier_months(seeds: DataFrame, tables: Iterable, times: Iterable[str] | None) -> list[str] | None:
+    """The months to read: those given, or, where edges lie in storage, those of the seeds (a row per month).
+
+    Hops never cross months, so a path's edges are all of its seed's month: with the
+    months as literals a scan opens only their partitions.
+    """
+    if times is not None:
+        return list(times)
+    if TIME not in seeds.columns or all(isinstance(t, DataFrame) for t in tables):
+        return None
+    return sorted(r[0] for r in seeds.select(TIME).distinct().collect())
+
+
 def read_edges(spark: SparkSession, spec: EdgeSpec, times: Iterable[str] | None = None, frontier: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(edges, feature names): columns are the ids, the month and the features.
 

@@ -13,7 +13,7 @@ from ..functions import scaling, vectors
 from ..plans.dialects import FeatureStore, MetaFeatures, Pairs, PathAggregation, Subgraph, Target
 from ..plans.schema import TIME, NodeSpec, PathSchema, Relation
 from ..sources.io import Checkpoint, scan, stored
-from . import pairing, paths
+from . import counting, pairing, paths
 from .aggregate import aggregate, chunks, node_aggregate, publish
 from .export import dense_index, subgraph_index
 from .limits import row_range
@@ -24,7 +24,7 @@ Found = dict[str, tuple[PathSchema, DataFrame]]
 
 def aggregate_path(spark: SparkSession, spec: PathAggregation, tables: Mapping[str, Sequence[NodeSpec]], times=None, target: DataFrame | None = None) -> dict[str, DataFrame]:
     """Features of each named node of a fixed path, aggregated to its start; ``tables`` by node name."""
-    path = paths.sample_path(spark, spec.edges, times, target)
+    path = stored(paths.sample_path(spark, spec.edges, times, target))  # each node's features read it
     return {n: node_aggregate(spark, path, spec.edges[0].head_name, n, tables[n], fns, times) for n, fns in spec.nodes.items()}
 
 
@@ -38,16 +38,21 @@ def mine_pairs(
     spark: SparkSession, target: Target, pairs: Pairs, relations: Sequence[Relation], hops: int, max_main: int = 5, min_valid: int = 10, min_main: int = 50,
     min_rate: float = 1e-4, cache: Checkpoint | None = None,
 ) -> tuple[Found, DataFrame, list[str], list[str], DataFrame]:
-    """(paths by schema, summary, main schemas, auxiliary schemas, labelled samples): which typed paths explain the pairs."""
+    """(paths of the chosen schemas, summary, main schemas, auxiliary schemas, labelled samples): which typed paths explain the pairs.
+
+    The summary comes from counts; paths are made for the chosen schemas only.
+    """
     if pairs.start_type != target.node_type:
         raise ValueError(f"pairs start at {pairs.start_type}, paths at {target.node_type}")
     nodes = scan(spark, target.nodes, time=TIME, times=target.times).select(F.col(target.column).alias("Node_0"), TIME)
-    found = paths.enumerate_khop(spark, nodes, target.node_type, relations, hops, target.end_type or pairs.end_type, target.times, cache=cache)
     known = known_pairs(spark, pairs)
-    summary = stored(pairing.cover_summary(found, known))
+    end_type = target.end_type or pairs.end_type
+    summary = stored(counting.cover_counts(spark, nodes, target.node_type, relations, hops, known, end_type, target.times))
     main, aux = pairing.choose_main(summary, max_main, min_valid, min_main, min_rate)
     if not main:
         raise ValueError("no path schema explains enough pairs")
+    chosen = [s for s in paths.schemas_of(target.node_type, relations, hops, end_type) if s.name in (*main, *aux)]
+    found = paths.follow_all(spark, nodes, chosen, target.times, dead_ends=True, cache=cache)
     return found, summary, main, aux, pairing.sample_pairs(found, main, known)
 
 
@@ -83,7 +88,7 @@ def link_data(
     rest = labels.where(reduce(lambda a, b: a | b, [inside(r) for r in others.values()]))
     known = known_pairs(spark, Pairs(rest, start, end, start_type, end_type))
     seeds = rest.select(F.col(start).alias("Node_0"), TIME)
-    replayed = {n: (found[n][0], stored(paths.follow(spark, seeds, found[n][0]))) for n in (*main, *aux)}
+    replayed = {n: (s, stored(df)) for n, (s, df) in paths.follow_all(spark, seeds, [found[n][0] for n in (*main, *aux)]).items()}
     connected = stored(pairing.label_connected([replayed[n] for n in main], known).withColumn("Label", F.col("Label").cast("int")))
     starts = rest.select(F.col(start).alias("start"), TIME, "Source_Time").distinct()
     timed = pairing.split_by_time(connected, starts, others)

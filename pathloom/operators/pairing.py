@@ -52,9 +52,13 @@ def cover_summary(paths: Mapping[str, tuple[PathSchema, DataFrame]] | Iterable[t
         F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("path_cover_count"),
         F.count_if(hit).alias("pair_cover_count"),
     )
+    return cover_rates(agg, known)
+
+
+def cover_rates(sums: DataFrame, known: DataFrame) -> DataFrame:
+    """(schema, path_count, path_cover_count, pair_cover_count) with the numbers of ``known`` pairs, what is not covered, and rates."""
     total = known.agg(F.count("*").alias("pair_count"))  # one row
-    out = agg.join(F.broadcast(total))
-    return out.select(
+    return sums.join(F.broadcast(total)).select(
         "schema", "path_count", "path_cover_count", (F.col("path_count") - F.col("path_cover_count")).alias("path_uncover_count"), "pair_count", "pair_cover_count",
         (F.col("pair_count") - F.col("pair_cover_count")).alias("pair_uncover_count"),
         F.try_divide("path_cover_count", "path_count").alias("path_cover_rate"), F.try_divide("pair_cover_count", "pair_count").alias("pair_cover_rate"),

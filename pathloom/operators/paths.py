@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.schema import TIME, EdgeSpec, MetaPath, PathSchema, Relation
 from ..sources.io import Checkpoint, scan, stored
-from .edges import collapse, present, read_edges
+from .edges import collapse, frontier_months, present, read_edges
 from .limits import apply_limit, random_n, top_n
 
 
@@ -27,6 +27,8 @@ def sample_path(spark: SparkSession, edges: Sequence[EdgeSpec], times: Iterable[
     ``target``: (first node, month) rows to start from.  Hops never cross months.
     """
     path: DataFrame | None = None
+    if target is not None:
+        times = frontier_months(target, [e.table for e in edges], times)
     for k, spec in enumerate(edges):
         front = None
         if path is not None:
@@ -71,6 +73,27 @@ def reaches(relations: Sequence[Relation], end_type: str, hops: int) -> list[set
     return out
 
 
+def steps(schema: PathSchema, relations: Sequence[Relation], hops: int, reach: list[set[str]] | None = None) -> list[EdgeSpec]:
+    """The edges by which a schema goes on, in both directions of each relation, if its end can still be reached."""
+    hop, out = len(schema.edges), []
+    for r in relations:
+        for start, own in (("Head", r.head_type), ("Tail", r.tail_type)):
+            edge = r.oriented(start, hop)
+            if own == schema.end_type and r.enabled(start) and not (reach and edge.tail_types[0] not in reach[hops - hop - 1]):
+                out.append(edge)
+    return out
+
+
+def schemas_of(seed_type: str, relations: Sequence[Relation], hops: int, end_type: str | None = None) -> list[PathSchema]:
+    """The schemas that ``enumerate_khop`` finds paths of."""
+    reach = reaches(relations, end_type, hops) if end_type else None
+    level, out = [PathSchema(seed_type)], []
+    for _ in range(hops):
+        level = [s.extend(e) for s in level for e in steps(s, relations, hops, reach)]
+        out += [s for s in level if end_type is None or s.end_type == end_type]
+    return out
+
+
 def enumerate_khop(
     spark: SparkSession, seeds: DataFrame, seed_type: str, relations: Sequence[Relation], hops: int, end_type: str | None = None, times=None,
     simple: bool = True, dead_ends: bool = True, cache: Checkpoint | None = None,
@@ -80,34 +103,61 @@ def enumerate_khop(
     With ``end_type`` schemas that can't end there in the hops left are not built.
     """
     reach = reaches(relations, end_type, hops) if end_type else None
+    times = frontier_months(seeds, [r.table for r in relations], times)
     level = [(PathSchema(seed_type), seeds.select("Node_0", TIME).distinct())]
     found: dict[str, tuple[PathSchema, DataFrame]] = {}
     for hop in range(hops):
         grown = []
         for schema, path in level:
-            for r in relations:
-                for start, own in (("Head", r.head_type), ("Tail", r.tail_type)):
-                    edge = r.oriented(start, hop)
-                    if own != schema.end_type or not r.enabled(start) or (reach and edge.tail_types[0] not in reach[hops - hop - 1]):
-                        continue
-                    df, s = extend(spark, path, schema, edge, times, simple, dead_ends)
-                    if cache is not None:
-                        df = cache.get(s.name.replace("/", "__").replace(">", "-").replace(":", "-"), lambda df=df: df, {"schema": s.name, "times": list(times) if times else None})
-                    elif 0 < hop < hops - 1:
-                        df = stored(df)
-                    grown.append((s, df))
-                    if end_type is None or s.end_type == end_type:
-                        found[s.name] = (s, df)
+            for edge in steps(schema, relations, hops, reach):
+                make = lambda months=times, path=path, schema=schema, edge=edge: extend(spark, path, schema, edge, months, simple, dead_ends)[0]
+                s = schema.extend(edge)
+                if cache is not None:
+                    df = cache.get(s.name.replace("/", "__").replace(">", "-").replace(":", "-"), make, {"schema": s.name, "times": times})
+                else:
+                    df = stored(make()) if 0 < hop < hops - 1 else make()
+                grown.append((s, df))
+                if end_type is None or s.end_type == end_type:
+                    found[s.name] = (s, df)
         level = grown
     return found
 
 
+def follow_all(
+    spark: SparkSession, seeds: DataFrame, schemas: Iterable[PathSchema], times=None, simple: bool = True, dead_ends: bool = False, cache: Checkpoint | None = None
+) -> dict[str, tuple[PathSchema, DataFrame]]:
+    """Known schemas' paths from other seeds, by name: the same rules and names as in the enumeration.
+
+    Schemas are followed as a prefix tree: a prefix that several share, or that is
+    extended further, is made and stored once, so each edge of the tree reads its table once.
+    """
+    schemas = {s.name: s for s in schemas}
+    first = next(iter(schemas.values()), None)
+    if first is None:
+        return {}
+    if len({s.start_type for s in schemas.values()}) > 1:
+        raise ValueError("schemas start at different types")
+    times = frontier_months(seeds, [e.table for s in schemas.values() for e in s.edges], times)
+    inner = {PathSchema(s.start_type, s.edges[:k]).name for s in schemas.values() for k in range(1, len(s.edges))}
+    made = {first.start_type: seeds.select("Node_0", TIME).distinct()}
+    if len({s.edges[0].name for s in schemas.values() if s.edges}) > 1:
+        made[first.start_type] = stored(made[first.start_type])
+    for s in schemas.values():
+        grown = PathSchema(s.start_type)
+        for edge in s.edges:
+            before, grown = grown, grown.extend(edge)
+            if grown.name not in made:
+                make = lambda months=times, before=before, edge=edge: extend(spark, made[before.name], before, edge, months, simple, dead_ends)[0]
+                if cache is not None:
+                    made[grown.name] = cache.get(grown.name.replace("/", "__").replace(">", "-").replace(":", "-"), make, {"schema": grown.name, "times": times})
+                else:
+                    made[grown.name] = stored(make()) if grown.name in inner else make()
+    return {n: (s, made[n]) for n, s in schemas.items()}
+
+
 def follow(spark: SparkSession, seeds: DataFrame, schema: PathSchema, times=None, simple: bool = True, dead_ends: bool = False) -> DataFrame:
-    """A known schema's paths from other seeds: the same rules and names as in the enumeration."""
-    path, grown = seeds.select("Node_0", TIME).distinct(), PathSchema(schema.start_type)
-    for edge in schema.edges:
-        path, grown = extend(spark, path, grown, edge, times, simple, dead_ends)
-    return path
+    """One known schema's paths from other seeds."""
+    return follow_all(spark, seeds, [schema], times, simple, dead_ends)[schema.name][1]
 
 
 def recall(path: DataFrame, start: str) -> DataFrame:
@@ -149,11 +199,16 @@ def metapath(spark: SparkSession, spec: MetaPath, at: str | None = None, target:
         path = df if path is None else path.join(df, e.head_name)
         if hop.join_limit:
             path = path.where(F.expr(hop.join_limit))
+        if 0 < k < len(spec.hops) - 1:
+            path = stored(path)
     if spec.tail_column:
         nodes = [c for h in spec.hops for c in (h.edge.head_name, *h.edge.tail_names)]
         keep = list(dict.fromkeys(nodes))
         path = path.select(*keep[: keep.index(spec.tail_column) + 1], *[c for c in path.columns if c.startswith("Weight_")])
-    return random_n(path, [first], spec.max_all, seed) if spec.max_all > 0 else path
+    if spec.max_all <= 0:
+        return path
+    # A path is known by its nodes, unless some of them were cut off.
+    return random_n(path, [first], spec.max_all, seed, None if spec.tail_column else [c for c in path.columns if not c.startswith("Weight_")])
 
 
 def metapath_columns(path: DataFrame, spec: MetaPath, kind: str) -> DataFrame:
@@ -176,6 +231,7 @@ def subgraph(spark: SparkSession, seeds: DataFrame, seed_type: str, relations: S
     Frontiers are kept by node type; a node is a seed of the next hop however it was reached.
     """
     fronts = {seed_type: seeds.select(F.col(seeds.columns[0]).alias("node"), TIME).distinct()}
+    times = frontier_months(seeds, [r.table for r in relations], times)
     out = []
     for hop in range(hops):
         reached: dict[str, list[DataFrame]] = {}
@@ -194,10 +250,13 @@ def subgraph(spark: SparkSession, seeds: DataFrame, seed_type: str, relations: S
                     df = top_n(df, ["node", TIME], cap, ["Weight"], seed, ["node", "other", TIME])
                 elif cap > 0:
                     df = random_n(df, ["node", TIME], cap, seed, ["node", "other", TIME])
+                if hop < hops - 1:
+                    df = stored(df)  # what it reaches is the next frontier
                 a, b = ("node", "other") if start == "Head" else ("other", "node")
                 out.append(df.select(F.lit(hop).alias("hop"), F.lit(r.name).alias("relation"), F.col(a).cast("string").alias("Head"), F.col(b).cast("string").alias("Tail"), TIME, "Weight"))
                 reached.setdefault(edge.tail_types[0], []).append(df.select(F.col("other").alias("node"), TIME))
-        fronts = {t: reduce(lambda a, b: a.unionByName(b), parts).distinct() for t, parts in reached.items()}
+        if hop < hops - 1:
+            fronts = {t: stored(reduce(lambda a, b: a.unionByName(b), parts).distinct()) for t, parts in reached.items()}
     return reduce(lambda a, b: a.unionByName(b), out).distinct()
 
 

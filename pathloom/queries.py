@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import attention, metrics, scaling, vectors
 from .functions.dates import months_back
-from .operators import export, labels, limits, nodes, pairing, paths
+from .operators import counting, export, labels, limits, nodes, pairing, paths
 from .operators.aggregate import aggregate, edge_aggregate, node_aggregate, weight_stats
 from .operators.edges import read_edges
 from .operators.scorer import score_pairs, train_scorer
@@ -71,6 +71,9 @@ class View:
     def khop(self):
         return paths.enumerate_khop(self.spark, self.seeds, "Customer", [self.r_co, self.r_os, self.r_cn, self.r_sn], 2, "Supplier")
 
+    def covers(self):
+        return counting.cover_counts(self.spark, self.seeds, "Customer", [self.r_co, self.r_os, self.r_cn, self.r_sn], 2, self.pairs, "Supplier")
+
 
 def query(sql: str | None, base: bool = True):
     def add(f):
@@ -294,7 +297,7 @@ g AS (SELECT schema, sum(n)::BIGINT AS pc, coalesce(sum(n) FILTER (hit), 0)::BIG
 @query(f"""{_COVER} SELECT schema, pc AS path_count, pcc AS path_cover_count, pc - pcc AS path_uncover_count, q AS pair_count, qc AS pair_cover_count, q - qc AS pair_uncover_count,
 round(pcc / pc, 6) AS path_cover_rate, round(qc / q, 6) AS pair_cover_rate FROM g""")
 def cover_summary(v: View) -> DataFrame:
-    return _round(pairing.cover_summary(v.khop(), v.pairs), "path_cover_rate", "pair_cover_rate", to=6)
+    return _round(v.covers(), "path_cover_rate", "pair_cover_rate", to=6)
 
 
 @query("SELECT pr.c IS NOT NULL AS cover_mark, count(*) AS n_paths FROM lcos LEFT JOIN pr USING (c, s, t) GROUP BY ALL")
@@ -316,7 +319,7 @@ def cover_kinds(v: View) -> DataFrame:
 
 @query(f"{_COVER} SELECT schema, CASE WHEN row_number() OVER (ORDER BY pcc / pc DESC, schema) = 1 THEN 'main' ELSE 'aux' END AS role FROM g WHERE pcc > 10")
 def main_aux_selection(v: View) -> DataFrame:
-    main, aux = pairing.choose_main(pairing.cover_summary(v.khop(), v.pairs), max_main=1)
+    main, aux = pairing.choose_main(v.covers(), max_main=1)
     return v.spark.createDataFrame([(n, "main") for n in main] + [(n, "aux") for n in aux], "schema string, role string")
 
 
