@@ -64,27 +64,29 @@ def path_features(
     return {n: node_aggregate(spark, path, edges[0].head_name, n, specs, functions, times) for n, specs in nodes.items()}
 
 
-def publish(df: DataFrame, keys: Sequence[str], features: Sequence[str], table: str, at: str, functions: Sequence[str] = EDGE_FUNCTIONS, summary: str | None = None, most: int = 300) -> list[str]:
+def publish(df: DataFrame, keys: Sequence[str], features: Sequence[str], table: str, at: str, functions: Sequence[str] = EDGE_FUNCTIONS, summary: str | None = None, most: int = 300, root: str | None = None) -> list[str]:
     """Aggregate to one partition of an ORC table (several, ``_{first}_{last}``, beyond ``most`` columns) and its profile.
 
-    Returns the names of the tables written; only the first has the row count.
+    Returns the names of the tables written; only the first has the row count.  ``root``: the
+    folder below which new tables lie, as external ones.
     """
     from ..sources.io import create_orc_table, insert_partition
     from .nodes import profile
 
     spark, written = df.sparkSession, []
+    where = lambda name: f"{root}/{name}" if root else None
     parts = chunks(features, functions, most)
     for i, own in enumerate(parts):
         fns = functions if i == 0 else [f for f in functions if f != "COUNT"]
         out = aggregate(df, keys, own, fns)
         first = sum(len(p) for p in parts[:i])
         name = table if len(parts) == 1 else f"{table}_{first}_{first + len(own) - 1}"
-        create_orc_table(spark, name, dict(out.dtypes))
+        create_orc_table(spark, name, dict(out.dtypes), at=where(name))
         insert_partition(out, name, at)
         written.append(name)
         if summary:
             made = profile(spark.table(name).where(F.col("dt") == at), [c for c in out.columns if c not in keys])
-            create_orc_table(spark, f"{summary}_{i}", dict(made.dtypes))
+            create_orc_table(spark, f"{summary}_{i}", dict(made.dtypes), at=where(f"{summary}_{i}"))
             insert_partition(made, f"{summary}_{i}", at)
             written.append(f"{summary}_{i}")
     return written

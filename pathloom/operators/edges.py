@@ -7,14 +7,15 @@ below an aggregate by itself, so it is written here.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import numeric_columns, sanitize
-from ..plans.schema import TIME, EdgeSpec
-from ..sources.io import scan
+from ..plans.schema import TIME, EdgeSpec, Relation
+from ..sources.io import scan, write_bucketed
 from .limits import apply_limit
 
 
@@ -81,3 +82,19 @@ def node_limited(spark: SparkSession, df: DataFrame, limit, times: Iterable[str]
     nodes, _ = combine_nodes(spark, limit.tables, limit.node, times, prefix=False, target=df.select(*keys).distinct())
     good = nodes.where(F.expr(limit.predicate)).select(*keys)
     return df.join(good, keys, "left_semi").select(*df.columns)
+
+
+def store_relation(spark: SparkSession, relation: Relation, name: str, buckets: int, at: str | None = None, times: Iterable[str] | None = None) -> Relation:
+    """The relation over two stored tables, ``{name}_head`` and ``{name}_tail``: its edges, cleaned and summed, bucketed by (head, month) and by (tail, month).
+
+    A hop joins on (node, month) and sums by more columns than these, so it reads either table
+    without an exchange of edges; only the paths move.  Filters on edges and neighbour limits stay with the hops.
+    """
+    plain = EdgeSpec(relation.table, relation.head, (relation.tail,), source=relation.source, time=relation.time, features=relation.features, scan_limit=relation.scan_limit)
+    edges, features = read_edges(spark, plain, times)
+    timed = relation.time is not None
+    if timed:
+        edges = edges.withColumn(TIME, F.col(TIME).cast("string"))  # folder names may have been read as dates
+    for side, key in (("head", relation.head), ("tail", relation.tail)):
+        write_bucketed(edges.withColumnRenamed(TIME, "dt"), f"{name}_{side}", [key, *(["dt"] if timed else [])], buckets, f"{at}/{side}" if at else None)
+    return replace(relation, table=f"{name}_head", tail_table=f"{name}_tail", source="table", time="dt" if timed else None, features=tuple(features), scan_limit=None)

@@ -119,7 +119,7 @@ def metapath_tables(spark: SparkSession, spec: MetaFeatures, tables: Mapping[str
     return out
 
 
-def publish_metapath(spark: SparkSession, spec: MetaFeatures, tables: Mapping[str, Sequence[NodeSpec]], name: str, at: str) -> list[str]:
+def publish_metapath(spark: SparkSession, spec: MetaFeatures, tables: Mapping[str, Sequence[NodeSpec]], name: str, at: str, root: str | None = None) -> list[str]:
     """Write ``metapath_tables`` as partitions of ORC tables, one set of tables per column; returns their names."""
     written = []
     for c, df in metapath_tables(spark, spec, tables).items():
@@ -129,7 +129,7 @@ def publish_metapath(spark: SparkSession, spec: MetaFeatures, tables: Mapping[st
             part = f"{name}_{c}" if len(features) <= most else f"{name}_{c}_{i}"
             # A row per start already: its value is its own maximum.
             rows = df.select(*keys, *own)
-            written += publish(rows, keys, own, part.lower(), at, ("MAX",), f"{part}_summary".lower() if spec.summary else None, max(1, len(own)))
+            written += publish(rows, keys, own, part.lower(), at, ("MAX",), f"{part}_summary".lower() if spec.summary else None, max(1, len(own)), root)
     return written
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import TIME, EdgeSpec, MetaPath, PathSchema, Relation
-from ..sources.io import Checkpoint, scan, stored
+from ..sources.io import Checkpoint, MonthlyCheckpoint, scan, stored
 from .edges import collapse, frontier_months, present, read_edges
 from .limits import apply_limit, random_n, top_n
 
@@ -73,6 +73,18 @@ def reaches(relations: Sequence[Relation], end_type: str, hops: int) -> list[set
     return out
 
 
+def _of_months(path: DataFrame, months: Sequence[str] | None, times: Sequence[str] | None) -> DataFrame:
+    """The paths of fewer months than the ones at hand."""
+    return path if months is None or months == times else path.where(F.col(TIME).isin(list(months)))
+
+
+def _months(seeds: DataFrame, tables, times, cache: Checkpoint | None) -> list[str] | None:
+    times = frontier_months(seeds, tables, times)
+    if times is None and isinstance(cache, MonthlyCheckpoint):
+        times = sorted(r[0] for r in seeds.select(TIME).distinct().collect())  # a row per month
+    return times
+
+
 def steps(schema: PathSchema, relations: Sequence[Relation], hops: int, reach: list[set[str]] | None = None) -> list[EdgeSpec]:
     """The edges by which a schema goes on, in both directions of each relation, if its end can still be reached."""
     hop, out = len(schema.edges), []
@@ -100,17 +112,18 @@ def enumerate_khop(
 ) -> dict[str, tuple[PathSchema, DataFrame]]:
     """Every typed path from (Node_0, month) seeds of up to ``hops`` hops, in both edge directions, by schema name.
 
-    With ``end_type`` schemas that can't end there in the hops left are not built.
+    With ``end_type`` schemas that can't end there in the hops left are not built.  ``cache``: what
+    a later run takes up; a ``MonthlyCheckpoint`` makes only the months that are new.
     """
     reach = reaches(relations, end_type, hops) if end_type else None
-    times = frontier_months(seeds, [r.table for r in relations], times)
+    times = _months(seeds, [r.table for r in relations], times, cache)
     level = [(PathSchema(seed_type), seeds.select("Node_0", TIME).distinct())]
     found: dict[str, tuple[PathSchema, DataFrame]] = {}
     for hop in range(hops):
         grown = []
         for schema, path in level:
             for edge in steps(schema, relations, hops, reach):
-                make = lambda months=times, path=path, schema=schema, edge=edge: extend(spark, path, schema, edge, months, simple, dead_ends)[0]
+                make = lambda months=times, path=path, schema=schema, edge=edge: extend(spark, _of_months(path, months, times), schema, edge, months, simple, dead_ends)[0]
                 s = schema.extend(edge)
                 if cache is not None:
                     df = cache.get(s.name.replace("/", "__").replace(">", "-").replace(":", "-"), make, {"schema": s.name, "times": times})
@@ -137,7 +150,7 @@ def follow_all(
         return {}
     if len({s.start_type for s in schemas.values()}) > 1:
         raise ValueError("schemas start at different types")
-    times = frontier_months(seeds, [e.table for s in schemas.values() for e in s.edges], times)
+    times = _months(seeds, [e.table for s in schemas.values() for e in s.edges], times, cache)
     inner = {PathSchema(s.start_type, s.edges[:k]).name for s in schemas.values() for k in range(1, len(s.edges))}
     made = {first.start_type: seeds.select("Node_0", TIME).distinct()}
     if len({s.edges[0].name for s in schemas.values() if s.edges}) > 1:
@@ -147,7 +160,7 @@ def follow_all(
         for edge in s.edges:
             before, grown = grown, grown.extend(edge)
             if grown.name not in made:
-                make = lambda months=times, before=before, edge=edge: extend(spark, made[before.name], before, edge, months, simple, dead_ends)[0]
+                make = lambda months=times, before=before, edge=edge: extend(spark, _of_months(made[before.name], months, times), before, edge, months, simple, dead_ends)[0]
                 if cache is not None:
                     made[grown.name] = cache.get(grown.name.replace("/", "__").replace(">", "-").replace(":", "-"), make, {"schema": grown.name, "times": times})
                 else:
@@ -208,7 +221,8 @@ def metapath(spark: SparkSession, spec: MetaPath, at: str | None = None, target:
     if spec.max_all <= 0:
         return path
     # A path is known by its nodes, unless some of them were cut off.
-    return random_n(path, [first], spec.max_all, seed, None if spec.tail_column else [c for c in path.columns if not c.startswith("Weight_")])
+    nodes = list(dict.fromkeys(c for h in spec.hops for c in (h.edge.head_name, *h.edge.tail_names)))
+    return random_n(path, [first], spec.max_all, seed, None if spec.tail_column else nodes)
 
 
 def metapath_columns(path: DataFrame, spec: MetaPath, kind: str) -> DataFrame:

@@ -102,14 +102,16 @@ class Relation:
     features: tuple[str, ...] | None = None
     limits: dict[str, dict[str, Any]] = field(default_factory=dict)  # by "Head" / "Tail", the end it starts from
     scan_limit: str | None = None
+    tail_table: Any = None  # the same edges laid out for hops that start from the tail
 
     def oriented(self, start: str, hop: int) -> EdgeSpec:
         """The relation as the edge of a hop that starts from its ``Head`` or its ``Tail``."""
         own = self.limits.get(start, {})
         ends = [(self.head, self.head_type), (self.tail, self.tail_type)]
         (a, at), (b, bt) = ends if start == "Head" else ends[::-1]
+        table = self.tail_table if start == "Tail" and self.tail_table is not None else self.table
         return EdgeSpec(
-            self.table, a, (b,), f"Node_{hop}", (f"Node_{hop + 1}",), at, (bt,), self.source, self.time, self.features,
+            table, a, (b,), f"Node_{hop}", (f"Node_{hop + 1}",), at, (bt,), self.source, self.time, self.features,
             own.get("edge_limit"), own.get("node_limits", ()), own.get("neighbor_limit"), name=f"{self.name}:{start}", scan_limit=self.scan_limit,
         )
 

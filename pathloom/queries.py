@@ -267,11 +267,6 @@ def khop_simple_path(v: View) -> DataFrame:
     return _counts(paths.enumerate_khop(v.spark, v.seeds, "Customer", [v.r_cn], 2, "Customer"))
 
 
-@query("SELECT unnest(['Customer/cn:Head>Nation/sn:Tail>Supplier', 'Customer/co:Head>Order/os:Head>Supplier']) AS schema", base=False)
-def khop_last_hop_prune(v: View) -> DataFrame:
-    return v.spark.createDataFrame([(n,) for n in v.khop()], "schema string")
-
-
 @query("SELECT 'Supplier/os:Tail>Order/co:Tail>Customer' AS schema, count(*) AS n_paths, 0::BIGINT AS n_ended FROM cos SEMI JOIN pr USING (s, t)")
 def khop_reverse_direction(v: View) -> DataFrame:
     seeds = v.pairs.select(F.col("end").alias("Node_0"), TIME)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import attention, names
 from .functions.dates import month_list
-from .operators import paths
-from .plans.schema import TIME
+from .operators import flows, paths
+from .operators.edges import store_relation
+from .operators.export import union_all
+from .plans.dialects import MetaFeatures
+from .plans.schema import TIME, EdgeSpec, Hop, MetaPath
 from .queries import View, _counts, _meta, _round, query
 from .sources import io
 
@@ -34,14 +38,67 @@ def orc_written_and_read(v: View) -> DataFrame:
     return io.scan(v.spark, at, "orc", "c_nationkey", [1, 2, 3])
 
 
-@query("""SELECT 'Customer/co:Head>Order/os:Head>Supplier' AS schema, count(*) AS n_paths, count(*) FILTER (s IS NULL) AS n_ended FROM lcos
-UNION ALL SELECT 'Customer/cn:Head>Nation/sn:Tail>Supplier', count(*), count(*) FILTER (s IS NULL) FROM lcns""")
+@query("""SELECT 'Customer/co:Head>Order/os:Head>Supplier' AS schema, count(*) AS n_paths, count(*) FILTER (s IS NULL) AS n_ended, count(*) AS n_same FROM lcos
+UNION ALL SELECT 'Customer/cn:Head>Nation/sn:Tail>Supplier', count(*), count(*) FILTER (s IS NULL), count(*) FROM lcns""")
 def khop_resumed(v: View) -> DataFrame:
-    """A second enumeration takes up what the first one stored."""
+    """A second enumeration takes up what the first one stored: it is asked over empty tables and has all rows."""
     cache = io.Checkpoint(v.spark, io.shared_folder(v.spark))
-    for _ in range(2):
-        found = paths.enumerate_khop(v.spark, v.seeds, "Customer", [v.r_co, v.r_os, v.r_cn, v.r_sn], 2, "Supplier", cache=cache)
-    return _counts(found)
+    relations = [v.r_co, v.r_os, v.r_cn, v.r_sn]
+    first = paths.enumerate_khop(v.spark, v.seeds, "Customer", relations, 2, "Supplier", cache=cache)
+    none = [replace(r, table=r.table.where("false")) for r in relations]
+    second = paths.enumerate_khop(v.spark, v.seeds.where("false"), "Customer", none, 2, "Supplier", cache=cache)
+    same = [a.intersectAll(second[n][1]).agg(F.count("*").alias("n_same")).select(F.lit(n).alias("schema"), "n_same") for n, (_, a) in first.items()]
+    return _counts(second).join(union_all(same), "schema")
+
+
+@query("""SELECT 'Customer/co:Head>Order/os:Head>Supplier' AS schema, count(*) AS n_paths, count(*) FILTER (s IS NULL) AS n_ended, (SELECT max(t) FROM seeds) AS made FROM lcos
+UNION ALL SELECT 'Customer/cn:Head>Nation/sn:Tail>Supplier', count(*), count(*) FILTER (s IS NULL), (SELECT max(t) FROM seeds) FROM lcns""")
+def khop_new_month(v: View) -> DataFrame:
+    """Paths of all months but the last are stored; then of all months: only the last one is made."""
+    months = sorted(r[0] for r in v.seeds.select(TIME).distinct().collect())
+    cache = io.MonthlyCheckpoint(v.spark, io.shared_folder(v.spark))
+    relations = [v.r_co, v.r_os, v.r_cn, v.r_sn]
+    paths.enumerate_khop(v.spark, v.seeds, "Customer", relations, 2, "Supplier", times=months[:-1], cache=cache)
+    found = paths.enumerate_khop(v.spark, v.seeds, "Customer", relations, 2, "Supplier", times=months, cache=cache)
+    made = sorted({t for own in cache.made.values() for t in own})
+    return _counts(found).withColumn("made", F.lit(",".join(made)))
+
+
+@query("""SELECT 'Customer/co:Head>Order/os:Head>Supplier' AS schema, count(*) AS n_paths, count(*) FILTER (s IS NULL) AS n_ended FROM lcos WHERE t = (SELECT max(t) FROM seeds)
+UNION ALL SELECT 'Customer/cn:Head>Nation/sn:Tail>Supplier', count(*), count(*) FILTER (s IS NULL) FROM lcns WHERE t = (SELECT max(t) FROM seeds)""")
+def khop_partitioned_edges(v: View) -> DataFrame:
+    """Edges stored by month; seeds of one month: the scans open that month's folders alone."""
+    root = io.shared_folder(v.spark)
+
+    def by_month(r):
+        io.write_parquet(r.table, f"{root}/{r.name}", "dt")
+        return replace(r, table=f"{root}/{r.name}", source="parquet")
+
+    relations = [by_month(r) for r in (v.r_co, v.r_os, v.r_cn, v.r_sn)]
+    last = v.seeds.agg(F.max(TIME).alias(TIME))  # one row
+    return _counts(paths.enumerate_khop(v.spark, v.seeds.join(F.broadcast(last), TIME, "left_semi"), "Customer", relations, 2, "Supplier"))
+
+
+@query("SELECT c AS Customer, n AS Nation, t AS Feature_Time, count(*) AS n_paths, sum(q) AS quantity FROM scos JOIN sn USING (s, t) GROUP BY ALL")
+def path_bucketed_edges(v: View) -> DataFrame:
+    """Three hops over edges stored in buckets of both their ends."""
+    root, tag = io.shared_folder(v.spark), uuid.uuid4().hex
+    relations = [store_relation(v.spark, r, f"loom_{r.name}_{tag}", 8, f"{root}/{r.name}") for r in (v.r_co, v.r_os, v.r_sn)]
+    hops = [r.oriented(start, k) for k, (r, start) in enumerate(zip(relations, ("Head", "Head", "Head")))]
+    path = paths.sample_path(v.spark, hops, target=v.seeds)
+    return path.groupBy(F.col("Node_0").alias("Customer"), F.col("Node_3").alias("Nation"), TIME).agg(F.count("*").alias("n_paths"), F.sum("Hop_1_Edge_Table_quantity").alias("quantity"))
+
+
+@query("SELECT c AS Customer, max(price) AS max_price, max(w) AS max_quantity, '2020-01-01' AS dt FROM m JOIN (SELECT o, s, sum(q) AS w FROM l GROUP BY ALL) USING (o) GROUP BY c")
+def metapath_published(v: View) -> DataFrame:
+    """Features of a metapath, written as ORC tables with their profiles and read back from the catalog."""
+    root, name = io.shared_folder(v.spark), f"loom_{uuid.uuid4().hex}"
+    hops = (Hop(EdgeSpec(v.co, "Customer", ("OrderId",)), weight="o_totalprice"), Hop(EdgeSpec(v.os, "OrderId", ("Supplier",)), weight="quantity"))
+    spec = MetaFeatures(MetaPath(hops), ("MAX",), "ALL_Edges", summary=True)
+    flows.publish_metapath(v.spark, spec, {}, name, "2020-01-01", root)
+    read = lambda k: io.scan(v.spark, f"{name}_weight_{k}", time="dt", times=["2020-01-01"])
+    one, two = (read(k).select("Customer", F.col(f"MAX_MAX_Weight_{k}").alias(n), "dt") for k, n in ((0, "max_price"), (1, "max_quantity")))
+    return one.join(two, ["Customer", "dt"])
 
 
 @query("""SELECT c_custkey AS "Feature_0", c_nationkey AS "Feature_1", c_acctbal AS "Feature_2" FROM customer""", base=False)

@@ -244,9 +244,9 @@ def metapath_tail_column(v: View) -> DataFrame:
     return paths.metapath(v.spark, replace(_meta(v), tail_column="OrderId"))
 
 
-@query(f"SELECT c AS Customer, least(count(*), 2) AS n_paths {_META} GROUP BY c")
+@query(f"SELECT c AS Customer, o AS OrderId, s AS Supplier, w0 AS Weight_0, w1 AS Weight_1 {_META} QUALIFY row_number() OVER (PARTITION BY c ORDER BY md5('0|' || c || '|' || o || '|' || s), c, o, s) <= 2")
 def metapath_final_cap(v: View) -> DataFrame:
-    return paths.metapath(v.spark, replace(_meta(v), max_all=2)).groupBy("Customer").agg(F.count("*").alias("n_paths"))
+    return paths.metapath(v.spark, replace(_meta(v), max_all=2))
 
 
 @query(f"""{_SAMPLES}, pi AS (SELECT *, row_number() OVER (ORDER BY c, s, t) - 1 AS pair_id FROM smp SEMI JOIN (SELECT c, t FROM smp WHERE y > 0) USING (c, t) WHERE s IS NOT NULL)

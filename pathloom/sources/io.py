@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scan(spark: SparkSession, table, source: str = "table", time: str | None = None, times: Iterable[str] | None = None) -> DataFrame:
@@ -59,11 +61,20 @@ def write_parquet(df: DataFrame, path: str, partition: str | None = None) -> Non
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def create_orc_table(spark: SparkSession, name: str, columns: dict[str, str], comments: dict[str, str] | None = None, partition: str = "dt") -> None:
-    """An ORC table partitioned by a string column, if there is none of the name."""
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, at: str | None = None) -> None:
+    """A Parquet table bucketed and sorted by ``keys``, one file a bucket: joins and sums by them read it without an exchange.
+
+    ``at``: the folder of an external table.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", at) if at else writer).saveAsTable(name)
+
+
+def create_orc_table(spark: SparkSession, name: str, columns: dict[str, str], comments: dict[str, str] | None = None, partition: str = "dt", at: str | None = None) -> None:
+    """An ORC table partitioned by a string column, if there is none of the name; ``at``: the folder of an external one."""
     note = lambda c: f" COMMENT '{comments[c]}'".replace("\\", "") if comments and c in comments else ""
     cols = ", ".join(f"`{c}` {t}{note(c)}" for c, t in columns.items() if c != partition)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}, `{partition}` string) USING orc PARTITIONED BY (`{partition}`)")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}, `{partition}` string) USING orc PARTITIONED BY (`{partition}`)" + (f" LOCATION '{at}'" if at else ""))
 
 
 def insert_partition(df: DataFrame, name: str, at: str, partition: str = "dt") -> None:
@@ -121,20 +132,34 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.sparkContext.setCheckpointDir(root)
-    _made.append(f"{root.rstrip('/')}/pathloom/stored-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made[-1].append(f"{root.rstrip('/')}/pathloom/stored-{uuid.uuid4().hex}")
+    return _made[-1][-1]
 
 
-_made: list[str] = []
+_made: list[list[str]] = [[]]
 
 
-def forget_stored(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written so far: for when the results that rest on it have been written or shown."""
-    while _made:
-        store = Store(spark, _made.pop())
+def _forget(spark: SparkSession, folders: list[str]) -> None:
+    while folders:
+        store = Store(spark, folders.pop())
         store._fs.delete(store._at(""), True)
 
 
+def forget_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written in the innermost ``scratch`` (outside of all: in none) so far."""
+    _forget(spark, _made[-1])
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What ``stored`` writes inside is deleted at the end: for work whose result has been written or shown by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        _forget(spark, _made.pop())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there: what several later steps use is made once."""
     at = shared_folder(df.sparkSession)
@@ -168,3 +193,44 @@ class Checkpoint:
 
     def names(self) -> list[str]:
         return [n for n in self.store.list() if self.store.exists(f"{n}/manifest.json")]
+
+
+class MonthlyCheckpoint(Checkpoint):
+    """Named results by month, of which a later run makes the missing months only.
+
+    Results are partitioned by the month; a result's manifest holds the months that are done (also
+    those without rows) and what it was made of, and is written after the data.  ``made`` has the months that this object made, by name.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, time: str = "Feature_Time"):
+        super().__init__(spark, root)
+        self.time = time
+        self.made: dict[str, list[str]] = {}
+
+    def months(self, name: str, made_of: dict | None = None) -> list[str]:
+        """The months of a result that are done."""
+        if not self.store.exists(f"{name}/manifest.json"):
+            return []
+        kept = json.loads(self.store.read_text(f"{name}/manifest.json"))
+        return kept["months"] if kept["made_of"] == made_of else []
+
+    def get(self, name: str, make, made_of: dict | None = None) -> DataFrame:
+        """The result of the months in ``made_of["times"]``; ``make`` takes those that are missing."""
+        wanted = (made_of or {}).get("times")
+        if wanted is None:
+            raise ValueError("results by month need the months")
+        of = {k: v for k, v in made_of.items() if k != "times"}
+        done, data = self.months(name, of), f"{self.store.root}/{name}/data"
+        missing = [t for t in wanted if t not in done]
+        if missing or not self.store.exists(f"{name}/manifest.json"):
+            df = make(missing)
+            self.store.mkdir(f"{name}/data")
+            if not done:
+                df.write.mode("overwrite").partitionBy(self.time).parquet(data)
+            else:
+                write_parquet(df, data, self.time)
+            note = {"made_of": of, "months": sorted({*done, *missing}), "schema": df.schema.json()}
+            self.store.write_text(f"{name}/manifest.json", json.dumps(note))
+            self.made[name] = missing
+        schema = T.StructType.fromJson(json.loads(json.loads(self.store.read_text(f"{name}/manifest.json"))["schema"]))
+        return self.spark.read.schema(schema).parquet(data).where(F.col(self.time).isin(list(wanted))).select(*schema.names)

@@ -65,10 +65,10 @@ def test_ml_table_by_stored_profile(spark):
     assert np.allclose([got[u]["p^0^f_norm"] for u in "abc"], [0.1, 0.3, 0.0], atol=1e-5) and np.allclose([got[u]["p^0^f_std"] for u in "abc"], [-0.25, 0.25, -0.5], atol=1e-5)
     from pathloom.sources import io
 
-    made = list(io._made)
+    made = list(io._made[-1])
     assert made
     io.forget_stored(spark)
-    assert not io._made and not any(io.Store(spark, m).exists() for m in made)
+    assert not io._made[-1] and not any(io.Store(spark, m).exists() for m in made)
 
 
 def test_label_months(spark):
