@@ -46,6 +46,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end: int, most: int, key: str =
     """(doc_id, piece, start, length, ids_crc32) of every document's tokens."""
 
     def run(batches):
+        shared.release()  # what an earlier stage has mapped in this worker
         own = encoder(tokenizer)
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):

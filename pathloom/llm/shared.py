@@ -130,6 +130,11 @@ def view(uri: str) -> memoryview:
     return got
 
 
+def release() -> None:
+    """Forget the worker's files: for tasks that open none and need the memory; files of deleted folders go with them."""
+    _maps.clear()
+
+
 def exists(uri: str) -> bool:
     """Whether a shared file is there."""
     if uri in _maps:
