@@ -52,7 +52,7 @@ def cover_counts(
     reach = reaches(relations, end_type, hops) if end_type else None
     times = frontier_months(seeds, [r.table for r in relations], times)
     known = stored(pairs.select(*PAIR).distinct())
-    level = [(PathSchema(seed_type), seeds.select(F.col("Node_0"), TIME).distinct().withColumn("__n", F.lit(1).cast("long")))]
+    level = [(PathSchema(seed_type), stored(seeds.select(F.col("Node_0"), TIME).distinct().withColumn("__n", F.lit(1).cast("long"))))]
     parts = []
     for hop in range(hops):
         grown = []
@@ -66,7 +66,7 @@ def cover_counts(
                 edges = read_edges(spark, edge, times, front)[0].select(*ids)
                 differs = simple_path(longer, longer.end) if simple else None
                 if last and differs is None:
-                    parts.append(_closed(longer, state, edges, known, dead_ends))
+                    parts.append(_closed(longer, state, stored(edges), known, dead_ends))
                     continue
                 if last:
                     keep = ["Node_0", longer.end]

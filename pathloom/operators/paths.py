@@ -117,7 +117,7 @@ def enumerate_khop(
     """
     reach = reaches(relations, end_type, hops) if end_type else None
     times = _months(seeds, [r.table for r in relations], times, cache)
-    level = [(PathSchema(seed_type), seeds.select("Node_0", TIME).distinct())]
+    level = [(PathSchema(seed_type), stored(seeds.select("Node_0", TIME).distinct()))]
     found: dict[str, tuple[PathSchema, DataFrame]] = {}
     for hop in range(hops):
         grown = []
@@ -152,9 +152,7 @@ def follow_all(
         raise ValueError("schemas start at different types")
     times = _months(seeds, [e.table for s in schemas.values() for e in s.edges], times, cache)
     inner = {PathSchema(s.start_type, s.edges[:k]).name for s in schemas.values() for k in range(1, len(s.edges))}
-    made = {first.start_type: seeds.select("Node_0", TIME).distinct()}
-    if len({s.edges[0].name for s in schemas.values() if s.edges}) > 1:
-        made[first.start_type] = stored(made[first.start_type])
+    made = {first.start_type: stored(seeds.select("Node_0", TIME).distinct())}
     for s in schemas.values():
         grown = PathSchema(s.start_type)
         for edge in s.edges:
