@@ -282,3 +282,10 @@ def attention_hierarchical(v: View) -> DataFrame:
     layers = [{"co": ("Customer", _GATS["co"]), "cn": ("Customer", _GATS["cn"])}, {"os": ("Order", _GATS["os"])}]
     out = attention.layered(hops, nodes, seeds, ["a", "b"], layers)
     return _round(out.select(F.col("node").cast("long").alias("Customer"), TIME, "a", "b"), "a", "b", to=6)
+
+
+@query("""SELECT c AS Customer, round(coalesce(a / nullif(sqrt(a * a + b * b), 0), 0), 6) AS a, round(coalesce(b / nullif(sqrt(a * a + b * b), 0), 0), 6) AS b
+FROM (SELECT c, avg(x) / 1e4 AS a, avg(d) * 10 - 0.5 AS b FROM l GROUP BY c)""")
+def attention_unit_length(v: View) -> DataFrame:
+    rows = v.lines.groupBy(F.col("o_custkey").alias("Customer")).agg((F.avg("l_extendedprice") / 1e4).alias("a"), (F.avg("l_discount") * 10 - 0.5).alias("b"))
+    return _round(attention.l2_normalized(rows, ["a", "b"]), "a", "b", to=6)
