@@ -25,6 +25,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from . import shared
 from .words import _SPACE, buffers, split_words
 
 MOST_PIECES, SLICE = 500_000, 8 << 20
@@ -149,6 +150,7 @@ class Encoder:
 
 
 _encoders: dict = {}
+shared.caches.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:

@@ -111,6 +111,7 @@ def _ship(at: str, min_chars: int, shards: int):
     """Documents (id, hash of the text, text) to blocks of line hashes; their digests are stored."""
 
     def run(batches):
+        shared.forget()  # what other stages have left in this worker
         ids, texts, digests, n, number = [], [], [], 0, 0
 
         def flush():
@@ -218,7 +219,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, key: st
         lost = suspects.join(often, "digest").where("id <> keep")
         lost = shared.cut(lost.groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("digest").alias("__gone")), losses)
     out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    joined = docs.withColumns(own).join(lost, ["__id", "__t"], "left")
+    # One plan at every size: a broadcast of small losses would only hide what large ones cost.
+    joined = docs.withColumns(own).join(lost.hint("merge"), ["__id", "__t"], "left")
     return joined.select(*docs.columns, "__gone").mapInArrow(_rebuild(min_chars, to_arrow_schema(out), text), out)
 
 

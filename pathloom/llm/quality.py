@@ -108,7 +108,8 @@ def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float | None =
     each = keys.select("__h", "__key", F.explode(F.array_distinct(F.transform(full_lines(text), line_hash))).alias("line"))
     often = shared.cut(boilerplate(each, keys, min_docs, max_share), f"{at}/lines")
     found = shared.cut(each.join(often, ["__h", "line"]).groupBy("__h", "__key").agg(F.collect_set("line").alias("__often")), f"{at}/texts")
-    out = with_stats(docs, text).withColumns(row_keys(host, text)).join(found, ["__h", "__key"], "left")
+    # One plan at every size: a broadcast of few lines would only hide what many cost.
+    out = with_stats(docs, text).withColumns(row_keys(host, text)).join(found.hint("merge"), ["__h", "__key"], "left")
     gone = lambda h: F.array_contains(F.col("__often"), h)
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: (F.length(F.btrim(x, F.lit(SPACE))) == 0) | ~gone(line_hash(x)))
     out = out.withColumn("clean_text", F.when(F.col("__often").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")))
