@@ -5,8 +5,12 @@ again as one file, and ships the distinct keys in blocks: one block for each has
 shard that the keys fall into.  A shard's task has the blocks of all flushes
 before it, works on that slice of the keys alone and answers block by block; the
 answers of a flush come to one task, which maps the flush's one file.  So files
-are opened once a flush and once a shard, whatever the number of either, and a
-block holds at least one key, so that rows never outnumber keys.
+are opened once a flush and once a shard, whatever the number of either.
+
+Blocks stay long however many shards there are: beyond ``FAN`` shards a flush's
+block is for a group of neighbouring ones, and tasks in between gather the blocks
+of a group from many flushes and cut them by shard anew (``deal``).  They store
+where each key came from, and the answers return the same way (``back``).
 
 A flush is named by its place and by a digest of what it ships.  A task that runs
 again on the same rows writes the same file and name; if it sees other rows, the
@@ -20,12 +24,18 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import shared
 
 BLOCK = "shard long, flush string, n long, block binary"
 SCHEMA = pa.schema([("shard", pa.int64()), ("flush", pa.string()), ("n", pa.int64()), ("block", pa.binary())])
 _SMALL = 512
+#: Groups of shards that flushes ship blocks to, keys that are dealt on together, and batches of them for a dealing task.
+FAN, BATCH, BATCHES = 2048, 1 << 20, 16
+#: Shard ``s`` of kind ``k`` has the number ``k * KIND + s``: blocks of several kinds may travel together.
+KIND = 1 << 40
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -85,8 +95,14 @@ def count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at[:-1]], np.diff(at)
 
 
-def cells(flush: str, shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One block for each shard that has rows; ``shard`` ascends."""
+def span_of(shards: int) -> int:
+    """Neighbouring shards that share a flush's block."""
+    return -(-shards // FAN)
+
+
+def cells(flush: str, shard: np.ndarray, *columns: np.ndarray, span: int = 1) -> pa.RecordBatch:
+    """One block for each ``span`` neighbouring shards that have rows; ``shard`` ascends."""
+    shard = shard // span
     at = runs(shard).tolist()
     rows = [(int(shard[a]), flush, b - a, pack(*[c[a:b] for c in columns])) for a, b in zip(at[:-1], at[1:])]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(SCHEMA.types)], schema=SCHEMA)
@@ -127,6 +143,75 @@ def gathered(pdf: pd.DataFrame, columns: int, want: int) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(columns)]
 
 
+def _dealing(at: str, columns, shard_of, answered: bool, most: int):
+    """Blocks of groups to blocks of shards, ``most`` keys or a little more at a time."""
+
+    def run(batches):
+        held, n, number = [], 0, 0
+
+        def dealt():
+            kind = held[0][0] // KIND
+            own = [np.concatenate([h[3][k] for h in held]) for k in range(columns(kind))]
+            to = shard_of(kind, own)
+            order = np.argsort(to, kind="stable")
+            name = flush_name(number, np.array([h[0] for h in held], np.int64), *own) if answered else ""
+            if answered:
+                flushes = "\n".join(h[1] for h in held).encode()
+                put_arrays(f"{at}/dealt-{name}", order=narrow(order), groups=np.array([h[0] for h in held], np.int64), sizes=np.array([h[2] for h in held], np.int64), flushes=np.frombuffer(flushes, np.uint8))
+            return cells(name, kind * KIND + to[order], *[c[order] for c in own])
+
+        for batch in batches:
+            for group, flush, size, block in zip(*[c.to_pylist() for c in batch.columns]):
+                if group < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((group, flush, size, block), SCHEMA.types)], schema=SCHEMA)
+                    continue
+                if held and (n >= most or group // KIND != held[0][0] // KIND):
+                    yield dealt()
+                    held, n, number = [], 0, number + 1
+                held.append((group, flush, size, unpack(block, size, columns(group // KIND))))
+                n += size
+        if held:
+            yield dealt()
+
+    return run
+
+
+def deal(asked: DataFrame, at: str, shards: int, columns, shard_of, answered: bool = True) -> DataFrame:
+    """Blocks of groups of shards to blocks of shards; as they are where a group is one shard.
+
+    ``columns(kind)``: how many columns a block has; ``shard_of(kind, columns)``: the
+    shards of its keys.  Where nothing is ``answered``, nothing is kept for
+    ``back``.  Rows of negative shards pass.
+    """
+    span = span_of(shards)
+    if span == 1:
+        return asked
+    # In the order of groups and flushes, so that a task that runs again deals the same.
+    slices = F.pmod(F.xxhash64("block"), F.lit(-(-span // BATCHES)))
+    rows = asked.withColumn("slice", slices).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "flush").drop("slice")
+    return rows.mapInArrow(_dealing(at, columns, shard_of, answered, BATCH), BLOCK)
+
+
+def back(answered: DataFrame, at: str, shards: int, columns) -> DataFrame:
+    """Answers to dealt blocks to answers to the blocks that the flushes shipped; ``columns(kind)``: how many an answer has."""
+    if span_of(shards) == 1:
+        return answered
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stored = arrays(f"{at}/dealt-{pdf['flush'].iloc[0]}")
+        groups, sizes, order = stored["groups"], stored["sizes"], stored["order"]
+        got = gathered(pdf, columns(int(groups[0]) // KIND), len(order))
+        own = []
+        for g in got:
+            own.append(np.empty(len(g), g.dtype))
+            own[-1][order] = g
+        ends = np.cumsum(sizes)
+        blocks = [pack(*[c[b - n : b] for c in own]) for b, n in zip(ends.tolist(), sizes.tolist())]
+        return pd.DataFrame({"shard": groups, "flush": stored["flushes"].tobytes().decode().split("\n"), "n": sizes, "block": blocks})
+
+    return answered.groupBy("flush").applyInPandas(run, BLOCK)
+
+
 def put_arrays(uri: str, **arrays: np.ndarray) -> None:
     """Store named arrays as one file, each at a multiple of eight bytes."""
     names, head, body, at = list(arrays), [], [], 0

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .exchange import BLOCK, Blocks, arrays, cells, count, flush_name, gathered, put_arrays, runs
+from .exchange import BLOCK, Blocks, arrays, back, cells, count, deal, flush_name, gathered, put_arrays, runs, span_of
 from .words import shingle_sets, slices
 
 FLUSH, DOCS_PER_SHARD, LIST_BLOCK = 1 << 20, 4_000, 2048
@@ -56,6 +56,7 @@ def _shard_of(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
 
 def _ship(at: str, width: int, bits: int, shards: int):
     """Documents (id, text) to blocks of truncated shingle hashes; their sets are stored."""
+    span = span_of(shards)
 
     def run(batches):
         held, n, number = [], 0, 0
@@ -66,7 +67,7 @@ def _ship(at: str, width: int, bits: int, shards: int):
             name = flush_name(number, ids, tokens)
             put_arrays(f"{at}/sets-{name}", ids=ids, valid=valid, sizes=sizes, keys=np.array([len(keys)]), tokens=tokens)
             # A flush without shingles asks nothing, but its documents are in the result.
-            return cells(name, _shard_of(keys, bits, shards), keys, times) if len(keys) else cells(name, np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.uint64))
+            return cells(name, _shard_of(keys, bits, shards), keys, times, span=span) if len(keys) else cells(name, np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.uint64))
 
         for batch in batches:
             ids = batch.column(0)
@@ -292,7 +293,8 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 def _components(docs: DataFrame, width: int, num: int, den: int, at: str) -> DataFrame:
     shards = max(8, -(-docs.count() // DOCS_PER_SHARD))
     bits = _order_bits(shards)
-    answered = docs.mapInArrow(_ship(at, width, bits, shards), BLOCK).groupBy("shard").applyInPandas(_frequencies, BLOCK)
+    asked = deal(docs.mapInArrow(_ship(at, width, bits, shards), BLOCK), at, shards, lambda _: 2, lambda _, own: _shard_of(own[0], bits, shards))
+    answered = back(asked.groupBy("shard").applyInPandas(_frequencies, BLOCK), at, shards, lambda _: 1)
     rows = shared.cut(answered.groupBy("flush").applyInPandas(_index(at, bits, num, den), _SETS), f"{at}/rows")
     nodes = rows.where("file is not null").groupBy("node").agg(F.min(F.struct("file", "at", "first", "prefix", "df", F.col("n_shingles").alias("n"))).alias("x"))
     entries = nodes.select("node", "x.n", "x.file", "x.at", "x.first", F.posexplode(F.arrays_zip("x.prefix", "x.df")).alias("k", "e"))

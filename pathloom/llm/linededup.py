@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .exchange import BLOCK, Blocks, arrays, cells, flush_name, gathered, put_arrays, shard_of
+from .exchange import BLOCK, Blocks, arrays, back, cells, deal, flush_name, gathered, put_arrays, shard_of, span_of
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Hashes that a task holds before it ships them, and documents per hash shard.
@@ -109,6 +109,7 @@ def _asked(h: np.ndarray) -> np.ndarray:
 
 def _ship(at: str, min_chars: int, shards: int):
     """Documents (id, hash of the text, text) to blocks of line hashes; their digests are stored."""
+    span = span_of(shards)
 
     def run(batches):
         shared.forget()  # what other stages have left in this worker
@@ -119,7 +120,7 @@ def _ship(at: str, min_chars: int, shards: int):
             h = _asked(pairs[:, 0])
             name = flush_name(number, np.array(ids, np.int64), pairs)
             put_arrays(f"{at}/lines-{name}", ids=np.array(ids, np.int64), texts=np.array(texts, np.int64), pairs=pairs)
-            return cells(name, shard_of(h, shards), h)
+            return cells(name, shard_of(h, shards), h, span=span)
 
         for batch in batches:
             for own, hashed, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -212,7 +213,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, key: st
         at = shared.folder(spark, "lines")
         shards = max(4, -(-docs.count() // DOCS_PER_SHARD))
         asked = docs.select(F.col(key).cast("long").alias("id"), own["__t"].alias("t"), F.col(text).alias("text")).mapInArrow(_ship(at, min_chars, shards), BLOCK)
-        answered = asked.groupBy("shard").applyInPandas(_suspects, BLOCK)
+        asked = deal(asked, at, shards, lambda _: 1, lambda _, own: shard_of(own[0], shards))
+        answered = back(asked.groupBy("shard").applyInPandas(_suspects, BLOCK), at, shards, lambda _: 1)
         suspects = shared.cut(answered.groupBy("flush").applyInPandas(_suspected(at), "digest binary, id long, t long"), f"{at}/suspects")
         often = suspects.groupBy("digest").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("keep")).where(F.col("docs") >= min_docs)
         often = shared.cut(often.drop("docs"), f"{at}/often")

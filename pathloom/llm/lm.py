@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .exchange import BLOCK, Blocks, arrays, cells, count, find, flush_name, gathered, narrow, pack, put_arrays, runs, shard_of, sum_by, unpack
+from .exchange import BLOCK, KIND, Blocks, arrays, back, cells, count, deal, find, flush_name, gathered, narrow, pack, put_arrays, runs, shard_of, span_of, sum_by, unpack
 from .words import hashed_words, mix, slices
 
 #: Tokens that a task holds before it ships blocks; what one shard is meant for.
@@ -94,6 +94,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 def _ask_words(at: str, shards: int, text: str, counted: bool):
     """Documents to blocks of their distinct words (with counts, if asked); tokens and other columns are stored."""
+    span = span_of(shards)
 
     def run(batches):
         held, tables, n, number = [], [], 0, 0
@@ -109,7 +110,7 @@ def _ask_words(at: str, shards: int, text: str, counted: bool):
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
             put_arrays(f"{at}/tokens-{name}", sizes=sizes, count=np.array([len(kinds), len(codes)]), codes=np.frombuffer(pack(rank[codes]), np.uint8), ranks=np.frombuffer(pack(rank), np.uint8), rest=np.frombuffer(sink.getvalue(), np.uint8))
-            return cells(name, shard_of(kinds, shards), kinds, *([times] if counted else []))
+            return cells(name, shard_of(kinds, shards), kinds, *([times] if counted else []), span=span)
 
         for batch in batches:
             i = batch.schema.get_field_index(text)
@@ -220,15 +221,16 @@ def _by_ids(shard: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
     return np.argsort(one)
 
 
-def _gram_cells(name: str, shards: int, key: np.ndarray, ids: list[np.ndarray], times: np.ndarray | None = None) -> pa.RecordBatch:
+def _gram_cells(name: str, shards: int, span: int, key: np.ndarray, ids: list[np.ndarray], times: np.ndarray | None = None) -> pa.RecordBatch:
     """Blocks of distinct n-grams: within a shard in the order of their ids, which packs best."""
     shard = shard_of(key, shards)
     o = _by_ids(shard, ids)
-    return cells(name, shard[o], *[c[o] for c in ids], *([] if times is None else [times[o]]))
+    return cells(name, shard[o], *[c[o] for c in ids], *([] if times is None else [times[o]]), span=span)
 
 
 def _count_grams(work: str, order: int, shards: int):
     """A flush's word ids to blocks of its distinct n-grams with counts."""
+    span = span_of(shards)
 
     def run(table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()
@@ -241,18 +243,23 @@ def _count_grams(work: str, order: int, shards: int):
         order_ = np.argsort(key)
         at = runs(key[order_])
         first = order_[at[:-1]]
-        return pa.Table.from_batches([_gram_cells(name, shards, key[first], [c[first] for c in grams], np.diff(at))])
+        return pa.Table.from_batches([_gram_cells(name, shards, span, key[first], [c[first] for c in grams], np.diff(at))])
 
     return run
 
 
+def _grams_of(level: int, top: bool, shards: int):
+    """How many columns a block of ``level``-grams has, and the shards of its grams."""
+    return lambda _: level + (1 if top else 5), lambda _, own: shard_of(gram_key(own[:level]), shards)
+
+
 def _merge_grams(at: str, level: int, top: bool, shards: int):
     """A shard's blocks of ``level``-grams to its stored array, and to blocks of the order below.
 
     Fields of a gram: its count a, and as a context T, N1, N2, N3+ (not at the top).
     Shard -1 has the reports of the orders above, which pass.
     """
-    fields = 1 if top else 5
+    fields, span = 1 if top else 5, span_of(shards)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["shard"].iloc[0] < 0:
@@ -284,7 +291,7 @@ def _merge_grams(at: str, level: int, top: bool, shards: int):
             below, k2 = [c[first] for c in below], k2[first]
             shard = shard_of(k2, shards)
             o = _by_ids(shard, below)
-            out.append(cells("", shard[o], *[c[o] for c in below], *[s[o] for s in sums]).to_pandas())
+            out.append(cells("", shard[o], *[c[o] for c in below], *[s[o] for s in sums], span=span).to_pandas())
         return pd.concat(out)
 
     return run
@@ -315,11 +322,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         work = shared.folder(spark, "lm-tokens")
         word_shards = max(4, -(-docs.count() // DOCS_PER_WORD_SHARD))
         asked = docs.mapInArrow(_ask_words(work, word_shards, "text", True), BLOCK)
+        asked = deal(asked, f"{work}/asked", word_shards, lambda _: 2, lambda _, own: shard_of(own[0], word_shards))
         answered = shared.cut(asked.groupBy("shard").applyInPandas(_merge_words(at, word_shards), BLOCK), f"{work}/words")
         words, tokens = _summed(answered.where("shard < 0"), 2, by_first=False)[0]
         shards = max(8, -(-tokens // TOKENS_PER_SHARD))
-        rows = answered.where("shard >= 0").groupBy("flush").applyInArrow(_count_grams(work, order, shards), BLOCK)
+        words_back = back(answered.where("shard >= 0"), f"{work}/asked", word_shards, lambda _: 1)
+        rows = words_back.groupBy("flush").applyInArrow(_count_grams(work, order, shards), BLOCK)
         for level in range(order, 0, -1):
+            rows = deal(rows, work, shards, *_grams_of(level, level == order, shards), answered=False)
             rows = rows.groupBy("shard").applyInPandas(_merge_grams(at, level, level == order, shards), BLOCK)
         totals = np.zeros((order, 6), np.int64)
         for level, *own in _summed(shared.cut(rows, f"{work}/reports"), 7, by_first=True):
@@ -329,11 +339,11 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
 
 
 SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-_LEVELS = 1 << 40  # questions to the arrays of order k are rows of shard k * _LEVELS + s
 
 
 def _ask_grams(work: str, model: Model):
     """A flush's word answers to blocks of its distinct grams of every order; the answers are stored."""
+    span = span_of(model.shards)
 
     def run(table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()
@@ -344,9 +354,9 @@ def _ask_grams(work: str, model: Model):
         out = []
         for level, key, grams in _questions(stored, ids, model.order):
             kinds = _distinct(key)[1]
-            got = _gram_cells(name, model.shards, key[kinds], [c[kinds] for c in grams])
-            got = got.set_column(0, "shard", pa.array(got.column(0).to_numpy() + level * _LEVELS))
-            # Columns of other orders are other in number: a block says its own by its shard.
+            got = _gram_cells(name, model.shards, span, key[kinds], [c[kinds] for c in grams])
+            # Columns of other orders are other in number: a block says its own by its kind, the order.
+            got = got.set_column(0, "shard", pa.array(got.column(0).to_numpy() + level * KIND))
             out.append(got)
         return pa.Table.from_batches(out)
 
@@ -367,7 +377,7 @@ def _find_grams(at: str, order: int):
     """A shard's questions answered by its stored array: a, and below the top T, N1, N2, N3+; 0 where it has none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, shard = divmod(int(pdf["shard"].iloc[0]), _LEVELS)
+        level, shard = divmod(int(pdf["shard"].iloc[0]), KIND)
         blocks = Blocks(pdf, level)
         key = gram_key(blocks.columns)
         out = [np.zeros(len(key), np.uint64) for _ in range(1 if level == order else 5)]
@@ -394,7 +404,7 @@ def _finish(work: str, model: Model, names: list[str]):
         p = np.full(int(sizes.sum()), 1 / (model.words + 1))
         context = [np.full(len(p), float(x)) for x in model.unigrams]
         for level, key, grams in _questions(stored, ids, model.order):
-            own = pdf[pdf["shard"] // _LEVELS == level]
+            own = pdf[pdf["shard"] // KIND == level]
             kinds, first, of = _distinct(key)
             got = gathered(own, 1 if level == model.order else 5, len(kinds))
             # Answers come in the order in which the grams were shipped.
@@ -431,8 +441,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     result = shared.folder(spark, "lm-scores")
     with shared.scratch(spark):
         work = shared.folder(spark, "lm-tokens")
-        words = docs.select(*names, text).mapInArrow(_ask_words(work, model.word_shards, text, False), BLOCK).groupBy("shard").applyInPandas(_find_words(model.at, model.word_shards), BLOCK)
-        grams = words.groupBy("flush").applyInArrow(_ask_grams(work, model), BLOCK).groupBy("shard").applyInPandas(_find_grams(model.at, model.order), BLOCK)
+        words = docs.select(*names, text).mapInArrow(_ask_words(work, model.word_shards, text, False), BLOCK)
+        words = deal(words, f"{work}/words", model.word_shards, lambda _: 1, lambda _, own: shard_of(own[0], model.word_shards))
+        words = back(words.groupBy("shard").applyInPandas(_find_words(model.at, model.word_shards), BLOCK), f"{work}/words", model.word_shards, lambda _: 2)
+        grams = words.groupBy("flush").applyInArrow(_ask_grams(work, model), BLOCK)
+        grams = deal(grams, f"{work}/grams", model.shards, lambda level: level, lambda level, own: shard_of(gram_key(own), model.shards))
+        grams = grams.groupBy("shard").applyInPandas(_find_grams(model.at, model.order), BLOCK)
+        grams = back(grams, f"{work}/grams", model.shards, lambda level: 1 if level == model.order else 5)
         return shared.cut(grams.groupBy("flush").applyInArrow(_finish(work, model, names), schema), result)
 
 
