@@ -42,6 +42,8 @@ from .exchange import BLOCK, Blocks, arrays, back, cells, count, deal, flush_nam
 from .words import shingle_sets, slices
 
 FLUSH, DOCS_PER_SHARD, LIST_BLOCK = 1 << 20, 4_000, 2048
+#: Shingles that a task reads ahead for its next lists; a longer list is read alone.
+READ = 4 << 20
 
 
 def _order_bits(shards: int) -> int:
@@ -211,8 +213,15 @@ def link_list(sets: list[np.ndarray], pos: np.ndarray, num: int, den: int, side:
 def _links(at: str, num: int, den: int):
     """Sorted entries of lists to spanning links (u, v) between nodes."""
 
-    def solve(rows: dict, a: int, b: int):
-        sets = [np.frombuffer(shared.piece(f"{at}/sets-{rows['file'][i]}", int(rows["at"][i]), 8 * int(rows["n"][i])), "<u8") for i in range(a, b)]
+    def read(rows: dict, a: int, b: int) -> list[np.ndarray]:
+        """The sets of rows a to b: each file is visited once, each set read once; copies, so that no file stays open."""
+        got: dict[tuple[str, int], np.ndarray] = {}
+        wanted = [(rows["file"][i], int(rows["at"][i]), int(rows["n"][i])) for i in range(a, b)]
+        for file, place, n in sorted(set(wanted)):
+            got[file, place] = np.frombuffer(bytes(shared.piece(f"{at}/sets-{file}", place, 8 * n)), "<u8")
+        return [got[w[:2]] for w in wanted]
+
+    def solve(rows: dict, sets: list[np.ndarray], a: int, b: int):
         side = None
         if rows["left"][a] != rows["right"][a]:
             side = rows["own"][a:b]
@@ -233,7 +242,15 @@ def _links(at: str, num: int, den: int):
             new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["left"][1:] != rows["left"][:-1]) | (rows["right"][1:] != rows["right"][:-1])
             starts = np.append(np.flatnonzero(new), n)
             whole = starts if last else starts[:-1]
-            found = {p for a, b in zip(whole[:-1].tolist(), whole[1:].tolist()) for p in solve(rows, a, b)}
+            ends = np.concatenate([[0], np.cumsum(rows["n"])])
+            found, k = set(), 0
+            while k < len(whole) - 1:
+                # As many lists as fit, one at least.
+                m = max(k + 1, int(np.searchsorted(ends[whole], ends[whole[k]] + READ, "right")) - 1)
+                first, sets = int(whole[k]), read(rows, int(whole[k]), int(whole[m]))
+                for a, b in zip(whole[k:m].tolist(), whole[k + 1 : m + 1].tolist()):
+                    found.update(solve(rows, sets[a - first : b - first], a, b))
+                k = m
             keep = keep.slice(int(whole[-1]))
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
 

@@ -107,3 +107,25 @@ def test_dealt_answers_return_to_their_flushes(spark, few):
         assert (got == h >> np.uint64(1)).all()
     first, again = (sorted(r.flush for r in dealt.select("flush").distinct().collect()) for _ in range(2))
     assert first == again  # the same names, whatever order the shuffle brings the rows in
+
+
+@pytest.mark.parametrize("ahead", [1, 90, 1 << 20])
+def test_lists_read_each_set_once_and_file_by_file(spark, monkeypatch, ahead):
+    """40 lists of the same 6 sets of 3 files: one read of a set for all lists that are read together, and links as before."""
+    at = shared.folder(spark, "test")
+    sets = [np.arange(10 * k, 10 * k + 30, dtype="<u8") for k in (0, 0, 3, 3, 9, 9)]
+    sets = [np.append(s, np.uint64(1000 + k)) for k, s in enumerate(sets)]  # pairs share 30 of 32
+    for f in range(3):
+        shared.put(f"{at}/sets-{f}", [sets[2 * f].tobytes(), sets[2 * f + 1].tobytes()])
+    rows = [(t, 0, 0, 0, bytes([k]), 31, 0, str(k // 2), 248 * (k % 2), bytes([k])) for t in range(40) for k in (4, 1, 3, 0, 5, 2)]
+    names = ["token", "left", "right", "own", "node", "n", "pos", "file", "at", "part"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    asked, piece = [], shared.piece
+    monkeypatch.setattr(jaccard.shared, "piece", lambda uri, *rest: asked.append(uri) or piece(uri, *rest))
+    monkeypatch.setattr(jaccard, "READ", ahead)
+    found = {tuple(r.values()) for b in jaccard._links(at, 90, 100)(iter([batch.slice(0, 100), batch.slice(100)])) for r in b.to_pylist()}
+    assert found == {(b"\x01", b"\x00"), (b"\x03", b"\x02"), (b"\x05", b"\x04")}
+    if ahead == 1 << 20:
+        assert len(asked) == 18 and asked[:6] == sorted(asked[:6])  # of two batches and the rest
+    else:
+        assert len(asked) == 240
