@@ -81,21 +81,25 @@ def link_data(
     spec = Pairs(own, start, end, start_type, end_type)
     found, summary, main, aux, samples = mine_pairs(spark, Target(own, start_type, start, end_type), spec, relations, hops, **chosen)
     samples = stored(samples)
-    out = LinkData(main, aux, summary, {train: samples}, {train: {n: (found[n][0], found[n][1] if n in main else pairing.restrict(*found[n], samples)) for n in (*main, *aux)}})
+    nodes = own.select(F.col(start).alias("Node_0"), TIME)
+    known_aux = paths.between(spark, nodes, [found[n][0] for n in aux], samples)
+    out = LinkData(main, aux, summary, {train: samples}, {train: {n: found[n] for n in main} | known_aux})
     others = {k: r for k, r in ranges.items() if k != train}
     if not others:
         return out
     rest = labels.where(reduce(lambda a, b: a | b, [inside(r) for r in others.values()]))
     known = known_pairs(spark, Pairs(rest, start, end, start_type, end_type))
     seeds = rest.select(F.col(start).alias("Node_0"), TIME)
-    replayed = {n: (s, stored(df)) for n, (s, df) in paths.follow_all(spark, seeds, [found[n][0] for n in (*main, *aux)]).items()}
+    replayed = {n: (s, stored(df)) for n, (s, df) in paths.follow_all(spark, seeds, [found[n][0] for n in main]).items()}
     connected = stored(pairing.label_connected([replayed[n] for n in main], known).withColumn("Label", F.col("Label").cast("int")))
+    # Auxiliary schemas' paths are made between the samples only: all of them may be as many as starts times ends.
+    replayed |= {n: (s, stored(df)) for n, (s, df) in paths.between(spark, seeds, [found[n][0] for n in aux], connected).items()}
     starts = rest.select(F.col(start).alias("start"), TIME, "Source_Time").distinct()
     timed = pairing.split_by_time(connected, starts, others)
     for k in others:
         out.samples[k] = timed.where(F.col("split") == k).drop("split")
         times = starts.where(inside(others[k])).select(F.col("start").alias("Node_0"), TIME).distinct()
-        out.paths[k] = {n: (s, (df if n in main else pairing.restrict(s, df, connected)).join(times, ["Node_0", TIME], "left_semi")) for n, (s, df) in replayed.items()}
+        out.paths[k] = {n: (s, df.join(times, ["Node_0", TIME], "left_semi")) for n, (s, df) in replayed.items()}
     return out
 
 
