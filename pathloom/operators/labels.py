@@ -57,5 +57,5 @@ def downsample_negatives(df: DataFrame, budgets: Mapping[str, int | None], by: l
     budget = reduce(lambda c, kv: c.when(F.col("split") == kv[0], F.lit(kv[1])), budgets.items(), F).cast("long")
     share = F.when(budget.isNull(), 1.0).otherwise(F.least(F.greatest(F.coalesce(F.try_divide(budget - F.col("__p"), "__n"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
     part = F.conv(F.substring(random_key(seed, [*by, TIME, "split"]), 1, 8), 16, 10).cast("long")
-    out = df.join(counts.select("split", share.alias("__f")), "split")
+    out = df.join(F.broadcast(counts.select("split", share.alias("__f"))), "split")  # a row per split; dealt by split, its rows would meet in one task
     return out.where((F.col("Label") > 0) | (part < F.col("__f") * F.lit(1 << 32))).select(*df.columns)
