@@ -134,15 +134,16 @@ def layered(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, features: Sequ
     relation of its type, the attention over the embeddings that the hop after it gave to the
     node's neighbours; a relation without neighbours counts as 0 plus its bias.
 
-    A hop is one join on either side of its edges and partial sums; its scored edges are stored,
-    so no hop is computed again for the one before it.
+    A hop is one join on either side of its edges and partial sums; the nodes' features, a hop's nodes and its
+    scored edges are stored, so none is computed again for another join or for the hop before.
     """
     key = ["node_type", "node", TIME]
+    nodes = stored(nodes.select(*key, *features))
     own = lambda level: level.join(nodes, key, "left").select(*key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     level = lambda h: seeds.select(*key).distinct() if h == 0 else edges.where(F.col("hop") == h - 1).select(F.col("far_type").alias("node_type"), F.col("far").alias("node"), TIME).distinct()
     below = own(level(len(layers)))
     for h in range(len(layers) - 1, -1, -1):
-        here = own(level(h))
+        here = stored(own(level(h)))
         near, far = [f"__near_{f}" for f in features], [f"__far_{f}" for f in features]
         joined = edges.where(F.col("hop") == h).drop("hop")
         joined = joined.join(here.withColumnsRenamed({"node_type": "near_type", "node": "near"} | dict(zip(features, near))), ["near_type", "near", TIME])
