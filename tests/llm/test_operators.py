@@ -282,6 +282,17 @@ def test_encoder_is_exact(awkward, name, mode, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:])] == want
 
 
+def test_a_word_is_encoded_once_in_any_case_and_between_any_marks():
+    own = Encoder(path("word_bpe_49k.json"))
+    texts = ["word Word, WORD! (word) word7", "été Été, ÉTÉ.", "don't DON'T. 's'S", "H̱ ẖ, Éẖ! É̱H", "K×k÷ß ªb. x—y,z", "7a7'll7 ''s !'s", "A<b>c|D"]
+    for part in (texts, [*texts, "Z<|endoftext|>z, <|ENDOFTEXT|>"], texts[::-1]):
+        ids, ptr = own.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:])] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+    own = Encoder(path("word_bpe_49k.json"))
+    own.encode(pa.array(texts[:2]))
+    assert sorted(own.slot) == sorted(c.encode() for c in ["word", ",", "!", "(", ")", "7", "été", "."])
+
+
 def test_token_files(spark, awkward, tmp_path):
     from tokenizers import Tokenizer
 
