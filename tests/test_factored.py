@@ -64,3 +64,40 @@ def test_no_row_per_path_through_a_hub(spark, tmp_path):
     (_, df), = paths.between(spark, seeds, schemas, pairs).values()
     assert df.count() == 250
     assert "Node_0" in df._jdf.queryExecution().optimizedPlan().toString() and paths.node_ids(factors.values()).count() == 701
+
+
+@pytest.mark.parametrize(("light", "carried", "simple", "end"), [(0, 0, False, "Person"), (1, 1, False, "Thing"), (32, 64, True, "Person")])
+def test_labels_from_factors_are_those_of_the_paths(spark, monkeypatch, light, carried, simple, end):
+    """Whatever is listed and whatever is made last: several schemas, nodes that share starts and ends, parts of a node."""
+    for name, value in (("LIGHT", light), ("CARRIED", carried), ("TASK_PAIRS", 5), ("TASKS", 3)):
+        monkeypatch.setattr(pairing, name, value)
+    relations = graph(spark, same=True)
+    seeds, pairs = inputs(spark, "p", end[0].lower())
+    schemas = paths.schemas_of("Person", relations, 2, end)
+    found = paths.follow_all(spark, seeds, schemas, simple=simple)
+    factors = paths.factored(spark, seeds, schemas, simple=simple)
+    want = rows(pairing.label_connected(found.values(), pairs))
+    assert want and rows(pairing.label_factored(factors.values(), pairs)) == want
+
+
+def shuffled(spark):
+    """Rows shuffled so far in the session."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_no_pair_through_a_hub_is_shuffled(spark, tmp_path):
+    """120,000 pairs through one node, some of them known and some also met elsewhere: none is in an exchange."""
+    into = spark.createDataFrame([(f"p{i}", "hub", "m") for i in range(400)] + [("p0", "side", "m")], "h string, t string, dt string")
+    out = spark.createDataFrame([("hub", f"c{i}", "m") for i in range(300)] + [("side", "c0", "m"), ("side", "c300", "m")], "h string, t string, dt string")
+    relations = [Relation("in", into, "h", "Person", "t", "Place"), Relation("to", out, "h", "Place", "t", "City")]
+    seeds = spark.createDataFrame([(f"p{i}", "m") for i in range(400)], f"Node_0 string, {TIME} string")
+    pairs = spark.createDataFrame([("p0", "c0", "m"), ("p0", "c300", "m"), ("p7", "c9", "m"), ("p7", "c300", "m")], f"start string, end string, {TIME} string")
+    before = shuffled(spark)
+    got = pairing.label_factored(paths.factored(spark, seeds, paths.schemas_of("Person", relations, 2, "City")).values(), pairs)
+    got.write.parquet(f"file://{tmp_path}/out")
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 20_000
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(tuple(r)[:2] for r in got.where("Label").select("start", "end").collect()) == [("p0", "c0"), ("p0", "c300"), ("p7", "c9")]
+    assert got.count() == got.distinct().count() == 120_001
