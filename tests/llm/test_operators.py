@@ -293,6 +293,20 @@ def test_a_word_is_encoded_once_in_any_case_and_between_any_marks():
     assert sorted(own.slot) == sorted(c.encode() for c in ["word", ",", "!", "(", ")", "7", "été", "."])
 
 
+def test_a_spaced_word_is_encoded_once_between_any_marks():
+    import random
+
+    own, r = Encoder(path("byte_bpe_50k.json")), random.Random(5)
+    some = [*"aBéÉÃ×70²½'!,(—字µª\x01😀", "'s", "'LL", "ll", "é", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    for part in (texts[:1500], [*texts[1500:], "a, <|endoftext|>b  <|endoftext|>", "a  b!", None], ["a\x1c b", "c"]):
+        ids, ptr = own.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:])] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+    own = Encoder(path("byte_bpe_50k.json"))
+    own.encode(pa.array([" word, word! word77\n word.77été\tété's", "  word\nété  "]))
+    assert sorted(own.slot) == sorted(c.encode() for c in [" word", ",", "!", "77", "\n", ".", "été", "\t", "'s", " ", "  "])
+
+
 def test_token_files(spark, awkward, tmp_path):
     from tokenizers import Tokenizer
 
