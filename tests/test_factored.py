@@ -80,6 +80,18 @@ def test_labels_from_factors_are_those_of_the_paths(spark, monkeypatch, light, c
     assert want and rows(pairing.label_factored(factors.values(), pairs)) == want
 
 
+@pytest.mark.parametrize(("light", "carried", "size", "simple", "end"), [(0, 0, 1, False, "Person"), (1, 64, 2, False, "Thing"), (0, 64, 3, True, "Person")])
+def test_lists_of_ends_may_be_cut_anywhere(spark, monkeypatch, light, carried, size, simple, end):
+    """A node's ends lie in several lists, those that it shares apart from its own; first factors are stored."""
+    for name, value in (("LIGHT", light), ("CARRIED", carried), ("CHUNK", size), ("TASK_PAIRS", 40)):
+        monkeypatch.setattr(pairing, name, value)
+    relations = graph(spark, same=True)
+    seeds, pairs = inputs(spark, "p", end[0].lower())
+    schemas = paths.schemas_of("Person", relations, 2, end)
+    want = rows(pairing.label_connected(paths.follow_all(spark, seeds, schemas, simple=simple).values(), pairs))
+    assert want and rows(pairing.label_factored(paths.factored(spark, seeds, schemas, simple=simple, store=True).values(), pairs)) == want
+
+
 def shuffled(spark):
     """Rows shuffled so far in the session."""
     sc = spark.sparkContext

@@ -49,3 +49,31 @@ def test_layers_make_the_nodes_once(spark):
 def test_scores_do_not_read_the_tables_again(spark):
     df = Q.QUERIES["pair_scorer_ml"](spark, SF)
     assert df.count() and not [f for f in df.inputFiles() if "lineitem" in f or "orders" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_replay_joins_the_lines_once(spark):
+    """Pairs, orders' suppliers and suppliers' nations come from one reading of the lines; the first hops are not made again for the second ones."""
+    counts = {}
+
+    class Tables:
+        def __init__(self):
+            self.read = self
+
+        def parquet(self, path):
+            df = spark.read.parquet(path)
+            for name, column in (("lineitem", "l_suppkey"), ("orders", "o_custkey")):
+                if path.endswith(f"/{name}.parquet"):
+                    n = df.count()
+                    df, made = counted(spark, df, column)
+                    counts[name] = n, made
+            return df
+
+    v = Q.View(Tables(), SF)
+    v.spark = spark
+    got = Q.replay_on_other_seeds(v)
+    assert got.count() == got.distinct().count() > 0
+    n, made = counts["lineitem"]
+    assert made.value == n
+    n, made = counts["orders"]
+    assert made.value == 3 * n  # for the lines and for two relations
