@@ -124,3 +124,56 @@ def test_pair_examples(spark):
     got = {(r.start, r.end): r for r in training.pair_examples(samples, {"s": (schema, path)}, features, "A", "C").collect()}
     assert got["a1", "c1"].p_0 == [[1, 2, 3, 0, 6, 7], [1, 2, 4, 5, 6, 7], [1, 2, 0, 0, 6, 7]] and got["a1", "c1"].label == 1
     assert got["a1", "c2"].p_0 is None and got["a1", "c2"].x_end == [0, 0] and got["a9", "c1"].x_start == [0, 0]
+
+
+def test_ends_of_a_pair_are_not_joined_to_its_paths(spark):
+    """Paths take the features of the nodes between; those of a pair's ends come from its row, also for paths of one edge."""
+    month = "m"
+    samples = spark.createDataFrame([("a1", "c1", month, 1), ("a2", "c1", month, 0)], f"start string, end string, {TIME} string, Label int")
+    edge = lambda a, b: EdgeSpec(None, "x", ("y",), head_type=a, tail_types=(b,), name=f"{a}{b}")
+    long, short = PathSchema("A", (edge("A", "B"), edge("B", "C"))), PathSchema("A", (edge("A", "C"),))
+    path = spark.createDataFrame([("a1", "b1", "c1", month), ("a2", "b1", "c1", month)], f"Node_0 string, Node_1 string, Node_2 string, {TIME} string")
+    make = lambda rows: (training.node_array(spark.createDataFrame(rows, "n string, f double"), "n", ["f"], "x"), 1)
+    features = {"A": make([("a1", 1.0)]), "B": make([("b1", 2.0)]), "C": make([("c1", 3.0)])}
+    both = {"long": (long, path), "short": (short, path.drop("Node_1").withColumnRenamed("Node_2", "Node_1"))}
+    for between in (False, True):
+        df = training.pair_examples(samples, both, features, "A", "C", between)
+        got = {r.start: r for r in df.collect()}
+        assert df.columns == ["start", "end", TIME, "label", "x_start", "x_end", "p_0", "p_1"]  # slices hash the keys in this order
+        assert got["a1"].p_0 == [[1, 2, 3]] and got["a1"].p_1 == [[1, 3]] and got["a2"].p_0 == [[0, 2, 3]] and got["a2"].p_1 == [[0, 3]]
+        # The samples' two, the node between; the packed paths of two schemas; and, where paths may connect others, their keys.
+        assert str(df._jdf.queryExecution().optimizedPlan()).count("Join") == (5 if between else 7)
+
+
+def test_examples_are_stored_once_and_shuffles_are_let_go(spark, monkeypatch, tmp_path):
+    """What is stored for training, choosing and holding out are the parts of one write, and no shuffle file outlives its run."""
+    from pathlib import Path
+
+    from pathloom import queries_learned as L
+    from pathloom.sources import io
+
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("label"), F.array(F.col("id").cast("double")).alias("x_a"))
+    want = [p.orderBy("id").collect() for p in L._split(df, "id")]
+    seen = []
+    real = io.shared_folder
+    monkeypatch.setattr(io, "shared_folder", lambda s: seen.append(real(s)) or seen[-1])
+    train, valid, held_out = L._split_slices(df, 3, "id")
+    assert sorted(r for p in train for r in p.collect()) == want[0] and valid.orderBy("id").collect() == want[1] and held_out.orderBy("id").collect() == want[2]
+    assert len(seen) == 1
+    slices = [sorted(p.collect()) for p in training.slices(L._split(df, "id")[0], 3)]
+    assert slices == [sorted(p.collect()) for p in train]
+    monkeypatch.undo()
+
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).parent
+    files = lambda: set(local.rglob("shuffle_*.data"))
+    before = files()
+    with io.tidy(spark):
+        assert io.stored(spark.range(1000).repartition(7)).count() == 1000
+    for _ in range(50):
+        if not files() - before:
+            break
+        import time
+
+        time.sleep(0.1)
+    assert not files() - before
+    assert io.stored(spark.range(1000).repartition(7)).count() == 1000 and files() - before
